@@ -1,4 +1,372 @@
-"""Queries of the operators, each with SQL for DuckDB where it can express them."""
+"""Queries of the operators over the shared test tables, each with SQL for DuckDB where it can express them.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Documents have no headings, paragraphs or tags of their own: where an operator needs
+them, both sides derive them from the text in the same way.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import ids, split, tags, text, vectors
+from .operators import html, markdown, records, search
+from .operators.headings import with_crumbs
+from .plans import pipelines
+from .sources import files, maps, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def own_tags() -> Column:
+    return F.array("source", "lang", F.concat(F.lit("q"), (F.col("doc_id") % 5).cast("string")))
+
+
+_TAGS = "[source, lang, 'q' || (doc_id % 5)]"
+_COSINE = "1 - list_sum(list_transform(list_zip(a, b), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x))))"
+
+
+def vector_of(df: DataFrame, vec_id: int) -> list[float]:
+    return df.where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+_KNN = f"""
+    WITH q AS (SELECT embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id = 0),
+    e AS (SELECT vec_id, label, embedding::DOUBLE[] AS a FROM embeddings)
+    SELECT vec_id, label, round({_COSINE}, 6) + 0.0 AS score FROM e, q %s ORDER BY score, vec_id LIMIT 5"""
+
+
+@query(_KNN % "")
+def knn_top5(spark, sf_dir):
+    """Exact nearest vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    return search.knn(e, vector_of(e, 0), 5, id_col="vec_id", decimals=6).select("vec_id", "label", "score")
+
+
+@query(_KNN % "WHERE label BETWEEN 2 AND 6")
+def knn_filtered(spark, sf_dir):
+    """Nearest vectors of those that pass a filter."""
+    e = table(spark, sf_dir, "embeddings")
+    return search.knn(e, vector_of(e, 0), 5, "@label:[2 6]", id_col="vec_id", decimals=6).select("vec_id", "label", "score")
+
+
+@query(f"""
+    WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 20 = 0),
+    e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a FROM embeddings),
+    s AS (SELECT query_id, id, round({_COSINE}, 6) + 0.0 AS score FROM e, q)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s
+    QUALIFY rank <= 5""")
+def knn_batch(spark, sf_dir):
+    """Nearest vectors of a set of queries: every row whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return search.knn_batch(e, q, 5, id_col="vec_id")
+
+
+_PIECES = """
+    WITH p AS (SELECT doc_id, source, text, CASE WHEN length(text) <= 2000 THEN 1 ELSE ceil(length(text) / 1800.0)::INT END AS n FROM documents),
+    c AS (SELECT doc_id, source, n, k, CASE WHEN n = 1 AND length(text) <= 2000 THEN text ELSE substring(text, k * 1800 + 1, 2000) END AS piece FROM p, unnest(range(n)) AS t(k))"""
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = docs.select("doc_id", "source", split.sliding_window(F.col("text")).alias("p"))
+    return cut.select("doc_id", "source", F.size("p").alias("n"), F.posexplode("p").alias("k", "piece"))
+
+
+@query(_PIECES + " SELECT doc_id, k::INT AS k, n, length(piece) AS chars, sha256(piece) AS sha FROM c")
+def chunk_sliding(spark, sf_dir):
+    """Pieces of documents by a sliding window of characters, numbered, with their number."""
+    return pieces(spark, sf_dir).select("doc_id", "k", "n", F.length("piece").alias("chars"), F.sha2(F.col("piece").cast("binary"), 256).alias("sha"))
+
+
+_UUID = """
+    SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+    FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(key)) AS h FROM keyed)"""
+
+
+@query(_PIECES + f""",
+    keyed AS (SELECT source, doc_id || '|' || k || '|' || substr(sha256(piece), 1, 16) AS key FROM c)
+    SELECT source, count(*) AS chunks, min(uuid) AS first_id, max(uuid) AS last_id FROM ({_UUID}) GROUP BY source""")
+def chunk_counts(spark, sf_dir):
+    """Pieces with deterministic ids, counted by source."""
+    p = pieces(spark, sf_dir).withColumn("id", ids.stable_uuid(F.col("doc_id"), F.col("k"), ids.content_hash(F.col("piece"))))
+    return p.groupBy("source").agg(F.count("*").alias("chunks"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query("""
+    SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS words
+    FROM documents GROUP BY source""")
+def chunk_stats(spark, sf_dir):
+    """Characters and words by source."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.count("*").alias("docs"), F.sum(text.char_count(F.col("text"))).alias("chars"), F.sum(text.word_count(F.col("text"))).alias("words"))
+
+
+@query(f"""
+    WITH keyed AS (SELECT doc_id, source || '|' || doc_id AS key, text FROM documents)
+    SELECT doc_id, uuid AS id, substr(sha256(text), 1, 16) AS hash FROM ({_UUID})""")
+def stable_ids(spark, sf_dir):
+    """Name-based ids and content hashes."""
+    return table(spark, sf_dir, "documents").select("doc_id", ids.stable_uuid(F.col("source"), F.col("doc_id")).alias("id"), ids.content_hash(F.col("text")).alias("hash"))
+
+
+_URL = r"""
+    WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, regexp_extract(trim(path, '/'), '([^/]*)$', 1) AS source_file, regexp_replace(trim(path, '/'), '/?[^/]*$', '') AS source_dir,
+           ltrim(path, '/') AS relative_path, url || '#s' || (page_id % 3) AS page_url FROM u"""
+
+
+@query(_URL)
+def url_parts(spark, sf_dir):
+    """File, directory and relative path of page URLs, and deep links."""
+    path = ids.url_path(F.col("url"))
+    link = ids.deep_link(F.col("url"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", ids.last_part(path).alias("source_file"), ids.all_but_last(path).alias("source_dir"), ids.without_leading_slashes(path).alias("relative_path"), link.alias("page_url"))
+
+
+@query("""
+    SELECT regexp_extract(url, '^[^?#]*') AS url, min(page_id) AS ord FROM pages
+    WHERE starts_with(regexp_extract(url, '^[^?#]*'), 'https://') AND NOT contains(regexp_extract(url, '^[^?#]*'), '/pdf/') GROUP BY 1""")
+def url_filter_dedup(spark, sf_dir):
+    """Page URLs with a prefix, each at its first place."""
+    urls = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("url"), F.col("page_id").alias("ord"))
+    return files.first_urls(urls, "https://")
+
+
+@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def resume_antijoin(spark, sf_dir):
+    """Pages that aren't in the progress table."""
+    pages = table(spark, sf_dir, "pages")
+    return files.unseen(pages.select("page_id", "url"), pages.where("page_id % 3 = 0"))
+
+
+@query("""
+    WITH t AS (SELECT 'src' || (doc_id % 25) AS stem, lang AS page_name, doc_id AS ord FROM documents),
+    m AS (SELECT stem, max_by(page_name, ord) AS page_name, max(ord) AS ord FROM t GROUP BY stem)
+    SELECT doc_id, stem, page_name, ord FROM documents JOIN m ON source = stem""")
+def topic_lookup_lastwins(spark, sf_dir):
+    """Documents joined with topics by stem, the last entry of each stem."""
+    d = table(spark, sf_dir, "documents")
+    topics = d.select(F.concat(F.lit("src"), (F.col("doc_id") % 25).cast("string")).alias("stem"), F.col("lang").alias("page_name"), F.col("doc_id").alias("ord"))
+    return d.select("doc_id", F.col("source").alias("stem")).join(maps.last_wins(topics), "stem")
+
+
+def with_headings(docs: DataFrame) -> DataFrame:
+    """Documents as Markdown: every third line a heading of a level that goes up and down."""
+    p = F.floor
+    level = lambda i: (1 + (p(i / 3) * p(i / 3) + F.col("doc_id")) % 6).cast("int")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + F.col("doc_id")) % 3 == 0, F.concat(F.substring(F.lit("######"), F.lit(1), level(i)), F.lit(" h"), x)).otherwise(x))
+    return docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), F.array_join(lines, "\n").alias("text"))
+
+
+@query(r"""
+    WITH l AS (
+      SELECT doc_id, p, (p + doc_id) % 3 = 0 AS head, (1 + ((p // 3) * (p // 3) + doc_id) % 6)::INT AS level, s[p + 1] AS line
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(len(s))) AS t(p)),
+    n AS (SELECT *, sum(head::INT) OVER w AS i FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    seg AS (
+      SELECT doc_id, i, max(CASE WHEN head THEN level END) AS level, max(CASE WHEN head THEN trim('h' || line) END) AS heading,
+             string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY p) AS content
+      FROM n GROUP BY doc_id, i),
+    d AS (SELECT *, CASE WHEN i > 0 THEN i + least(0, min(level - i) OVER (PARTITION BY doc_id ORDER BY i)) END AS d FROM seg),
+    title AS (SELECT doc_id, coalesce(nullif(min_by(heading, i) FILTER (WHERE level = 1), ''), 'doc' || doc_id) AS title FROM seg GROUP BY doc_id),
+    path AS (
+      SELECT a.doc_id, a.i, string_agg(b.heading, ' > ' ORDER BY b.d) AS crumbs
+      FROM d a JOIN (SELECT *, lead(i, 1, 1000000000) OVER (PARTITION BY doc_id, d ORDER BY i) AS until FROM d WHERE i > 0) b
+        ON a.doc_id = b.doc_id AND b.i <= a.i AND a.i < b.until AND b.d <= a.d
+      GROUP BY a.doc_id, a.i)
+    SELECT d.doc_id, i::BIGINT AS pos, title, CASE WHEN i = 0 THEN title ELSE title || ' > ' || crumbs END AS section, sha256(trim(content, ' ' || chr(10))) AS sha
+    FROM d JOIN title USING (doc_id) LEFT JOIN path USING (doc_id, i) WHERE trim(coalesce(content, ''), ' ' || chr(10)) <> ''""")
+def md_sections(spark, sf_dir):
+    """Heading sections of Markdown with titles and breadcrumb paths; levels are skipped on purpose."""
+    docs = with_headings(table(spark, sf_dir, "documents"))
+    segs = with_crumbs(markdown.segments(markdown.with_front_matter(docs.select("source", "text", "doc_id")).withColumn("doc_id", F.col("doc_id"))), ["source"], "pos")
+    h1 = F.min_by("heading", F.when(F.col("level") == 1, F.col("pos"))).over(Window.partitionBy("source"))
+    segs = segs.withColumn("title", F.coalesce(F.nullif(h1, F.lit("")), F.col("source"))).where("content <> ''")
+    path = F.when(F.col("level") == 0, F.col("title")).otherwise(text.section_path(F.concat(F.array("title"), F.col("crumbs"))))
+    return segs.select("doc_id", F.col("pos").cast("long").alias("pos"), "title", path.alias("section"), F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+
+
+@query()
+def md_chunks(spark, sf_dir):
+    """Markdown documents to chunks with ids, all steps together; tests hold it against brute force."""
+    got = markdown.chunks(with_headings(table(spark, sf_dir, "documents")).select("source", "text"), ["all"])
+    return got.select("chunk_id", "source", "title", "section", "content", "tags", "chunk_index")
+
+
+@query(r"""
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, 'xref:[^\[]+\[([^\]]*)\]', '\1', 'g'), '`([^`\n]+)`', '\1', 'g'), '\{[a-zA-Z0-9_\-]+\}', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS body
+    FROM (SELECT doc_id, 'see xref:a.adoc[' || lang || '] and `' || source || '` of {product} ' || doc_id AS t FROM documents)""")
+def adoc_strip_basic(spark, sf_dir):
+    """AsciiDoc markup taken out."""
+    t = F.concat(F.lit("see xref:a.adoc["), "lang", F.lit("] and `"), "source", F.lit("` of {product} "), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.strip_adoc(t).alias("body"))
+
+
+def _crumbs() -> tuple[Column, Column, Column]:
+    page = F.col("lang")
+    return page, F.array(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit("x")), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("source"))), F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise(F.lit("h"))
+
+
+_CRUMBS = "WITH c AS (SELECT doc_id, lang AS page, [CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'x' END, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END] AS crumbs, CASE WHEN doc_id % 5 = 0 THEN lang ELSE 'h' END AS heading FROM documents)"
+
+
+@query(_CRUMBS + " SELECT doc_id, 'Page: ' || page || chr(10) || 'Section: ' || array_to_string(list_append(list_filter(crumbs, lambda x: x <> page), heading), ' > ') AS prefix FROM c")
+def html_prefix(spark, sf_dir):
+    """The context lines of HTML records."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.html_prefix(*_crumbs()).alias("prefix"))
+
+
+@query(_CRUMBS + """, t AS (SELECT doc_id, page, array_to_string(list_filter(list_append(crumbs, heading), lambda x: x <> page AND x <> ''), ' > ') AS trail FROM c)
+    SELECT doc_id, 'Page: ' || page || CASE WHEN trail <> '' THEN chr(10) || 'Section: ' || trail ELSE '' END AS prefix FROM t""")
+def adoc_prefix(spark, sf_dir):
+    """The context lines of AsciiDoc records."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.adoc_prefix(*_crumbs()).alias("prefix"))
+
+
+@query(r"""
+    SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(text, 'e', '  '), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS sha,
+           trim(regexp_replace('Chapter ' || doc_id || '. ' || source, '^(?:Chapter\s+)?\d+(?:\.\d+)*\.\s*', '')) AS heading FROM documents""")
+def clean_text(spark, sf_dir):
+    """White space and heading numbers cleaned."""
+    heading = F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit(". "), "source")
+    body = text.clean_text(F.replace(F.col("text"), F.lit("e"), F.lit("  ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(body.cast("binary"), 256).alias("sha"), text.clean_heading(heading).alias("heading"))
+
+
+_TAG_SQL = f"WITH t AS (SELECT doc_id, {_TAGS} AS tags FROM documents)"
+
+
+@query(_TAG_SQL + " SELECT doc_id, array_to_string(tags, ',') || CASE WHEN list_contains(tags, 'en') THEN '' ELSE ',en' END || ',new' AS tags FROM t")
+def tags_union(spark, sf_dir):
+    """Tags added in order, without repeats."""
+    d = table(spark, sf_dir, "documents").withColumn("tags", own_tags())
+    return d.select("doc_id", F.array_join(tags.add(F.col("tags"), ["en", "new", "new"]), ",").alias("tags"))
+
+
+@query(_TAG_SQL + " SELECT doc_id, array_to_string(list_filter(tags, lambda x: x NOT IN ('en', 'q1')), ',') AS tags FROM t")
+def tags_remove(spark, sf_dir):
+    """Tags removed."""
+    d = table(spark, sf_dir, "documents").withColumn("tags", own_tags())
+    return d.select("doc_id", F.array_join(tags.remove(F.col("tags"), ["en", "q1"]), ",").alias("tags"))
+
+
+@query(_TAG_SQL + " SELECT doc_id FROM t WHERE list_has_any(tags, ['q1', 'src3'])")
+def tags_any(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("tags", own_tags())
+    return d.where(tags.has_any(F.col("tags"), ["q1", "src3"])).select("doc_id")
+
+
+@query(_TAG_SQL + " SELECT doc_id FROM t WHERE list_has_all(tags, ['q1', 'en'])")
+def tags_all(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("tags", own_tags())
+    return d.where(tags.has_all(F.col("tags"), ["q1", "en"])).select("doc_id")
+
+
+@query(_TAG_SQL + " SELECT doc_id FROM t WHERE list_has_any(tags, ['q1', 'q2']) AND NOT list_has_any(tags, ['en']) AND doc_id BETWEEN 10 AND 900")
+def tag_filter(spark, sf_dir):
+    """The filter language of searches."""
+    d = table(spark, sf_dir, "documents").withColumn("tags", own_tags())
+    return d.where(tags.parse_filter("@tags:{q1|q2} -@tags:{en} @doc_id:[10 900]")).select("doc_id")
+
+
+@query(_TAG_SQL + """, r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN list_filter(list_append(tags, 'new'), lambda x: x <> 'en') ELSE tags END AS tags FROM t)
+    SELECT doc_id::VARCHAR AS chunk_id, array_to_string(tags, ',') AS tags FROM r WHERE doc_id % 11 <> 0
+    UNION ALL SELECT doc_id::VARCHAR, 'fresh' FROM t WHERE doc_id % 11 = 0""")
+def retag_upsert(spark, sf_dir):
+    """Tags changed by id, then rows put in place of others by id."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", own_tags().alias("tags"))
+    changed = store.retagged(d.select("chunk_id", "tags"), d.where("doc_id % 7 = 0"), ["new"], ["en"])
+    fresh = d.where("doc_id % 11 = 0").select("chunk_id", F.array(F.lit("fresh")).alias("tags"))
+    return store.merged(changed, fresh).select("chunk_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def jsonl_roundtrip(spark, sf_dir):
+    """Rows written as JSON lines and read again."""
+    d = table(spark, sf_dir, "documents")
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docmill").rstrip("/")
+    path = f"{root}/docmill/jsonl-{uuid.uuid4().hex}"
+    pipelines.export_jsonl(d, path)
+    return files.json_lines(spark, path, d.schema)
+
+
+@query(r"""
+    WITH RECURSIVE d AS (SELECT doc_id, text AS raw, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p, length(replace(text, chr(10), chr(10) || chr(10))) AS n FROM documents),
+    f(doc_id, p, i, cur, done) AS (
+      SELECT doc_id, p, 0, '', NULL::VARCHAR FROM d WHERE n > 1500
+      UNION ALL
+      SELECT doc_id, p, i + 1,
+        CASE WHEN i >= len(p) THEN NULL WHEN cur <> '' AND length(cur) + 2 + length(p[i + 1]) > 1500
+             THEN CASE WHEN ltrim(right(cur, 100), ' ' || chr(10)) <> '' THEN ltrim(right(cur, 100), ' ' || chr(10)) || chr(10) || chr(10) || p[i + 1] ELSE p[i + 1] END
+             WHEN cur <> '' THEN cur || chr(10) || chr(10) || p[i + 1] ELSE p[i + 1] END,
+        CASE WHEN cur <> '' AND (i >= len(p) OR length(cur) + 2 + length(p[i + 1]) > 1500) THEN trim(cur, ' ' || chr(10)) END
+      FROM f WHERE i <= len(p))
+    SELECT doc_id, count(*) AS chunks, sum(length(done))::BIGINT AS chars, max(length(done)) AS longest FROM f WHERE done IS NOT NULL GROUP BY doc_id
+    UNION ALL SELECT doc_id, 1, n, n FROM d WHERE n <= 1500""")
+def paragraph_fold(spark, sf_dir):
+    """Paragraphs packed to chunks that overlap."""
+    d = table(spark, sf_dir, "documents").select("doc_id", split.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("p"))
+    n = F.transform("p", lambda x: F.length(x).cast("long"))
+    return d.select("doc_id", F.size("p").cast("long").alias("chunks"), F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x).alias("chars"), F.array_max(n).alias("longest"))
+
+
+_ARTICLE = r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+    t AS (SELECT page_id, url, regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1) AS title, replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&') AS b FROM a),
+    l AS (SELECT page_id, url, title, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS b FROM t)"""
+
+
+@query(_ARTICLE + " SELECT page_id, url AS page_url, trim(regexp_replace(b, '[ \\t]+', ' ', 'g')) AS body FROM l")
+def html_fallback_text(spark, sf_dir):
+    """The article of pages without sections, as text."""
+    return html.sections(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "page_url", "body")
+
+
+@query()
+def html_records(spark, sf_dir):
+    """Pages to 23-field records, all steps together; tests hold sections and records against fixtures."""
+    pages = table(spark, sf_dir, "pages").withColumn("last_modified", F.lit(None).cast("string"))
+    got = pipelines.html_records(pages, "1.0", records.RecordSettings())
+    return got.withColumn("section_breadcrumbs", F.array_join("section_breadcrumbs", " > "))
+
+
+@query("""
+    SELECT count(DISTINCT url) AS pages, count(*) - count(DISTINCT url) AS skipped, count(*) FILTER (WHERE length(html) > 1500) AS large FROM pages""")
+def run_counters(spark, sf_dir):
+    """Counters of a run."""
+    p = table(spark, sf_dir, "pages")
+    return p.agg(F.count_distinct("url").alias("pages"), (F.count("*") - F.count_distinct("url")).alias("skipped"), F.count_if(F.length("html") > 1500).alias("large"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS shown FROM documents")
+def preview(spark, sf_dir):
+    """Texts cut for display."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("shown"))
+
+
+@query("""
+    SELECT label, count(*) AS n, round(avg(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS mean_square FROM embeddings GROUP BY label""")
+def vector_norms(spark, sf_dir):
+    """Squared lengths of vectors by label."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(vectors.dot(F.col("embedding"), F.col("embedding"))), 5).alias("mean_square"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.stage import staged
 from .headings import with_crumbs
 
 INCLUDE = r"(?d)^include::([^\[]+)\[.*?\]$"
@@ -30,34 +31,31 @@ def resolve_includes(files: DataFrame, roots: DataFrame | None = None) -> DataFr
 
     A target is looked up beside the including file, then from the top; one that is
     in neither place is dropped. Each of the rounds is an equi-join of include lines
-    with files; a line's place is the array of its positions on the way in.
+    with files, its result a table; a line's place is the array of its positions on the
+    way in. The rounds end when no include line is left.
     """
     src = files.select("path", text.unix_lines(F.coalesce("text", F.lit(""))).alias("text"))
     lines = src.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     start = src.select("path") if roots is None else src.join(roots.select("path"), "path", "left_semi").select("path")
     open_ = start.join(lines, start.path == lines.file).select("path", "file", F.array("at").alias("key"), "line")
-    done = None
     names = src.select(F.col("path").alias("name"))
-    for depth in range(MAX_INCLUDES + 2):
-        is_include = F.col("line").rlike(INCLUDE)
-        plain = open_.where(~is_include).select("path", "key", "line")
-        done = plain if done is None else done.unionByName(plain)
-        if depth == MAX_INCLUDES + 1:
+    open_ = staged(open_, "includes")
+    done = open_.where(~F.col("line").rlike(INCLUDE)).select("path", "key", "line")
+    for depth in range(MAX_INCLUDES + 1):
+        asked = open_.where(F.col("line").rlike(INCLUDE)).withColumn("target", text.strip(F.regexp_extract("line", INCLUDE, 1)))
+        if asked.isEmpty():
             break
-        asked = open_.where(is_include).withColumn("target", text.strip(F.regexp_extract("line", INCLUDE, 1)))
-        asked = asked.withColumns({"beside": normal_path(F.concat(directory(F.col("file")), F.lit("/"), F.col("target"))), "top": normal_path(F.col("target"))})
-        one = asked.join(names.withColumnRenamed("name", "beside").withColumn("has", F.lit(True)), "beside", "left")
-        one = one.withColumn("name", F.when(F.col("has"), F.col("beside")).otherwise(F.col("top"))).drop("has")
         # an include without a file, or nested too deeply, leaves an empty line
         if depth == MAX_INCLUDES:
-            gone = one
-        else:
-            found = one.join(names, "name", "left_semi")
-            gone = one.join(names, "name", "left_anti")
-            open_ = found.select("path", "key", "name").join(lines, F.col("name") == lines.file).select("path", "file", F.concat("key", F.array("at")).alias("key"), "line")
-        done = done.unionByName(gone.select("path", "key", F.lit("").alias("line")))
-        if depth == MAX_INCLUDES:
+            done = done.unionByName(asked.select("path", "key", F.lit("").alias("line")))
             break
+        asked = asked.withColumns({"beside": normal_path(F.concat(directory(F.col("file")), F.lit("/"), F.col("target"))), "top": normal_path(F.col("target"))})
+        one = asked.join(names.select(F.col("name").alias("beside"), F.lit(True).alias("has")), "beside", "left")
+        one = one.withColumn("name", F.when(F.col("has"), F.col("beside")).otherwise(F.col("top"))).drop("has")
+        gone = one.join(names, "name", "left_anti").select("path", "key", F.lit("").alias("line"))
+        found = one.select("path", "key", "name").join(lines, F.col("name") == lines.file)
+        open_ = staged(found.select("path", "file", F.concat("key", F.array("at")).alias("key"), "line"), "includes")
+        done = done.unionByName(gone).unionByName(open_.where(~F.col("line").rlike(INCLUDE)).select("path", "key", "line"))
     whole = done.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("key", "line"))).alias("l"))
     return whole.select("path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 

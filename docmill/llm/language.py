@@ -56,9 +56,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, epochs: int = 8, rate: float = 2.0, batch: int = 16, seed: int = 1, buckets: int = BUCKETS, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, k: int, least_steps: int = 3000, epochs: int = 8, rate: float = 2.0, batch: int = 16, seed: int = 1, buckets: int = BUCKETS, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """``(embeddings times linear layer, bias)`` by SGD over ``(buckets, weights)`` bags whose weights add up to one."""
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(bags))))
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     lin, bias = rng.normal(0, 0.1, (dim, k)), np.zeros(k)
     n, step, steps = len(bags), 0, max(1, epochs * -(-len(bags) // batch))

@@ -6,16 +6,20 @@ suffix array; every piece of the vocabulary is binary-searched in it, which give
 all its occurrences as a range; the occurrences are edges between positions, and
 sorted by position they are relaxed from left to right.
 
-The model is a BPE one, so the relaxation doesn't add up scores: at each position it
-keeps the one edge that may follow the edge kept at its start. A sequence of pieces
-is the BPE encoding of a text exactly if each piece by itself and each two that are
-next to each other encode to themselves, and each prefix has one such sequence.
+The model is a BPE one, so the relaxation doesn't add up scores: from a position it
+goes on along the longest edge that may follow the one that led there, and comes back
+for a shorter one if that leads nowhere. A sequence of pieces is the BPE encoding of
+a text exactly if each piece by itself and each two that are next to each other
+encode to themselves; each prefix has one such sequence, so that each position is
+tried once.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
-import itertools
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 SPACE = "▁"
-#: Segments whose ids a worker keeps; when there are more, it begins anew.
-CACHE_SEGMENTS = 500_000
+#: Segments whose ids a worker keeps; when there are more, only those met again stay.
+CACHE_SEGMENTS = 350_000
 #: Pairs of pieces that a worker keeps.
 CACHE_PAIRS = 1_000_000
 #: Characters of new segments that are indexed at once, if no one segment is longer.
@@ -144,12 +148,13 @@ class Encoder:
         for i, p in enumerate(self.v.pieces):
             self.codes[i, : len(p)] = [ord(c) for c in p]
         self.piece_ids = [self.v.ids[p] for p in self.v.pieces]
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.cut_lines = not any("\n" in p for p in self.v.pieces)
 
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        """Ids of segments, all indexed together."""
+    def encode_segments(self, segments: list[str]) -> list[bytes]:
+        """Ids (int32) of segments, all indexed together."""
         text = "\0".join(segments)  # no piece has a zero in it
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         order = suffix_array(codes, self.v.longest)
@@ -158,45 +163,50 @@ class Encoder:
         piece = np.repeat(np.arange(len(n)), n)
         start = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         end = start + self.lengths[piece]
-        by = np.lexsort((start, end))  # edges by their end, the longest first
-        start, end, piece = start[by].tolist(), end[by], piece[by].tolist()
-        bounds = np.searchsorted(end, np.arange(len(codes) + 2)).tolist()
+        by = np.argsort(start * 64 - self.lengths[piece])  # edges by their start, the longest first
+        bounds = np.searchsorted(start[by], np.arange(len(codes) + 2)).tolist()
+        piece = piece[by]
+        end, piece = (start[by] + self.lengths[piece]).tolist(), piece.tolist()
         pieces, ids, pairs, fits = len(self.v.pieces), self.piece_ids, self.pairs, self.v.fits
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
-        # by position: the last piece of what ends there (-1: a start, or a character for itself; None: nothing ends there), and its start
-        last: list[int | None] = [None] * (len(codes) + 1)
-        came = [0] * (len(codes) + 1)
-        out: list[list[int]] = []
+        dead = bytearray(len(codes) + 1)  # places from which no way leads to the end
+        out: list[bytes] = []
         at = 0
         for segment in segments:
             stop = at + len(segment)
-            last[at] = -1
-            for e in range(at + 1, stop + 1):
-                for k in range(bounds[e], bounds[e + 1]):
-                    before = last[start[k]]
-                    if before is not None:
+            way: list[tuple[int, int, int]] = []  # the edges taken: where from, after which piece, which edge is next
+            where, before, k = at, -1, bounds[at]
+            while where < stop:
+                last = bounds[where + 1]
+                while k < last:
+                    if not dead[end[k]]:
                         p = piece[k]
                         ok = pairs.get(before * pieces + p)
                         if ok is None:
                             ok = pairs[before * pieces + p] = fits(before, p)
                         if ok:
-                            last[e], came[e] = p, start[k]
                             break
-                else:
+                    k += 1
+                if k < last:
+                    way.append((where, before, k))
+                    where, before, k = end[k], piece[k], bounds[end[k]]
+                elif text[where] not in self.v.ids and not dead[where + 1]:
                     # a character that is no piece merges with nothing and stands for its bytes
-                    if text[e - 1] not in self.v.ids and last[e - 1] is not None:
-                        last[e], came[e] = -1, e - 1
-            back: list[int] = []
-            e = stop
-            while e > at:
-                p = last[e]
-                if p >= 0:
-                    back.append(ids[p])
+                    way.append((where, before, -1))
+                    where, before, k = where + 1, -1, bounds[where + 1]
+                else:
+                    # what leads to a place is one sequence, so a place is tried once
+                    dead[where] = 1
+                    where, before, k = way.pop()
+                    k = k + 1 if k >= 0 else bounds[where + 1]
+            got = array("i")
+            for where, _, k in way:
+                if k >= 0:
+                    got.append(ids[piece[k]])
                 else:
-                    back += self.v.spell(text[e - 1])[::-1]
-                e = came[e]
-            out.append(back[::-1])
+                    got.extend(self.v.spell(text[where]))
+            out.append(got.tobytes())
             at = stop + 1
         return out
 
@@ -209,18 +219,28 @@ class Encoder:
                 self.known.update(zip(some, self.encode_segments(some)))
                 start, size = i, 0
 
-    def __call__(self, texts: list[bytes | None]) -> list[list[int]]:
+    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         cut = [segments_of(t.decode("utf-8", "replace"), self.cut_lines) if t else [] for t in texts]
         if len(self.known) > CACHE_SEGMENTS:
-            self.known.clear()
-        self.learn(sorted(set(itertools.chain.from_iterable(cut)) - self.known.keys()))
-        return [list(itertools.chain.from_iterable(map(self.known.__getitem__, c))) for c in cut]
-
-    def decode(self, ids: list[int]) -> str:
+            self.known, self.older = {}, self.known
+        new = set().union(*cut) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((s, self.older[s]) for s in again)
+        self.learn(sorted(new - again))
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, c)), np.int32) for c in cut]
+
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: pieces with blanks for word-begin signs, byte pieces joined to characters, without the blank put before a text."""
         return b"".join(map(self.v.out.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process, with what it knows from earlier tasks."""
+    return Encoder(path)
+
+
 def segments_of(text: str, cut_lines: bool = True) -> list[str]:
     """``text`` with the sign put before it, cut before each run of signs, and around line breaks if no piece has one."""
     if cut_lines and "\n" in text:
@@ -256,15 +276,15 @@ def encode(docs: DataFrame, model: str, keys: dict[str, F.Column | str], text: s
     """
 
     def start():
-        encoder = Encoder(model)
+        encoder = encoder_of(model)
 
         def work(texts):
             ids = encoder(texts)
             lengths = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum()))
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum(lengths, out=offsets[1:])
-            return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "n_tokens": lengths, "decoded": [encoder.decode(x) if x else "" for x in ids]}
+            return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "n_tokens": lengths, "decoded": [encoder.decode(x.tolist()) for x in ids]}
 
         return work
 

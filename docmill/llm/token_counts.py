@@ -7,6 +7,7 @@ begins a token there whatever follows, so the parts' counts add up to the text's
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -68,6 +69,9 @@ class Counter:
             counts[k] += len(e)
 
 
+counter_of = functools.lru_cache(maxsize=1)(Counter)  # one for each worker process
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for every row.
 
@@ -78,7 +82,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text: str =
     """
 
     def start():
-        count = Counter(tokenizer)
+        count = counter_of(tokenizer)
 
         def work(texts):
             n = count(texts)

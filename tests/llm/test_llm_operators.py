@@ -161,7 +161,7 @@ def test_sentencepiece(spark, docs, odd, empty):
     rnd = random.Random(2)
     parts = ["a", "b", " ", "  ", "\n", "\t", "é", "1", "the", "ing", " th", "<s>", "日本", "𝄞", "▁", "ion", "    ", "\x00", "<0x0A>"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
-    ids = own([t.encode() for t in texts])
+    ids = [x.tolist() for x in own([t.encode() for t in texts])]
     assert ids == sp.encode(texts) and [own.decode(i) for i in ids] == sp.decode(ids)
     assert all(own.decode(i) == t.replace("▁", " ") for i, t in zip(ids, texts))
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))

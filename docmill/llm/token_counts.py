@@ -69,7 +69,10 @@ class Counter:
             counts[k] += len(e)
 
 
-counter_of = functools.lru_cache(maxsize=1)(Counter)  # one for each worker process
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> Counter:
+    """The counter of a worker process."""
+    return Counter(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -3,7 +3,9 @@
 The automaton holds every run of words of every test item. A text's words are
 streamed through it, which gives at each word the length of the longest run ending
 there that some item has; runs of a window's length or more are hits. Items of
-fewer words than a window count as wholes.
+fewer words than a window count as wholes. Items that are too many for one automaton
+are split by hash into parts, each with an automaton and a pass of its own, and the
+hits of a text are united.
 """
 
 from __future__ import annotations
@@ -13,14 +15,16 @@ import re
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import ALNUM, map_texts
+from .common import ALNUM, map_texts, row_key, table
 
 WINDOW = 10
-#: Words of all items together; the automaton has under twice as many states and goes to every worker.
-MAX_ITEM_WORDS = 5_000_000
+#: Words of the items of one automaton, which has under twice as many states and goes to every worker.
+MAX_ITEM_WORDS = 500_000
 #: A text of which a larger share is hit is dropped as a whole, rather than cut.
 MAX_COVERAGE = 0.5
 
@@ -65,7 +69,8 @@ class Automaton:
         for v in order:
             if self.len[v] >= window:
                 merged.setdefault(self.at_window[v], set()).update(own[v])
-        self.items = {v: frozenset(x) for v, x in merged.items()}
+        shared: dict[frozenset, frozenset] = {}  # most states are of one item, and equal sets are kept once
+        self.items = {v: shared.setdefault(f, f) for v, f in ((v, frozenset(x)) for v, x in merged.items())}
 
     def _extend(self, c: int, last: int) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -141,22 +146,24 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-def items_of(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> list[tuple[object, list[bytes]]]:
-    """(id, words) of items with words, once the size that the driver is to take is known to be within ``MAX_ITEM_WORDS``."""
+def parts_of(benchmark: DataFrame, most: int | None = None, text: str = "text") -> list[DataFrame]:
+    """``benchmark`` as parts that one automaton of ``most`` words (8 bytes each) takes; dealt by hash, at half of that on average."""
+    most = 8 * (most or MAX_ITEM_WORDS)
     bytes_ = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    if bytes_ > 8 * MAX_ITEM_WORDS:
-        raise ValueError(f"the items hold {bytes_} bytes; one automaton takes {8 * MAX_ITEM_WORDS}: split them and run once for each part")
+    if bytes_ <= most:
+        return [benchmark]
+    n = -(-2 * bytes_ // most)
+    return [benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k) for k in range(n)]
+
+
+def items_of(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> list[tuple[object, list[bytes]]]:
+    """(id, words) of the items of one part that have words."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).collect()
     return sorted((r["i"], w) for r in rows if r["i"] is not None and (w := words_of(bytes(r["t"]))))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, keys: dict[str, F.Column | str], window: int = WINDOW, text: str = "text") -> DataFrame:
-    """``keys`` and ``n_words, n_hit, item_ids, spans`` (pairs of word positions) for every row.
-
-    Null and wordless texts have no words and no hits; repeated rows keep their
-    rows; without items, or without documents, nothing is hit.
-    """
-    cast = docs.sparkSession.sparkContext.broadcast(Automaton(items_of(benchmark), window))
+def scan_part(docs: DataFrame, cast, keys: dict[str, F.Column | str], text: str = "text") -> DataFrame:
+    """:func:`scan` with one automaton, which is broadcast as ``cast``."""
 
     def start():
         automaton = cast.value
@@ -177,9 +184,58 @@ def scan(docs: DataFrame, benchmark: DataFrame, keys: dict[str, F.Column | str],
     return map_texts(docs, keys, text, start, "n_words long, n_hit long, item_ids array<string>, spans array<int>")
 
 
+def unite(spans: Iterable[int]) -> list[int]:
+    """Pairs of positions (from, to) in any order, as sorted and disjoint ones."""
+    at, out = np.asarray(spans).reshape(-1, 2), []
+    for a, b in at[np.argsort(at[:, 0], kind="stable")].tolist():
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def united(spans: pd.Series) -> pd.Series:
+    return spans.map(unite)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, keys: dict[str, F.Column | str], window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``keys`` and ``n_words, n_hit, item_ids, spans`` (pairs of word positions) for every row.
+
+    Null and wordless texts have no words and no hits; repeated rows keep their
+    rows; without items, or without documents, nothing is hit.
+    """
+    sc = docs.sparkSession.sparkContext
+    first, *others = parts_of(benchmark)
+    cast = sc.broadcast(Automaton(items_of(first), window))
+    if not others:
+        return scan_part(docs, cast, keys, text)
+    ident = dict(zip(("__id", "__th"), row_key(text, doc_id)))
+    rows = table(scan_part(docs, cast, {**keys, **ident}, text), "scan")
+    cast.destroy()
+    hits = []
+    for k, part in enumerate(others):
+        cast = sc.broadcast(Automaton(items_of(part), window))
+        found = scan_part(docs, cast, ident, text).where("n_hit > 0").groupBy("__id", "__th")
+        # equal rows have equal hits, so that a row has one array of each part at most
+        hits.append(table(found.agg(F.first("item_ids").alias("i"), F.first("spans").alias("s")), f"scan-{k}"))
+        cast.destroy()
+    more = hits[0]
+    for h in hits[1:]:
+        more = more.unionByName(h)
+    more = more.groupBy(F.col("__id").alias("__id2"), F.col("__th").alias("__th2")).agg(F.flatten(F.collect_list("i")).alias("__i"), F.flatten(F.collect_list("s")).alias("__s"))
+    both = rows.join(more, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
+    all_ids = F.array_sort(F.array_distinct(F.concat("item_ids", F.coalesce("__i", F.array().cast("array<string>")))))
+    all_spans = united(F.concat("spans", F.coalesce("__s", F.array().cast("array<int>"))))
+    got = both.select(*keys, "n_words", all_ids.alias("item_ids"), all_spans.alias("spans"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: x - n)  # to - (from - n), pair by pair
+    return got.select(*keys, "n_words", n_hit.alias("n_hit"), "item_ids", "spans")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` for every row."""
-    found = scan(docs, benchmark, {"doc_id": doc_id}, text=text)
+    found = scan(docs, benchmark, {"doc_id": doc_id}, text=text, doc_id=doc_id)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
@@ -196,31 +252,23 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = MAX_COVERAGE, text: str = "text") -> DataFrame:
+@F.pandas_udf(StringType())
+def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts (bytes) without their spans; null stays null."""
+    return pd.Series([None if t is None else without_spans(bytes(t), np.reshape(s, (-1, 2)).tolist()).decode("utf-8", "replace") for t, s in zip(text, spans)], dtype=object)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = MAX_COVERAGE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without hit spans, and without rows of which more than ``coverage`` is hit; columns as they were.
 
     Rows without hits stay as they are, null texts too.
     """
-    cast = docs.sparkSession.sparkContext.broadcast(Automaton(items_of(benchmark), window))
-
-    def start():
-        automaton = cast.value
-
-        def work(texts):
-            out, share = [], []
-            for t in texts:
-                words = words_of(t)
-                s, _ = automaton.scan(words)
-                out.append(without_spans(t, s).decode("utf-8", "replace") if s else None)
-                share.append(sum(b - a for a, b in s) / max(1, len(words)))
-            return {"__cut": out, "__share": share}
-
-        return work
-
-    got = map_texts(docs, {c: F.col(f"`{c}`") for c in docs.columns}, text, start, "__cut string, __share double")
-    kept = got.where(F.col("__share") <= coverage)
-    cleaned = F.when(F.col("__share") > 0, F.col("__cut")).otherwise(F.col(text)).alias(text)
-    return kept.select(*[cleaned if c == text else F.col(f"`{c}`") for c in docs.columns])
+    own = {f"__c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    got = scan(docs, benchmark, own, window, text, doc_id).where(F.col("n_hit") <= F.col("n_words") * coverage)
+    whole = F.col(f"__c{docs.columns.index(text)}")
+    # texts without hits aren't sent to be cut
+    cleaned = F.when(F.col("n_hit") > 0, cut(F.when(F.col("n_hit") > 0, whole.cast("binary")), F.col("spans"))).otherwise(whole)
+    return got.select(*[(cleaned if c == text else F.col(f"__c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def items_digest(ids: list[str]) -> str:

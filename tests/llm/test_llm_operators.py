@@ -267,6 +267,20 @@ def test_decontaminate_odd(spark, odd, empty):
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_parts(spark, docs, odd, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    extra = spark.createDataFrame([(901, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (902, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (903, "one"), (904, None)], "item_id long, text string")
+    bench = bench.unionByName(extra)
+    both = docs.unionByName(odd)
+    one, kept = (collections.Counter(map(tuple, f(both, bench).collect())) for f in (decontaminate.report, decontaminate.clean))
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", size // 12)
+    assert len(decontaminate.parts_of(bench)) > 2
+    assert collections.Counter(map(tuple, decontaminate.report(both, bench).collect())) == one
+    assert collections.Counter(map(tuple, decontaminate.clean(both, bench).collect())) == kept
+    assert decontaminate.unite([5, 9, 1, 3, 3, 4, 7, 8]) == [1, 4, 5, 9] and decontaminate.unite([]) == []
+
+
 # 8
 
 

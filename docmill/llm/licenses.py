@@ -1,11 +1,12 @@
-"""License scans: sparse TF-IDF cosine of lines to templates, then inheritance along directories.
-
-All of it is DataFrame work in the JVM. Each line of each file (a header line or one
-of a licence file) is a sparse vector over the templates' terms; inverse line
-frequencies come from all lines of all files. Terms are joined with the templates'
-postings, cosines add up by line and template, and the best template of a file is
-its own licence. A file without one takes that of the licence file in its nearest
-ancestor directory: distinct directories are joined with the paths above them.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
+
+All of it is DataFrame work in the JVM. Each line of a file and each paragraph of
+more than one line (a wrapped header, a clause of a licence file) is a sparse vector
+over the templates' terms; inverse line frequencies come from all lines of all files.
+Vectors and cosines are expressions of one row, so that only the best template of a
+file, its own licence, is grouped. A file without one takes that of the licence file
+in its nearest ancestor directory: distinct directories are joined with the paths
+above them.
 """
 
 from __future__ import annotations
@@ -17,32 +18,47 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A line is a licence statement from this cosine on,
+#: A line or paragraph is a licence statement from this cosine on,
 MIN_COSINE = 0.8
-#: if so large a share of its terms are terms of the template.
+#: if so large a share of its terms are terms of the templates.
 MIN_SHARE = 0.5
 
-# One-line statements by which texts say their licence, by SPDX name.
-TEMPLATES = {
-    "AGPL-3.0": "licensed under the GNU Affero General Public License version 3",
-    "Apache-2.0": "licensed under the Apache License version 2.0",
-    "BSD-2-Clause": "licensed under the BSD 2 clause simplified license",
-    "BSD-3-Clause": "licensed under the BSD 3 clause license",
-    "CC-BY-4.0": "licensed under CC BY 4.0 creative commons attribution",
-    "CC-BY-NC-4.0": "licensed under CC BY NC 4.0",
-    "CC-BY-SA-4.0": "licensed under CC BY SA 4.0",
-    "CC0-1.0": "released under CC0 1.0 universal public domain dedication",
-    "GPL-2.0": "licensed under the GNU General Public License version 2",
-    "GPL-3.0": "this work is licensed under the GNU General Public License version 3",
-    "ISC": "released under the ISC license",
-    "LGPL-3.0": "licensed under the GNU Lesser General Public License version 3",
-    "MIT": "released under the MIT license",
-    "MPL-2.0": "subject to the terms of the Mozilla Public License version 2.0",
-    "Unlicense": "this is free and unencumbered software released into the public domain",
-}
+# Fixed values: (SPDX name, wording) of the statements, file headers and clauses by which texts say their licence.
+TEMPLATES = [
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "licensed under the Apache License version 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("BSD-2-Clause", "licensed under the BSD 2 clause simplified license"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "licensed under the BSD 3 clause license"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("CC-BY-4.0", "licensed under CC BY 4.0 creative commons attribution"),
+    ("CC-BY-NC-4.0", "licensed under CC BY NC 4.0"),
+    ("CC-BY-SA-4.0", "licensed under CC BY SA 4.0"),
+    ("CC0-1.0", "released under CC0 1.0 universal public domain dedication"),
+    ("GPL-2.0", "licensed under the GNU General Public License version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "this work is licensed under the GNU General Public License version 3"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "released under the ISC license"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "licensed under the GNU Lesser General Public License version 3"),
+    ("MIT", "released under the MIT license"),
+    ("MIT", "MIT License"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "subject to the terms of the Mozilla Public License version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "this is free and unencumbered software released into the public domain"),
+]
 
 # Words that say nothing of a licence.
-STOP_WORDS = ["a", "an", "and", "by", "in", "into", "is", "it", "of", "on", "or", "the", "this", "to", "under", "with"]
+STOP_WORDS = [
+    "a", "above", "all", "an", "and", "any", "are", "as", "at", "be", "by", "can", "do", "either", "for", "from", "if", "in", "into", "is", "it", "its", "later", "may", "nor",
+    "not", "of", "on", "one", "or", "so", "that", "the", "this", "to", "under", "used", "was", "whom", "with", "without", "you",
+]
 
 #: File names that make a file the licence of its directory.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|copyright)([._-].*)?$"
@@ -55,49 +71,60 @@ def terms(text: Column) -> Column:
     return F.filter(bare, lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
-def template_terms(templates: dict[str, str]) -> dict[str, dict[str, int]]:
-    """Term counts of each template, by the rule of :func:`terms`."""
-    out: dict[str, dict[str, int]] = {}
-    for name, text in templates.items():
+def template_terms(templates: list[tuple[str, str]]) -> list[tuple[str, dict[str, int]]]:
+    """Name and term counts of each template, by the rule of :func:`terms`."""
+    out = []
+    for name, text in templates:
         own = "".join(c if c.isascii() and c.isalnum() or c == "." else " " for c in text.lower()).split()
         kept = [w for w in (x.strip(".") for x in own) if w and w not in STOP_WORDS]
-        out[name] = {w: kept.count(w) for w in sorted(set(kept))}
+        out.append((name, {w: kept.count(w) for w in sorted(set(kept))}))
     return out
 
 
-def candidate_lines(files: DataFrame, templates: dict[str, dict[str, int]]) -> DataFrame:
-    """``(path, line_no, tf, n_terms)`` of lines with terms of templates: a map of their counts, and the number of all terms."""
-    vocabulary = sorted({w for t in templates.values() for w in t})
-    # a statement has at least this share of template terms in it, which most lines haven't
-    flat = files.select("path", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line") != "")
-    known = flat.select("path", "line_no", terms(F.col("line")).alias("all"))
-    hits = known.withColumn("hits", F.filter("all", lambda w: w.isin(vocabulary)))
-    return hits.where(F.size("hits") > 0).select("path", "line_no", "hits", F.size("all").alias("n_terms"))
+def candidates(files: DataFrame, vocabulary: list[str], share: float) -> DataFrame:
+    """``(path, line_no, n_lines, n_terms, hits)`` of lines with a term of ``vocabulary``, and of paragraphs with a ``share`` of such terms.
 
-
-def statements(files: DataFrame, templates: dict[str, str] | None = None, least: float = MIN_COSINE, share: float = MIN_SHARE) -> DataFrame:
-    """``(path, license, score, line_no)``: the best-matching line of each file that has one at ``least`` or over.
-
-    Ties go to the earlier line, then to the name that sorts first.
+    Paragraphs are runs of two lines or more between lines without terms (blank ones,
+    bare comment signs). Each line is cut to terms once.
+    """
+    lines = F.transform(F.transform(F.split("text", "\n"), terms), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(vocabulary)).alias("hits")))
+    found = files.select("path", lines.alias("l")).where(F.exists("l", lambda x: F.size(x["hits"]) > 0))
+    single = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("line_no"), F.lit(1).alias("n_lines"), x["n"].alias("n_terms"), x["hits"].alias("hits"))), lambda x: F.size(x["hits"]) > 0)
+    breaks = F.filter(F.sequence(F.lit(0), F.size("l")), lambda i: F.coalesce(F.get("l", i)["n"], F.lit(0)) == 0)
+    found = found.select("path", "l", single.alias("single"), breaks.alias("breaks"))
+    start = lambda k: F.when(k > 0, F.get("breaks", k - 1) + 1).otherwise(0)
+    runs = F.filter(F.transform("breaks", lambda b, k: F.struct(start(k).alias("line_no"), (b - start(k)).alias("n_lines"))), lambda r: r["n_lines"] > 1)
+    own = lambda r: F.slice("l", r["line_no"] + 1, r["n_lines"])
+    whole = F.transform(runs, lambda r: F.struct(r["line_no"], r["n_lines"], F.aggregate(own(r), F.lit(0), lambda a, x: a + x["n"]).alias("n_terms"), F.flatten(F.transform(own(r), lambda x: x["hits"])).alias("hits")))
+    units = F.concat("single", F.filter(whole, lambda u: F.size(u["hits"]) >= u["n_terms"] * share))
+    return found.select("path", F.explode(units).alias("u")).select("path", "u.*")
+
+
+def statements(files: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = MIN_COSINE, share: float = MIN_SHARE) -> DataFrame:
+    """``(path, license, score, line_no)``: the best-matching line or paragraph of each file that has one at ``least`` or over.
+
+    Ties go to the earlier line, then to the name that sorts first. ``line_no``
+    counts from 0; a paragraph has that of its first line.
     """
     counts = template_terms(TEMPLATES if templates is None else templates)
-    found = table(candidate_lines(files, counts), "license-lines")
+    found = table(candidates(files, sorted({w for _, t in counts for w in t}), share), "license-lines")
     total = files.select(F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: x != "")))).first()[0] or 0
     # as many rows as the templates have terms
-    df = {r["w"]: r["n"] for r in found.select(F.explode(F.array_distinct("hits")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for t in counts.values() for w in t}
+    df = {r["w"]: r["n"] for r in found.where("n_lines = 1").select(F.explode(F.array_distinct("hits")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for _, t in counts for w in t}
     weights = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w])])
-    norms = {name: math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())) for name, t in counts.items()}
-    postings = F.create_map(*[x for w in sorted(idf) for x in (F.lit(w), F.array(*[F.struct(F.lit(name).alias("name"), F.lit(t[w] * idf[w] / norms[name]).alias("q")) for name, t in counts.items() if w in t]))])
+    norms = [math.sqrt(sum((n * idf[w]) ** 2 for w, n in t.items())) for _, t in counts]
+    vectors = F.array(*[F.struct(F.lit(name).alias("license"), F.create_map(*[F.lit(x) for w, n in t.items() for x in (w, n * idf[w] / norm)]).alias("q")) for (name, t), norm in zip(counts, norms)])
     # what isn't a template's term weighs as the rarest: it counts against the line
     rare = math.log(1 + total) + 1
     near = found.where(F.size("hits") >= F.col("n_terms") * share)
-    by_term = near.select("path", "line_no", "n_terms", F.size("hits").alias("n"), F.explode("hits").alias("w")).groupBy("path", "line_no", "n_terms", "n", "w").agg(F.count("*").alias("tf"))
-    weighed = by_term.withColumn("p", F.col("tf") * weights[F.col("w")])
-    norm = weighed.groupBy("path", "line_no", "n_terms", "n").agg(F.sum(F.col("p") * F.col("p")).alias("sq"))
-    norm = norm.select("path", "line_no", F.sqrt(F.col("sq") + (F.col("n_terms") - F.col("n")) * F.lit(rare * rare)).alias("norm"))
-    dots = weighed.select("path", "line_no", "p", F.explode(postings[F.col("w")]).alias("t")).groupBy("path", "line_no", F.col("t.name").alias("license")).agg(F.sum(F.col("p") * F.col("t.q")).alias("dot"))
-    scored = dots.join(norm, ["path", "line_no"]).select("path", "line_no", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
+    tf = lambda w: F.size(F.filter("hits", lambda x: x == w))
+    p = F.transform(F.array_distinct("hits"), lambda w: F.struct(w.alias("w"), (tf(w) * weights[w]).alias("p")))
+    weighed = near.select("path", "line_no", (F.col("n_terms") - F.size("hits")).alias("others"), p.alias("p"))
+    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda a, x: a + x["p"] * x["p"]) + F.col("others") * F.lit(rare * rare))
+    each = weighed.select("path", "line_no", "p", norm.alias("norm"), F.explode(vectors).alias("t"))
+    dot = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["p"] * F.coalesce(F.try_element_at(F.col("t.q"), x["w"]), F.lit(0.0)))
+    scored = each.select("path", "line_no", "t.license", F.round(dot / F.col("norm"), 6).alias("score")).where(F.col("score") >= least)
     best = F.min_by(F.struct("license", "score", "line_no"), F.struct(-F.col("score"), "line_no", "license"))
     return scored.groupBy("path").agg(best.alias("b")).select("path", "b.*")
 
@@ -119,7 +146,7 @@ def inherited(paths: DataFrame, own: DataFrame) -> DataFrame:
     return nearest.select("dir", "l.license", F.col("l.path").alias("inherited_from"))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, least: float = MIN_COSINE) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = MIN_COSINE) -> DataFrame:
     """Licences of files: ``(path, license, score, line_no, origin, inherited_from)``, a row for each row of ``files``.
 
     ``origin`` is ``file`` for a licence of the file's own text, ``directory`` for an

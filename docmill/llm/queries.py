@@ -90,8 +90,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_licenses, op3_sentencepiece, op4_warc, op5_token_counts, op6_language, op7_decontaminate, op8_lm_score, op9_line_dedup, op10_quality, pipeline)
 }
 
+def license_sql() -> str:
+    """Lines and paragraphs against the templates by TF-IDF cosine, and inheritance, in one statement."""
+    quoted = lambda w: "'" + w + "'"
+    postings = ", ".join(f"({k}, '{name}', '{w}', {n})" for k, (name, t) in enumerate(licenses.template_terms(licenses.TEMPLATES)) for w, n in t.items())
+    return rf"""
+        WITH t(k, license, w, tf) AS (VALUES {postings}),
+        f AS (
+          SELECT doc_id, coalesce(text, '') AS text,
+                 CASE WHEN doc_id % 1000 = 1 THEN concat_ws('/', source, (doc_id // 1000)::VARCHAR, 'LICENSE.' || doc_id)
+                      ELSE concat_ws('/', source, (doc_id // 1000)::VARCHAR, (doc_id // 100)::VARCHAR, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' || doc_id ELSE 'doc' || doc_id || '.txt' END) END AS path
+          FROM documents),
+        s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM f),
+        l AS (
+          SELECT doc_id, i - 1 AS line_no, s[i] AS line,
+                 list_filter(list_transform(regexp_split_to_array(lower(s[i]), '[^a-z0-9.]+'), lambda x: trim(x, '.')), lambda x: x <> '' AND x NOT IN ({", ".join(map(quoted, licenses.STOP_WORDS))})) AS w
+          FROM s, unnest(range(1, len(s) + 1)) AS r(i)),
+        total AS (SELECT count(*) AS n FROM l WHERE line <> ''),
+        df AS (SELECT w, count(DISTINCT (doc_id, line_no)) AS n FROM (SELECT doc_id, line_no, unnest(w) AS w FROM l) WHERE w IN (SELECT w FROM t) GROUP BY w),
+        idf AS (SELECT t.w, ln((1.0 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS x FROM (SELECT DISTINCT w FROM t) t CROSS JOIN total LEFT JOIN df USING (w)),
+        q AS (SELECT k, license, w, tf * x / sqrt(sum((tf * x) * (tf * x)) OVER (PARTITION BY k)) AS q FROM t JOIN idf USING (w)),
+        g AS (SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM l),
+        u AS (
+          SELECT doc_id, line_no, 1 AS n_lines, w FROM l WHERE len(w) > 0
+          UNION ALL SELECT doc_id, min(line_no), count(*), flatten(list(w ORDER BY line_no)) FROM g WHERE len(w) > 0 GROUP BY doc_id, run HAVING count(*) > 1),
+        h AS (
+          SELECT doc_id, line_no, n_lines, v.w, count(*) * any_value(x) AS p, any_value(n) AS n, count(*) AS tf
+          FROM (SELECT doc_id, line_no, n_lines, unnest(w) AS w, len(w) AS n FROM u) v JOIN idf USING (w) GROUP BY doc_id, line_no, n_lines, v.w),
+        norm AS (
+          SELECT doc_id, line_no, n_lines, sqrt(sum(p * p) + (any_value(n) - sum(tf)) * pow(ln(1.0 + (SELECT n FROM total)) + 1, 2)) AS norm
+          FROM h GROUP BY doc_id, line_no, n_lines HAVING sum(tf) >= any_value(n) * {licenses.MIN_SHARE}),
+        scored AS (
+          SELECT doc_id, line_no, license, round(sum(p * q) / any_value(norm), 6) AS score
+          FROM h JOIN norm USING (doc_id, line_no, n_lines) JOIN q USING (w) GROUP BY doc_id, line_no, n_lines, k, license),
+        own AS (SELECT doc_id, license, score, line_no FROM scored WHERE score >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, license) = 1),
+        d AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, score, line_no FROM f LEFT JOIN own USING (doc_id)),
+        top AS (
+          SELECT dir, license, path FROM d WHERE license IS NOT NULL AND regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice|copyright)([._-][^/]*)?$')
+          QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) = 1),
+        up AS (
+          SELECT d.doc_id, top.license, top.path FROM d JOIN top ON top.dir = '' OR d.dir = top.dir OR starts_with(d.dir, top.dir || '/')
+          QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY length(top.dir) DESC) = 1)
+        SELECT doc_id, d.path, coalesce(d.license, up.license) AS license, score, line_no::INT AS line_no,
+               CASE WHEN d.license IS NOT NULL THEN 'file' WHEN up.license IS NOT NULL THEN 'directory' END AS origin,
+               CASE WHEN d.license IS NULL THEN up.path END AS inherited_from
+        FROM d LEFT JOIN up USING (doc_id)"""
+
+
 # XXH64 of shingles (1), trained models (6, 8) and tokenizers (3, 5, pipeline) have no SQL here; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op2_licenses": license_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, sha1(html) AS digest, strlen(html) AS n FROM p),

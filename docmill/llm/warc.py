@@ -163,8 +163,10 @@ def read_record(archive: bytes, frame: int, offset: int) -> dict:
 def read_bundles(packed: DataFrame) -> DataFrame:
     """All records (schema ``RECORDS``) of a table of bundles, found through seek table and index.
 
-    A response whose payload doesn't have its digest raises.
+    A response whose payload doesn't have its digest raises. Bundles come a few in a
+    batch, as :func:`small_batches` bounds its bytes.
     """
+    small_batches(packed.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(packed.sparkSession.createDataFrame([], RECORDS).schema)
@@ -190,8 +192,6 @@ def read_bundles(packed: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    # a bundle is up to BUNDLE_BYTES: a few in a batch
-    packed.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return packed.select("archive", "entries").mapInArrow(read, RECORDS)
 
 

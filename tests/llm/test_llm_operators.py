@@ -143,6 +143,21 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_license_headers(spark):
+    """Headers wrapped over lines behind comment signs, and clauses of licence files; near misses aren't taken."""
+
+    def wrapped(text, sign, width=9):
+        words = text.split()
+        return "\n".join(sign + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+    long_ones = [(name, t) for name, t in licenses.TEMPLATES if len(t) > 120]
+    rows = [(f"{k}.py", f"#!/bin/run\n#\n{wrapped(t, '# ')}\n#\nimport words\n" + "\n".join(f"call {i} of things" for i in range(50))) for k, (_, t) in enumerate(long_ones)]
+    rows += [("x/COPYING", f"Some License\n\nCopyright 2020 Someone\n\n{wrapped(dict(long_ones)['MIT'], '')}\n\nMore conditions."), ("x/a.c", "int main"), ("y.c", "free software\nand a copy of it\nfor any purpose\nthat birds have in their own old gardens"), ("z.c", "\n\n\n")]
+    got = {r["path"]: (r["license"], r["line_no"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"{k}.py"] for k in range(len(long_ones))] == [(name, 2, "file") for name, _ in long_ones]
+    assert got["x/COPYING"] == ("MIT", 4, "file") and got["x/a.c"] == ("MIT", None, "directory") and got["y.c"][0] is None and got["z.c"][0] is None
+
+
 def test_licenses_of_documents(spark, docs):
     got = {r["doc_id"]: r["license"] for r in queries.op2_licenses(spark, SF).where("origin = 'file'").collect()}
     lines_ = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT"}

@@ -34,7 +34,7 @@ CACHE_SEGMENTS = 350_000
 #: Pairs of pieces that a worker keeps.
 CACHE_PAIRS = 1_000_000
 #: Characters of new segments that are indexed at once, if no one segment is longer.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 19
 
 
 class Vocabulary:
@@ -153,24 +153,29 @@ class Encoder:
         self.pairs: dict[int, bool] = {}
         self.cut_lines = not any("\n" in p for p in self.v.pieces)
 
+    def edges(self, size: int, order: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[array, array, array]:
+        """Ends and pieces of all occurrences by their start, the longest first, and where each start's begin; as arrays, which take a tenth of a list's memory."""
+        piece = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        start = order[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+        by = np.argsort(start.astype(np.int64) * 64 - self.lengths[piece])
+        piece, start = piece[by], start[by]
+        del by
+        end = start + self.lengths[piece].astype(np.int32)
+        bounds = np.searchsorted(start, np.arange(size + 2, dtype=np.int32)).astype(np.int32)
+        return array("i", end.tobytes()), array("i", piece.tobytes()), array("i", bounds.tobytes())
+
     def encode_segments(self, segments: list[str]) -> list[bytes]:
         """Ids (int32) of segments, all indexed together."""
         text = "\0".join(segments)  # no piece has a zero in it
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         order = suffix_array(codes, self.v.longest)
         lo, hi = occurrence_ranges(codes, order, self.codes, self.lengths)
-        n = hi - lo
-        piece = np.repeat(np.arange(len(n)), n)
-        start = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        end = start + self.lengths[piece]
-        by = np.argsort(start * 64 - self.lengths[piece])  # edges by their start, the longest first
-        bounds = np.searchsorted(start[by], np.arange(len(codes) + 2)).tolist()
-        piece = piece[by]
-        end, piece = (start[by] + self.lengths[piece]).tolist(), piece.tolist()
+        end, piece, bounds = self.edges(len(codes), order.astype(np.int32), lo, hi - lo)
+        del codes, order
         pieces, ids, pairs, fits = len(self.v.pieces), self.piece_ids, self.pairs, self.v.fits
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
-        dead = bytearray(len(codes) + 1)  # places from which no way leads to the end
+        dead = bytearray(len(text) + 1)  # places from which no way leads to the end
         out: list[bytes] = []
         at = 0
         for segment in segments:

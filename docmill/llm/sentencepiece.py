@@ -30,11 +30,11 @@ from .common import map_texts
 
 SPACE = "▁"
 #: Segments whose ids a worker keeps; when there are more, only those met again stay.
-CACHE_SEGMENTS = 350_000
+CACHE_SEGMENTS = 150_000
 #: Pairs of pieces that a worker keeps.
 CACHE_PAIRS = 1_000_000
 #: Characters of new segments that are indexed at once, if no one segment is longer.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 18
 
 
 class Vocabulary:
@@ -225,15 +225,16 @@ class Encoder:
                 start, size = i, 0
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        cut = [segments_of(t.decode("utf-8", "replace"), self.cut_lines) if t else [] for t in texts]
+        number: dict[str, int] = {}  # distinct segments of the texts, which are kept as numbers
+        cut = [array("i", [number.setdefault(s, len(number)) for s in segments_of(t.decode("utf-8", "replace"), self.cut_lines)] if t else []) for t in texts]
         if len(self.known) > CACHE_SEGMENTS:
             self.known, self.older = {}, self.known
-        new = set().union(*cut) - self.known.keys()
+        new = number.keys() - self.known.keys()
         again = new & self.older.keys()
         self.known.update((s, self.older[s]) for s in again)
         self.learn(sorted(new - again))
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, c)), np.int32) for c in cut]
+        ids = [self.known[s] for s in number]
+        return [np.frombuffer(b"".join(map(ids.__getitem__, c)), np.int32) for c in cut]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: pieces with blanks for word-begin signs, byte pieces joined to characters, without the blank put before a text."""

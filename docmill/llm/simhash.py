@@ -7,6 +7,9 @@ codeword indices, and two vectors at two or fewer differing bits share at least
 one. Two fingerprints that differ in at most two bits agree wholly in one of the
 three segments (pigeonhole), so (that segment, an index of the next one) is a key
 they share: 3 to 18 keys a fingerprint. Fingerprints that share a key are verified.
+
+The pipeline's near dedup is :func:`keep_one`, by exact Jaccard similarity of
+five-word shingles: 0.8 is about ten bits of 64, too many for keys that miss none.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, forget, map_texts, table
+from .common import LOWER, forget, map_texts, row_key, table
 
 SHINGLE = 3
 SEED = 42
@@ -30,6 +33,14 @@ GENERATOR = 0b110001110101
 #: Keys with up to so many fingerprints are joined pair by pair; those of larger keys are linked by shared one-bit neighbours, which is as exact and linear.
 PAIRWISE = 32
 
+#: Near copies as wholes, for :func:`keep_one`: shingles of so many words, alike from this fraction on.
+COPY_SHINGLE = 5
+ALIKE = (4, 5)
+#: Shingles of so many of the texts in one of ``SAMPLE`` parts are compared last, the ``MAX_OFTEN`` most common at most.
+SAMPLE = 16
+SAMPLE_OFTEN = 8
+MAX_OFTEN = 1 << 20
+
 
 def fingerprint_batch(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
     """Signed 64-bit fingerprints of texts; zero where there is no word."""
@@ -189,7 +200,126 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted distinct 63-bit hashes of a text's shingles; a text with fewer words is one shingle, as is a text without any."""
+    words = text.translate(LOWER).split() if text else []
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        hashes = [digest(joined, SEED)]
+    else:
+        ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
+        starts = [0, *(e + 1 for e in ends)]
+        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+    return np.unique(np.array(hashes, np.uint64) >> np.uint64(1)).view(np.int64)
+
+
+def prefix(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """So many of a set's first hashes, those of ``often`` (sorted) last, that two sets alike enough share one of theirs.
+
+    Hashes that aren't in ``often`` come as negative numbers, so that prefixes are sorted.
+
+    Sets alike at 0.8 have at least 0.8 of either in common, so by any one order of
+    all hashes the first common one is among the first 0.2 n + 1 of both.
+    """
+    n = len(hashes)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        last = often[at] == hashes
+    else:
+        last = np.zeros(n, bool)
+    hashes = np.concatenate([hashes[~last] + np.iinfo(np.int64).min, hashes[last]])
+    return hashes[: n - (n * ALIKE[0] + ALIKE[1] - 1) // ALIKE[1] + 1]
+
+
+def often_shared(docs: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of shingles that many distinct texts of a sample have, the most common if too many.
+
+    They only choose the order in which :func:`prefix` takes shingles, which any
+    order leaves exact: common passages are the last by which texts are compared.
+    """
+    th = row_key(text, text)[1]
+    some = docs.select(th, F.col(text).alias("t")).where(F.pmod("__th", F.lit(SAMPLE)) == 0).dropDuplicates(["__th"])
+    sets = map_texts(some, {"__th": "__th"}, "t", lambda: lambda texts: {"hs": [shingle_set(t) for t in texts]}, "hs array<bigint>")
+    n = sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_OFTEN)
+    got = n.orderBy(F.desc("n"), "h").limit(MAX_OFTEN).select("h").toArrow()
+    return np.sort(got.column(0).to_numpy().astype(np.int64))
+
+
+def alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The ``(a, b)`` of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
+    enough = lambda common, m, n: common * sum(ALIKE) >= (m + n) * ALIKE[0]  # i / (m + n - i) >= p / q, in whole numbers
+    nodes = lambda df: df.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    reps = table(rows.join(nodes(pairs), "sig", "left_semi").select("sig", "__th", "n", "prefix").dropDuplicates(["sig"]), "candidates")
+    one, two = (reps.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
+    # all common hashes up to the end of the prefix that ends first are in both prefixes, so only what follows it in either set can be more
+    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    after = lambda x: F.col(f"n{x}") - F.size(F.filter(f"p{x}", lambda h: h <= F.col("end")))
+    most = F.size(F.array_intersect("pa", "pb")) + F.least(after("a"), after("b"))
+    close = table(pairs.join(one, "a").join(two, "b").withColumn("end", end).where(enough(F.least(most, "na", "nb"), F.col("na"), F.col("nb"))).select("a", "b"), "close-pairs")
+    # texts of one set may differ in case and space, and any will do
+    texts = docs.select(row_key(text, text)[1], F.col(text).alias("t")).join(reps.join(nodes(close), "sig", "left_semi").select("sig", "__th"), "__th").select("sig", "t")
+    sets = map_texts(texts, {"sig": "sig"}, "t", lambda: lambda ts: {"hs": [shingle_set(t) for t in ts]}, "hs array<bigint>")
+    sets = table(sets.dropDuplicates(["sig"]), "candidate-sets")
+    one, two = (sets.select(F.col("sig").alias(x), F.col("hs").alias(f"h{x}")) for x in "ab")
+    both = close.join(one, "a").join(two, "b")
+    return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
+
+
+def copy_links(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``(a, root)`` of sets that links at the similarity join, for each that is not the smallest of its component.
+
+    Sets that share a shingle of their prefixes are first compared with the
+    smallest one that has it. What that joins need not be compared again; all pairs
+    of different components that still share one are then compared.
+    """
+    keys = rows.select("sig", "n", F.explode("prefix").alias("h"))
+    shared = keys.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
+    keys = table(keys.join(shared, "h", "left_semi").distinct(), "shared-shingles")
+    near = F.least("n", "n2") * ALIKE[1] >= F.greatest("n", "n2") * ALIKE[0]
+    pair = lambda df: df.where((F.col("sig") != F.col("sig2")) & near).select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct()
+    low = keys.groupBy("h").agg(F.min(F.struct("sig", "n")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"))
+    first = table(alike(table(pair(keys.join(low, "h")), "star-pairs"), rows, docs, text), "star-links")
+    roots = components(first)
+    named = keys.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    apart = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    named = table(named.join(apart, "h", "left_semi"), "shared-apart")
+    # components meet first, so that the pairs within one are never made
+    groups = named.select("h", "root").distinct()
+    meet = groups.join(groups.withColumnRenamed("root", "root2"), "h").where("root < root2")
+    other = named.select("h", F.col("root").alias("root2"), F.col("sig").alias("sig2"), F.col("n").alias("n2"))
+    rest = pair(meet.join(named, ["h", "root"]).join(other, ["h", "root2"]))
+    more = alike(table(rest, "pairs-apart"), rows, docs, text)
+    return components(first.unionByName(more))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row, that of the smallest id, of each component; columns as they were."""
-    kept = near_duplicates(docs, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([doc_id])
+    """``docs`` with one row, that of the smallest id, of each group of near copies; columns as they were.
+
+    Texts are near copies if their sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, or a chain of such texts joins them. Texts without a
+    word are copies of each other; null ids stay only where there is no other.
+    """
+    often = often_shared(docs, text)
+
+    def start():
+        def work(texts):
+            sets = [shingle_set(t) for t in texts]
+            sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            return {"sig": sig, "n": [len(s) for s in sets], "prefix": [prefix(s, often) for s in sets]}
+
+        return work
+
+    ident, th = row_key(text, doc_id)
+    rows = table(map_texts(docs, {"__id": ident, "__th": th}, text, start, "sig long, n long, prefix array<bigint>"), "shingles")
+    roots = copy_links(rows, docs, text)
+    named = rows.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")).alias("k")).select(F.col("k.__id").alias("__id2"), F.col("k.__th").alias("__th2"))
+    count = rows.groupBy("__id", "__th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__id").alias("__id3"), F.col("__th").alias("__th3"))
+    same = lambda k: F.col("__id").eqNullSafe(F.col(f"__id{k}")) & (F.col("__th") == F.col(f"__th{k}"))
+    kept = table(best.join(count, F.col("__id2").eqNullSafe(F.col("__id3")) & (F.col("__th2") == F.col("__th3")), "left").select("__id2", "__th2", F.col("__th3").isNotNull().alias("many")), "kept")
+    keyed = docs.select("*", *row_key(text, doc_id))
+    # only rows that are there more than once are sought for repeats
+    once = keyed.join(kept.where("not many"), same(2), "left_semi")
+    many = keyed.join(kept.where("many"), same(2), "left_semi").dropDuplicates(["__id", "__th"])
+    return once.unionByName(many).select(*docs.columns)

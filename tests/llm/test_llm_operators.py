@@ -131,6 +131,36 @@ def test_keep_one(spark, odd):
     assert sorted(kept, key=str) == [1, 4, 6, None]
 
 
+def jaccard(a, b):
+    one, two = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_keep_one_finds_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    rnd = random.Random(3)
+    passage = [f"p{k}" for k in range(30)]
+    texts = []
+    for k in range(60):
+        words = (passage if k % 2 else []) + [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([20, 60, 150, 400]))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 7):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(3000)}"
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    sims = {(a, b): jaccard(texts[a], texts[b]) for a in range(len(texts)) for b in range(a)}
+    for (a, b), v in sims.items():
+        if v >= 0.8:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert sum(0.8 <= v < 0.95 for v in sims.values()) > 20 and any(0.7 < v < 0.8 for v in sims.values())
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted({find(k) for k in range(len(texts))})
+
+
 # 2
 
 

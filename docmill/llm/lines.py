@@ -1,10 +1,9 @@
 """Line dedup by distinct-site spread.
 
-HyperLogLog sketches of the sites and of the contexts (lines before and after) of
-each line hash are merged by aggregation. Lines near a threshold get exact distinct
-counts. A line on many sites is boilerplate and is removed everywhere, unless it
-always stands between the same lines: then whole documents are copies, which near
-dedup deals with, and no line is taken out of them.
+HyperLogLog sketches of the sites and of the texts of each line hash are merged by
+aggregation. Lines near a threshold get exact distinct counts. A line on many sites
+is boilerplate and is removed everywhere, unless it is only in so few distinct texts
+that these are copies as wholes, which near dedup deals with.
 """
 
 from __future__ import annotations
@@ -14,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import row_key, table
 
-#: A line on so many distinct sites, in so many distinct contexts, is boilerplate,
+#: A line on so many distinct sites, in so many distinct texts, is boilerplate,
 MIN_SITES = 5
-#: if it has a context of its own in so large a share of its occurrences.
-MIN_CONTEXT_SHARE = 0.25
+#: if its texts are so large a share of its occurrences.
+MIN_TEXT_SHARE = 0.25
 LG_K = 12
 #: Estimates within this share of a threshold (and at least one) are counted exactly; six standard errors of the sketch are 0.1.
 BAND = 0.15
@@ -32,40 +31,39 @@ def line_hash(line: Column) -> Column:
 
 
 def line_arrays(docs: DataFrame, site: str, text: str, doc_id: str) -> DataFrame:
-    """``(__id, __th, site, lines)``: a hash and a context hash of each line of a row."""
-    hs = docs.select(*row_key(text, doc_id), F.xxhash64(site).alias("site"), F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_hash).alias("hs"))
-    safe = F.transform("hs", lambda h, i: F.struct(h.alias("h"), F.xxhash64(F.when(i > 0, F.get("hs", i - 1)), F.get("hs", i + 1), i == 0).alias("ctx")))
-    return hs.select("__id", "__th", "site", F.filter(safe, lambda x: x["h"].isNotNull()).alias("lines"))
+    """``(__id, __th, site, lines)``: the hashes of the lines of a row that aren't blank."""
+    hs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_hash)
+    return docs.select(*row_key(text, doc_id), F.xxhash64(site).alias("site"), hs.alias("hs")).select("__id", "__th", "site", F.filter("hs", lambda h: h.isNotNull()).alias("lines"))
 
 
-def boilerplate(lines: DataFrame, sites: int = MIN_SITES, share: float = MIN_CONTEXT_SHARE) -> DataFrame:
-    """``(h)`` of lines over both limits, of exploded ``(site, h, ctx)``."""
-    some = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1"))
-    some = some.where((F.col("n") >= sites) & (F.col("s0") != F.col("s1")) & (F.col("c0") != F.col("c1"))).select("h")
+def boilerplate(lines: DataFrame, sites: int = MIN_SITES, share: float = MIN_TEXT_SHARE) -> DataFrame:
+    """``(h)`` of lines over both limits, of exploded ``(site, h, th)``."""
+    some = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("th").alias("t0"), F.max("th").alias("t1"))
+    some = some.where((F.col("n") >= sites) & (F.col("s0") != F.col("s1")) & (F.col("t0") != F.col("t1"))).select("h")
     mine = lines.join(some, "h", "left_semi")
     sketched = mine.groupBy("h").agg(
         F.count("*").alias("n"),
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("ctx", F.lit(LG_K))).alias("n_ctx"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("th", F.lit(LG_K))).alias("n_texts"),
     )
     need = F.greatest(F.lit(float(sites)), F.col("n") * share)
     near = lambda v, t: F.abs(v - t) <= F.greatest(F.lit(1.0), t * BAND)
-    over = (F.col("n_sites") >= sites) & (F.col("n_ctx") >= need)
-    within = near(F.col("n_sites"), F.lit(float(sites))) | near(F.col("n_ctx"), need)
-    below = (F.col("n_sites") < sites * (1 - BAND) - 1) | (F.col("n_ctx") < need * (1 - BAND) - 1)
+    over = (F.col("n_sites") >= sites) & (F.col("n_texts") >= need)
+    within = near(F.col("n_sites"), F.lit(float(sites))) | near(F.col("n_texts"), need)
+    below = (F.col("n_sites") < sites * (1 - BAND) - 1) | (F.col("n_texts") < need * (1 - BAND) - 1)
     sketched = table(sketched.where(~below).select("h", "n", over.alias("over"), within.alias("within")), "line-sketches")
     close = mine.join(sketched.where("within").select("h"), "h", "left_semi")
     exact_sites = close.groupBy("h", "site").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n_sites"))
-    exact_ctx = close.groupBy("h", "ctx").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("n_ctx"), F.sum("k").alias("n"))
-    exact = exact_sites.join(exact_ctx, "h").where(over).select("h")
+    exact_texts = close.groupBy("h", "th").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("n_texts"), F.sum("k").alias("n"))
+    exact = exact_sites.join(exact_texts, "h").where(over).select("h")
     return sketched.where("over and not within").select("h").unionByName(exact)
 
 
-def drops(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES, share: float = MIN_CONTEXT_SHARE) -> DataFrame:
+def drops(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES, share: float = MIN_TEXT_SHARE) -> DataFrame:
     """``(__id, __th, drop)``: hashes of the lines to remove of rows that have any; rows are named by id and text."""
     rows = table(line_arrays(docs, site, text, doc_id), "lines")
-    flat = rows.select("__id", "__th", "site", F.explode("lines").alias("x")).select("__id", "__th", "site", "x.h", "x.ctx")
-    bad = table(boilerplate(flat.select("site", "h", "ctx"), sites, share), "boilerplate")
+    flat = rows.select("__id", "__th", "site", F.explode("lines").alias("h"))
+    bad = table(boilerplate(flat.select("site", "h", F.col("__th").alias("th")), sites, share), "boilerplate")
     return flat.join(bad, "h").groupBy("__id", "__th").agg(F.collect_set("h").alias("drop"))
 
 
@@ -76,7 +74,7 @@ def without_lines(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(keep, "\n"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES, share: float = MIN_CONTEXT_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES, share: float = MIN_TEXT_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and two columns more: ``n_lines`` and ``n_removed_lines``.
 
     All rows stay, in count and order of lines. Null texts stay null, with 0 lines;

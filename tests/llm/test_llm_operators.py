@@ -377,6 +377,13 @@ def test_line_dedup_spares_copies(spark):
     assert all(got[100 + i]["n_removed_lines"] == 0 for i in range(30))
 
 
+def test_line_dedup_takes_blocks(spark):
+    footer = [f"footer line {k}" for k in range(5)]
+    rows = [(i, "\n".join([f"start {i}", "", "A notice", "", f"middle {i}", *footer, f"end {i}"]), "en", f"s{i % 7}", 1) for i in range(30)]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i]["text"] == f"start {i}\n\n\nmiddle {i}\nend {i}" and got[i]["n_removed_lines"] == 6 for i in range(30))
+
+
 def test_quality(spark, odd, empty):
     w, w2 = (" ".join(f"{x}{k}" for k in range(30)) for x in ("word", "other"))
     menu = "home about contact " * 8

@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import row_key, table
 
-#: A line on so many distinct sites, in so many distinct texts, is boilerplate,
+#: A line on so many distinct sites, in so many distinct texts, is boilerplate.
 MIN_SITES = 5
-#: if its texts are so large a share of its occurrences.
-MIN_TEXT_SHARE = 0.25
 LG_K = 12
 #: Estimates within this share of a threshold (and at least one) are counted exactly; six standard errors of the sketch are 0.1.
 BAND = 0.15
@@ -36,34 +34,32 @@ def line_arrays(docs: DataFrame, site: str, text: str, doc_id: str) -> DataFrame
     return docs.select(*row_key(text, doc_id), F.xxhash64(site).alias("site"), hs.alias("hs")).select("__id", "__th", "site", F.filter("hs", lambda h: h.isNotNull()).alias("lines"))
 
 
-def boilerplate(lines: DataFrame, sites: int = MIN_SITES, share: float = MIN_TEXT_SHARE) -> DataFrame:
-    """``(h)`` of lines over both limits, of exploded ``(site, h, th)``."""
+def boilerplate(lines: DataFrame, sites: int = MIN_SITES) -> DataFrame:
+    """``(h)`` of lines on ``sites`` sites and in as many texts, of exploded ``(site, h, th)``."""
     some = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("th").alias("t0"), F.max("th").alias("t1"))
     some = some.where((F.col("n") >= sites) & (F.col("s0") != F.col("s1")) & (F.col("t0") != F.col("t1"))).select("h")
     mine = lines.join(some, "h", "left_semi")
     sketched = mine.groupBy("h").agg(
-        F.count("*").alias("n"),
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("th", F.lit(LG_K))).alias("n_texts"),
     )
-    need = F.greatest(F.lit(float(sites)), F.col("n") * share)
-    near = lambda v, t: F.abs(v - t) <= F.greatest(F.lit(1.0), t * BAND)
-    over = (F.col("n_sites") >= sites) & (F.col("n_texts") >= need)
-    within = near(F.col("n_sites"), F.lit(float(sites))) | near(F.col("n_texts"), need)
-    below = (F.col("n_sites") < sites * (1 - BAND) - 1) | (F.col("n_texts") < need * (1 - BAND) - 1)
-    sketched = table(sketched.where(~below).select("h", "n", over.alias("over"), within.alias("within")), "line-sketches")
+    fewer = F.least("n_sites", "n_texts")
+    over = fewer >= sites
+    within = F.least(F.abs(F.col("n_sites") - sites), F.abs(F.col("n_texts") - sites)) <= max(1.0, sites * BAND)
+    below = fewer < sites * (1 - BAND) - 1
+    sketched = table(sketched.where(~below).select("h", over.alias("over"), within.alias("within")), "line-sketches")
     close = mine.join(sketched.where("within").select("h"), "h", "left_semi")
     exact_sites = close.groupBy("h", "site").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n_sites"))
-    exact_texts = close.groupBy("h", "th").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("n_texts"), F.sum("k").alias("n"))
+    exact_texts = close.groupBy("h", "th").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n_texts"))
     exact = exact_sites.join(exact_texts, "h").where(over).select("h")
     return sketched.where("over and not within").select("h").unionByName(exact)
 
 
-def drops(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES, share: float = MIN_TEXT_SHARE) -> DataFrame:
+def drops(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES) -> DataFrame:
     """``(__id, __th, drop)``: hashes of the lines to remove of rows that have any; rows are named by id and text."""
     rows = table(line_arrays(docs, site, text, doc_id), "lines")
     flat = rows.select("__id", "__th", "site", F.explode("lines").alias("h"))
-    bad = table(boilerplate(flat.select("site", "h", F.col("__th").alias("th")), sites, share), "boilerplate")
+    bad = table(boilerplate(flat.select("site", "h", F.col("__th").alias("th")), sites), "boilerplate")
     return flat.join(bad, "h").groupBy("__id", "__th").agg(F.collect_set("h").alias("drop"))
 
 
@@ -74,14 +70,14 @@ def without_lines(text: Column, drop: Column) -> Column:
     return F.when(drop.isNull(), text).otherwise(F.array_join(keep, "\n"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES, share: float = MIN_TEXT_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", doc_id: str = "doc_id", sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text``, and two columns more: ``n_lines`` and ``n_removed_lines``.
 
     All rows stay, in count and order of lines. Null texts stay null, with 0 lines;
     blank lines are neither counted nor removed; rows without a site share one; no
     rows give none. Repeated rows (same id and text) are treated alike.
     """
-    drop = drops(docs, site, text, doc_id, sites, share).withColumnsRenamed({"__id": "__id2", "__th": "__th2", "drop": "__drop"})
+    drop = drops(docs, site, text, doc_id, sites).withColumnsRenamed({"__id": "__id2", "__th": "__th2", "drop": "__drop"})
     keyed = docs.select("*", *row_key(text, doc_id))
     both = keyed.join(drop, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
     n = lambda t: F.coalesce(F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t\\x0B\\f\\r]"))), F.lit(0)).cast("long")

@@ -384,6 +384,14 @@ def test_line_dedup_takes_blocks(spark):
     assert all(got[i]["text"] == f"start {i}\n\n\nmiddle {i}\nend {i}" and got[i]["n_removed_lines"] == 6 for i in range(30))
 
 
+def test_line_dedup_share_is_not_lowered(spark):
+    own = [(i, f"start {i}\nhot line\nend {i}", "en", f"s{i % 7}", 1) for i in range(30)]
+    copies = [(100 + i, "one page\nhot line\nover and over", "en", "s0", 1) for i in range(500)]
+    repeats = [(900, "\n".join(["hot line", "between"] * 200), "en", "s1", 1)]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(own + copies + repeats, DOCS)).collect()}
+    assert all(got[i]["n_removed_lines"] == 1 for i in [*range(30), *range(100, 600)]) and got[900]["n_removed_lines"] == 200
+
+
 def test_quality(spark, odd, empty):
     w, w2 = (" ".join(f"{x}{k}" for k in range(30)) for x in ("word", "other"))
     menu = "home about contact " * 8

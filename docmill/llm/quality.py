@@ -1,9 +1,9 @@
 """Quality rules, with cross-document line frequency by host.
 
 Rules of one text (words, symbols, repeated lines and windows) come with a hash of
-each normalised line. A line in many documents of a host is removed, unless it
-mostly stands between the same lines (copies of whole documents are near dedup's
-task); a document with too few words left is rejected.
+each normalised line. A line in many documents of a host is removed, each distinct
+text counted once (copies of whole documents are near dedup's task); a document with
+too few words left is rejected.
 """
 
 from __future__ import annotations
@@ -19,10 +19,8 @@ from .lines import without_lines
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-#: A line in more distinct documents of one host is over the limit,
+#: A line in more distinct documents of one host is over the limit.
 MAX_LINE_DOCS = 100
-#: if in so large a share of them it has a context (line before and after) of its own.
-MIN_CONTEXT_SHARE = 0.25
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -56,44 +54,28 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def measure(text: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
-    """The counts of ``BASE`` but the last, and of each distinct non-blank line: hash, context hash, words in all its occurrences."""
+def measure(text: bytes) -> tuple[list[int], list[int], list[int]]:
+    """The counts of ``BASE`` but the last, and of each distinct non-blank line: hash, words in all its occurrences."""
     words = text.split()
     seen: set[bytes] = set()
     dup = 0
-    hashes: list[int] = []
-    sizes: list[int] = []
+    sizes: dict[int, int] = {}
     for line in text.split(b"\n"):
         own = line.translate(LOWER).split()
         if not own:
-            hashes.append(0)
-            sizes.append(0)
             continue
         if line in seen:
             dup += 1
         seen.add(line)
-        hashes.append(xxhash.xxh64_intdigest(b" ".join(own), 42))
-        sizes.append(len(own))
-    where: dict[int, int] = {}
-    ctx: list[int] = []
-    n: list[int] = []
-    last = len(hashes) - 1
-    for i, (h, size) in enumerate(zip(hashes, sizes)):
-        if not size:
-            continue
-        k = where.setdefault(h, len(where))
-        if k == len(n):
-            n.append(size)
-            ctx.append(xxhash.xxh64_intdigest(b"%d,%d,%d" % (hashes[i - 1] if i else 1, hashes[i + 1] if i < last else 1, i == 0)))
-        else:
-            n[k] += size
+        h = xxhash.xxh64_intdigest(b" ".join(own), 42)
+        sizes[h] = sizes.get(h, 0) + len(own)
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     base = [len(words), len(text.translate(None, _NOT_COUNTED)), symbols, dup, repeat_words(words)]
-    return base, list(where), ctx, n
+    return base, list(sizes), list(sizes.values())
 
 
 def features(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each row: ``__row, __id, __th, host``, the columns of ``BASE`` and arrays ``h, ctx, w`` of distinct lines."""
+    """A row for each row: ``__row, __id, __th, host``, the columns of ``BASE`` and arrays ``h, w`` of distinct lines."""
 
     def start():
         def work(texts):
@@ -101,24 +83,24 @@ def features(docs: DataFrame, host: str = "source", text: str = "text", doc_id:
             names = [x.split()[0] for x in BASE.split(", ")][:5]
             out = {n: [r[0][i] for r in rows] for i, n in enumerate(names)}
             out["base_failed"] = [r[0][0] < MIN_WORDS or 100 * r[0][4] > REPEAT_PERCENT * r[0][0] for r in rows]
-            out["h"], out["ctx"], out["w"] = ([np.array(r[i], np.uint64).view(np.int64) for r in rows] for i in (1, 2, 3))
+            out["h"], out["w"] = ([np.array(r[i], np.uint64).view(np.int64) for r in rows] for i in (1, 2))
             return out
 
         return work
 
     ident, th = row_key(text, doc_id)
     keys = {"__row": F.monotonically_increasing_id(), "__id": ident, "__th": th, "host": F.col(host)}
-    return map_texts(docs, keys, text, start, BASE + ", h array<bigint>, ctx array<bigint>, w array<bigint>")
+    return map_texts(docs, keys, text, start, BASE + ", h array<bigint>, w array<bigint>")
 
 
-def frequent_lines(lines: DataFrame, most: int = MAX_LINE_DOCS, share: float = MIN_CONTEXT_SHARE) -> DataFrame:
-    """``(host, h)`` over the limit, of ``(host, h, ctx)`` with one row for each document and line."""
-    by_context = lines.groupBy("host", "h", "ctx").agg(F.count("*").alias("k"))
-    by_line = by_context.groupBy("host", "h").agg(F.sum("k").alias("n_docs"), F.count("*").alias("n_ctx"))
-    return by_line.where((F.col("n_docs") > most) & (F.col("n_ctx") >= F.col("n_docs") * share)).select("host", "h")
+def frequent_lines(lines: DataFrame, most: int = MAX_LINE_DOCS) -> DataFrame:
+    """``(host, h)`` over the limit, of ``(host, h, th)`` with one row for each document and line."""
+    some = lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("th").alias("t0"), F.max("th").alias("t1")).where((F.col("n") > most) & (F.col("t0") != F.col("t1")))
+    texts = lines.join(some.select("host", "h"), ["host", "h"], "left_semi").groupBy("host", "h", "th").agg(F.lit(1).alias("x"))
+    return texts.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("host", "h")
 
 
-def verdicts(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", most: int = MAX_LINE_DOCS, share: float = MIN_CONTEXT_SHARE) -> DataFrame:
+def verdicts(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", most: int = MAX_LINE_DOCS) -> DataFrame:
     """A row for each row of ``docs``: ``doc_id``, the columns of ``BASE``, ``kept, n_removed_words``, and ``__id, __th, host, drop``.
 
     ``drop`` has the hashes of lines over the limit (null if none). Null texts have
@@ -126,10 +108,10 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text", doc_id:
     rows; no rows give none.
     """
     rows = table(features(docs, host, text, doc_id), "quality")
-    flat = rows.select("__row", F.coalesce("host", F.lit("")).alias("host"), F.explode(F.arrays_zip("h", "ctx", "w")).alias("x")).select("__row", "host", "x.*")
-    bad = table(frequent_lines(flat.select("host", "h", "ctx"), most, share), "frequent-lines")
+    flat = rows.select("__row", F.col("__th").alias("th"), F.coalesce("host", F.lit("")).alias("host"), F.explode(F.arrays_zip("h", "w")).alias("x")).select("__row", "th", "host", "x.*")
+    bad = table(frequent_lines(flat.select("host", "h", "th"), most), "frequent-lines")
     lost = flat.join(bad, ["host", "h"]).groupBy("__row").agg(F.collect_list("h").alias("drop"), F.sum("w").alias("n_removed_words"))
-    out = rows.drop("h", "ctx", "w").join(lost, "__row", "left")
+    out = rows.drop("h", "w").join(lost, "__row", "left")
     left = F.col("n_words") - F.coalesce("n_removed_words", F.lit(0))
     return out.select(
         F.col("__id").alias("doc_id"), *[x.split()[0] for x in BASE.split(", ")],

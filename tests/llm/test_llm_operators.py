@@ -406,6 +406,16 @@ def test_quality(spark, odd, empty):
     assert 5 not in cleaned and cleaned[205] == f"{w} 5\n5 {w2}"
 
 
+def test_quality_takes_templates(spark):
+    menu = [f"menu entry {k} of this host" for k in range(4)]
+    page = lambda *own: "\n".join([*menu, "", "A notice between blank lines", "", *own])
+    rows = [(i, page(f"own {i}"), "en", "h", 1) for i in range(150)] + [(1000 + i, page("hot page"), "en", "h", 1) for i in range(5000)]
+    copies = [(10_000 + i, "\n".join(f"copied line {k} with words" for k in range(10)), "en", "h", 1) for i in range(150)]
+    got = {r["doc_id"]: r for r in quality.report(spark.createDataFrame(rows + copies, DOCS)).collect()}
+    assert all(got[r[0]]["n_removed_words"] == 29 and not got[r[0]]["kept"] for r in rows)
+    assert all(got[r[0]]["n_removed_words"] == 0 and got[r[0]]["kept"] for r in copies)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

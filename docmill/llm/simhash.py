@@ -19,7 +19,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import LOWER, forget, map_texts, row_key, table
@@ -32,6 +32,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 #: Keys with up to so many fingerprints are joined pair by pair; those of larger keys are linked by shared one-bit neighbours, which is as exact and linear.
 PAIRWISE = 32
+#: Edges of which a task keeps track at once, and tasks for the edges, however few there are.
+TASK_EDGES = 1 << 18
+LEAST_TASKS = 6
 
 #: Near copies as wholes, for :func:`keep_one`: shingles of so many words, alike from this fraction on.
 COPY_SHINGLE = 5
@@ -157,29 +160,74 @@ def links(fps: DataFrame) -> DataFrame:
     return small.unionByName(star).distinct()
 
 
+class Union:
+    """Smallest member of each group of linked numbers."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (t := up.get(top, top)) != top:
+            top = t
+        while (t := up.get(x, x)) != x:
+            up[x], x = top, t
+        return top
+
+    def add(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def stars(self) -> pa.RecordBatch:
+        a = [x for x in self.up]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([self.root(x) for x in a], pa.int64())], ["a", "b"])
+
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges that join what ``edges`` join, by ``tasks`` tasks: each gives the stars of every ``TASK_EDGES`` of its edges."""
+
+    def run(batches):
+        union, n = Union(), 0
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                union.add(a, b)
+            n += batch.num_rows
+            if n >= TASK_EDGES:
+                yield union.stars()
+                union, n = Union(), 0
+        yield union.stars()
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(a, root)`` for every vertex that is not the smallest of its component.
 
-    Large-star and small-star steps in turn until nothing changes; each works on the
-    edges as a table, and hubs are joined, never gathered.
+    In a round each vertex learns the smallest of itself and its neighbours, and all
+    of them are linked to that one instead, until every vertex is the smallest or
+    has the smallest as its only neighbour. Minima are added up before the shuffle
+    and joined to the edges, so that hubs are never gathered. Before each round every
+    task replaces its edges by their stars, which leaves few rounds and rows.
     """
-    now = table(edges.select("a", "b"), "edges")
-    stamp = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    was = stamp(now)
-    while was[0]:
+    now = table(edges.select("a", "b").where("a != b"), "edges")
+    tasks = max(LEAST_TASKS, -(-now.count() // TASK_EDGES))
+    while True:
+        was, now = now, table(contracted(now, tasks), "stars")
+        forget(was)
+        seen = Observation()
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = table(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = table(small, "edges")
-        forget(now)
-        forget(large)
-        now, before, was = new, was, stamp(new)
-        if was == before:
-            break
-    return now.select("a", F.col("b").alias("root"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).observe(seen, F.count_if(F.expr("m < a and m != x")).alias("open"))
+        low = table(low.select("a", "m").coalesce(tasks), "least-neighbours")
+        if not seen.get["open"]:
+            forget(now)
+            return low.where("m < a").select("a", F.col("m").alias("root"))
+        least = low.select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
+        linked = both.join(least, F.col("a") == F.col("c")).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        now, was = table(linked.where("a != b").distinct().coalesce(tasks), "edges"), now
+        forget(was)
+        forget(low)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

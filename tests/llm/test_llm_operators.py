@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -86,6 +87,10 @@ def test_simhash(spark, docs, odd):
     assert got == slow_components(rows)
 
 
+def signed64(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
 def test_simhash_large_buckets(spark, monkeypatch):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(6)]
@@ -96,7 +101,7 @@ def test_simhash_large_buckets(spark, monkeypatch):
             for _ in range(rnd.randint(0, 4)):
                 v ^= 1 << rnd.randrange(64)
             fps.add(v)
-    signed = [maxent.signed(v) for v in fps]
+    signed = [signed64(v) for v in fps]
     edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))
     got = {r["a"]: r["root"] for r in simhash.components(edges).collect()}
     rows = [(v, v & (2**64 - 1)) for v in signed]
@@ -108,7 +113,7 @@ def test_golay_keys_meet():
     rnd = random.Random(1)
     t = simhash.golay_tables()
     assert len(set(t[1].tolist())) == 2048
-    a = np.array([maxent.signed(rnd.getrandbits(64)) for _ in range(500)], np.int64)
+    a = np.array([signed64(rnd.getrandbits(64)) for _ in range(500)], np.int64)
     b = a.copy().view(np.uint64)
     for i in range(len(b)):
         for k in rnd.sample(range(64), rnd.randint(0, 2)):
@@ -341,23 +346,89 @@ def test_maxent(spark, docs, odd, empty):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(words), sum(c[w] > 0 for w in words), n, held[r["doc_id"]])
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
     assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
-    model, counts = maxent.fit(docs, head=50)  # most words are joined
-    few = {r["doc_id"]: r["score"] for r in maxent.score(docs, model, counts, {"doc_id": F.col("doc_id")}).collect()}
-    model.head, model.head_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    none = {r["doc_id"]: r["score"] for r in maxent.score(docs, model, counts, {"doc_id": F.col("doc_id")}).collect()}
-    assert all(few[d] == pytest.approx(none[d], rel=1e-9) for d in few)
+    model, counts = maxent.fit(docs)
     rows = maxent.score(clash(odd), model, counts, {"doc_id": F.col("doc_id")}).collect()
     assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
     assert maxent.score(empty, model, counts, {"doc_id": F.col("doc_id")}).count() == 0
     assert maxent.fit(empty)[0].total == 0
 
 
-def test_class_probabilities_add_up():
-    t = maxent.tokens([b"a b c a", None, b"a"])
-    assert t.starts.tolist() == [0, 5, 6, 8]
-    w = np.random.default_rng(0).normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
-    p = np.exp(maxent.class_log_probs(w, np.zeros(maxent.CLASSES, np.float32), maxent.features(t)))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def mixed64(x):
+    x &= 2**64 - 1
+    x = (x ^ x >> 30) * maxent.MIX[0] & 2**64 - 1
+    x = (x ^ x >> 27) * maxent.MIX[1] & 2**64 - 1
+    return x ^ x >> 31
+
+
+def dense_scores(texts, rounds, head):
+    """Scores by the model as it is defined, token by token; ``rounds``: the round of each training text, None if it is held out."""
+    def word_hash(w):
+        return maxent.END if w is None else mixed64(sum((c + 1) * pow(maxent.BASE_, i, 2**64) for i, c in enumerate(w)))
+
+    runs = [[*map(word_hash, (t or "").encode().lower().split()), maxent.END] for t in texts]
+    c = collections.Counter(h for r, k in zip(runs, rounds) if k is not None for h in r)
+    n, v = sum(c.values()), len(c)
+    known = sorted((h for h in c if c[h] * head > n), key=lambda h: (-c[h], h))
+    own = {h: i for i, h in enumerate(known[: maxent.OWN])}
+    shared = lambda h: maxent.OWN + (h >> 20) % (maxent.UNITS - maxent.OWN)
+    unit = lambda h: own.get(h, shared(h))
+    mass = [0.0] * maxent.OWN + [1.0] * (maxent.UNITS - maxent.OWN)
+    for h in c:
+        mass[unit(h)] += c[h] + 1
+    mass = np.maximum(mass, sum(mass) * 1e-9).reshape(maxent.CLASSES, maxent.PER_CLASS)
+    bias, unit_bias = np.log(mass.sum(1) / mass.sum()), np.log(mass / mass.sum(1, keepdims=True))
+    size, each = maxent.BUCKETS[0], maxent.BUCKETS[0] // 8
+    w, u = collections.defaultdict(lambda: np.zeros(maxent.CLASSES)), collections.defaultdict(lambda: np.zeros(maxent.PER_CLASS))
+
+    def parts(run):
+        one = two = 0
+        for h in run:
+            f = [mixed64(one + 1), mixed64(two * maxent.BASE_ + 2), mixed64((one * maxent.BASE_ & 2**64 - 1) ^ (two + 3))]
+            k, j = divmod(unit(h), maxent.PER_CLASS)
+            for t, at, b, y in ((w, [x >> 40 & size - 1 for x in f], bias, k), (u, [(x >> 16 & each - 1) + k * each for x in f], unit_bias[k], j)):
+                z = b + sum(t[i] for i in at)
+                yield t, at, y, np.exp(z) / np.exp(z).sum()
+            one, two = h, one
+
+    for k in range(len(maxent.ROUNDS)):
+        seen, expected = ({id(t): collections.defaultdict(lambda: np.zeros(16)) for t in (w, u)} for _ in range(2))
+        for run, r in zip(runs, rounds):
+            for t, at, y, p in parts(run) if r == k else ():
+                for i in at:
+                    seen[id(t)][i][y] += 1
+                    expected[id(t)][i] += p
+        for t in (w, u):
+            for i in seen[id(t)]:
+                t[i] = t[i] + maxent.RATE * np.log((seen[id(t)][i] + maxent.PRIOR) / (expected[id(t)][i] + maxent.PRIOR))
+    total = mass.ravel()
+    return [sum(np.log10(p[y]) for _, _, y, p in parts(run)) + sum(0 if h in own else np.log10((c[h] + 1) / total[shared(h)]) for h in run) for run in runs]
+
+
+def test_maxent_is_the_dense_model(spark):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 5))) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, [1 / (i + 1) for i in range(300)], k=rnd.randint(1, 60))) for _ in range(120)] + [None, "", "a", "a b a b c", "a b a b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 2
+    deal = {r["doc_id"]: (r["deal"], r["held"]) for r in rows.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(sum(maxent.ROUNDS))).alias("deal"), held.alias("held")).collect()}
+    ends = list(itertools.accumulate(maxent.ROUNDS))
+    rounds = [None if deal[i][1] else next(k for k, e in enumerate(ends) if deal[i][0] < e) for i in range(len(texts))]
+    for head in (maxent.HEAD, 40):  # 40: most words are joined
+        model, counts = maxent.fit(rows.where(~held), head=head)
+        got = {r["doc_id"]: r["score"] for r in maxent.score(rows, model, counts, {"doc_id": "doc_id"}).collect()}
+        want = dense_scores(texts, rounds, head)
+        assert all(got[i] == pytest.approx(want[i], rel=1e-4) for i in range(len(texts)))
+
+
+def test_word_hashes():
+    texts = [b"a b  c a", None, b"", b" A\tb", "é".encode() * 50 + b" " + b"y" * 100, b"w" * (maxent.BLOCK_BYTES + 5) + b" end " + b"k " * maxent.BLOCK_BYTES]
+    h, starts = maxent.tokens(texts)
+    cut = [[*(t or b"").lower().split(), None] for t in texts]
+    assert np.diff(starts).tolist() == [len(c) for c in cut]
+    names = {}
+    assert all(names.setdefault(w, k) == k for w, k in zip(itertools.chain.from_iterable(cut), h.tolist())) and len(set(names.values())) == len(names)
+    w = maxent.Words(np.array(sorted(names.values()), np.uint64)[:-1])
+    assert w.find(h).tolist() == [sorted(names.values()).index(k) if k != max(names.values()) else -1 for k in h.tolist()]
 
 
 # 9 and 10

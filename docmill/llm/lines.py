@@ -29,16 +29,17 @@ def line_hash(line: Column) -> Column:
 
 
 def line_arrays(docs: DataFrame, site: str, text: str, doc_id: str) -> DataFrame:
-    """``(__id, __th, site, lines)``: the hashes of the lines of a row that aren't blank."""
+    """``(__id, __th, site, lines)``: the distinct hashes of the lines of a row that aren't blank."""
     hs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line_hash)
-    return docs.select(*row_key(text, doc_id), F.xxhash64(site).alias("site"), hs.alias("hs")).select("__id", "__th", "site", F.filter("hs", lambda h: h.isNotNull()).alias("lines"))
+    return docs.select(*row_key(text, doc_id), F.xxhash64(site).alias("site"), hs.alias("hs")).select("__id", "__th", "site", F.array_distinct(F.filter("hs", lambda h: h.isNotNull())).alias("lines"))
 
 
 def boilerplate(lines: DataFrame, sites: int = MIN_SITES) -> DataFrame:
     """``(h)`` of lines on ``sites`` sites and in as many texts, of exploded ``(site, h, th)``."""
     some = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("th").alias("t0"), F.max("th").alias("t1"))
     some = some.where((F.col("n") >= sites) & (F.col("s0") != F.col("s1")) & (F.col("t0") != F.col("t1"))).select("h")
-    mine = lines.join(some, "h", "left_semi")
+    # written before they are grouped: else a line that is everywhere would stay in the one task that joined it
+    mine = table(lines.join(some, "h", "left_semi"), "lines-on-sites")
     sketched = mine.groupBy("h").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("n_sites"),
         F.hll_sketch_estimate(F.hll_sketch_agg("th", F.lit(LG_K))).alias("n_texts"),
@@ -48,7 +49,7 @@ def boilerplate(lines: DataFrame, sites: int = MIN_SITES) -> DataFrame:
     within = F.least(F.abs(F.col("n_sites") - sites), F.abs(F.col("n_texts") - sites)) <= max(1.0, sites * BAND)
     below = fewer < sites * (1 - BAND) - 1
     sketched = table(sketched.where(~below).select("h", over.alias("over"), within.alias("within")), "line-sketches")
-    close = mine.join(sketched.where("within").select("h"), "h", "left_semi")
+    close = table(mine.join(sketched.where("within").select("h"), "h", "left_semi"), "lines-to-count")
     exact_sites = close.groupBy("h", "site").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n_sites"))
     exact_texts = close.groupBy("h", "th").agg(F.lit(1).alias("x")).groupBy("h").agg(F.count("*").alias("n_texts"))
     exact = exact_sites.join(exact_texts, "h").where(over).select("h")

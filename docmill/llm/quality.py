@@ -96,7 +96,9 @@ def features(docs: DataFrame, host: str = "source", text: str = "text", doc_id:
 def frequent_lines(lines: DataFrame, most: int = MAX_LINE_DOCS) -> DataFrame:
     """``(host, h)`` over the limit, of ``(host, h, th)`` with one row for each document and line."""
     some = lines.groupBy("host", "h").agg(F.count("*").alias("n"), F.min("th").alias("t0"), F.max("th").alias("t1")).where((F.col("n") > most) & (F.col("t0") != F.col("t1")))
-    texts = lines.join(some.select("host", "h"), ["host", "h"], "left_semi").groupBy("host", "h", "th").agg(F.lit(1).alias("x"))
+    # written before they are grouped: else a line that is everywhere would stay in the one task that joined it
+    mine = table(lines.join(some.select("host", "h"), ["host", "h"], "left_semi"), "lines-to-count")
+    texts = mine.groupBy("host", "h", "th").agg(F.lit(1).alias("x"))
     return texts.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > most).select("host", "h")
 
 

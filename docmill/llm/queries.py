@@ -170,32 +170,26 @@ ORACLE_SQL: dict[str, str] = {
         FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op9_line_dedup": r"""
         WITH l AS (
-          SELECT doc_id, source, i, s[i] AS line, nullif(trim(regexp_replace(translate(s[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r]+', ' ', 'g'), ' '), '') AS h
-          FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS t(i)),
-        c AS (
-          SELECT *, coalesce(lag(h) OVER w, '') || chr(10) || coalesce(lead(h) OVER w, '') || (i = 1) AS ctx
-          FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        bad AS (
-          SELECT h FROM c WHERE h IS NOT NULL GROUP BY h
-          HAVING count(DISTINCT source) >= 5 AND count(DISTINCT ctx) >= greatest(5, 0.25 * count(*)))
-        SELECT doc_id, count(h) AS n_lines, count(bad.h) AS n_removed_lines,
+          SELECT doc_id, source, t, i, s[i] AS line, nullif(trim(regexp_replace(translate(s[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\x0B\f\r]+', ' ', 'g'), ' '), '') AS h
+          FROM (SELECT doc_id, source, sha256(coalesce(text, '')) AS t, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(1, len(s) + 1)) AS r(i)),
+        bad AS (SELECT h FROM l WHERE h IS NOT NULL GROUP BY h HAVING count(DISTINCT coalesce(source, chr(0))) >= 5 AND count(DISTINCT t) >= 5)
+        SELECT doc_id, count(l.h) AS n_lines, count(bad.h) AS n_removed_lines,
                sha256(coalesce(string_agg(CASE WHEN bad.h IS NULL THEN line END, chr(10) ORDER BY i), '')) AS text_sha256
-        FROM c LEFT JOIN bad USING (h) GROUP BY doc_id""",
+        FROM l LEFT JOIN bad ON l.h = bad.h GROUP BY doc_id""",
     "op10_quality": r"""
         WITH d AS (
           SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         l AS (
-          SELECT doc_id, host, i, s[i] AS line, regexp_extract_all(s[i], '[^\x20\x09-\x0D]+') AS lw,
+          SELECT doc_id, host, t, i, s[i] AS line, regexp_extract_all(s[i], '[^\x20\x09-\x0D]+') AS lw,
                  translate(array_to_string(regexp_extract_all(s[i], '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h
-          FROM (SELECT doc_id, host, string_split(text, chr(10)) AS s FROM d), unnest(range(1, len(s) + 1)) AS t(i)),
+          FROM (SELECT doc_id, host, sha256(text) AS t, string_split(text, chr(10)) AS s FROM d), unnest(range(1, len(s) + 1)) AS t(i)),
         dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE len(lw) > 0 GROUP BY doc_id),
         win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS t(i)),
         twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
         rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM twice, unnest(range(i, i + 8)) AS t(p) GROUP BY doc_id),
-        c AS (SELECT *, coalesce(lag(h) OVER w, '') || chr(10) || coalesce(lead(h) OVER w, '') || (i = 1) AS ctx, row_number() OVER (PARTITION BY doc_id, h ORDER BY i) AS k FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        bad AS (SELECT host, h FROM c WHERE h <> '' AND k = 1 GROUP BY host, h HAVING count(*) > 100 AND count(DISTINCT ctx) >= 0.25 * count(*)),
-        lost AS (SELECT doc_id, sum(len(lw)) AS n FROM c JOIN bad USING (host, h) GROUP BY doc_id),
+        bad AS (SELECT host, h FROM l WHERE h <> '' GROUP BY host, h HAVING count(DISTINCT t) > 100),
+        lost AS (SELECT doc_id, sum(len(lw)) AS n FROM l JOIN bad USING (host, h) GROUP BY doc_id),
         b AS (
           SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
                  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_removed_words

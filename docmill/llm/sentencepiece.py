@@ -30,11 +30,11 @@ from .common import map_texts
 
 SPACE = "▁"
 #: Segments whose ids a worker keeps; when there are more, only those met again stay.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 160_000
 #: Pairs of pieces that a worker keeps, each at a place of its own: a power of two.
 CACHE_PAIRS = 1 << 20
 #: Characters of new segments that are indexed at once, if no one segment is longer.
-INDEX_CHARS = 1 << 19
+INDEX_CHARS = 1 << 18
 #: So few segments are gone on with one by one.
 FEW = 48
 #: Characters of such a segment for which pairs of pieces are looked at together.

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import LOWER, forget, map_texts, row_key, table
+from .common import LOWER, forget, map_texts, row_key, small_batches, table
 
 SHINGLE = 3
 SEED = 42
@@ -39,6 +39,10 @@ LEAST_TASKS = 6
 #: Near copies as wholes, for :func:`keep_one`: shingles of so many words, alike from this fraction on.
 COPY_SHINGLE = 5
 ALIKE = (4, 5)
+#: Sets of a block.
+BLOCK = 256
+#: Rounds in which a set is compared with one other by each of its shingles.
+ROUNDS = 2
 #: Shingles of so many of the texts in one of ``SAMPLE`` parts are compared last, the ``MAX_OFTEN`` most common at most.
 SAMPLE = 16
 SAMPLE_OFTEN = 8
@@ -294,51 +298,127 @@ def often_shared(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(got.column(0).to_numpy().astype(np.int64))
 
 
-def alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The ``(a, b)`` of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
-    enough = lambda common, m, n: common * sum(ALIKE) >= (m + n) * ALIKE[0]  # i / (m + n - i) >= p / q, in whole numbers
-    nodes = lambda df: df.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    reps = table(rows.join(nodes(pairs), "sig", "left_semi").select("sig", "__th", "n", "prefix").dropDuplicates(["sig"]), "candidates")
+def enough(common: F.Column, m: F.Column, n: F.Column) -> F.Column:
+    """Whether sets of sizes ``m`` and ``n`` with so much in common are alike: i / (m + n - i) >= p / q, in whole numbers."""
+    return common * sum(ALIKE) >= (m + n) * ALIKE[0]
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of distinct ``pairs`` of set numbers that may be alike, by sizes and prefixes."""
+    reps = table(rows.join(ends_of(pairs), "sig", "left_semi").select("sig", "n", "prefix").dropDuplicates(["sig"]), "candidates")
     one, two = (reps.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
     # all common hashes up to the end of the prefix that ends first are in both prefixes, so only what follows it in either set can be more
     end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
     after = lambda x: F.col(f"n{x}") - F.size(F.filter(f"p{x}", lambda h: h <= F.col("end")))
     most = F.size(F.array_intersect("pa", "pb")) + F.least(after("a"), after("b"))
-    close = table(pairs.join(one, "a").join(two, "b").withColumn("end", end).where(enough(F.least(most, "na", "nb"), F.col("na"), F.col("nb"))).select("a", "b"), "close-pairs")
+    return pairs.join(one, "a").join(two, "b").withColumn("end", end).where(enough(F.least(most, "na", "nb"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The ``(a, b)`` of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
     # texts of one set may differ in case and space, and any will do
-    texts = docs.select(row_key(text, text)[1], F.col(text).alias("t")).join(reps.join(nodes(close), "sig", "left_semi").select("sig", "__th"), "__th").select("sig", "t")
+    reps = rows.join(ends_of(pairs), "sig", "left_semi").select("sig", "__th").dropDuplicates(["sig"])
+    texts = docs.select(row_key(text, text)[1], F.col(text).alias("t")).join(reps, "__th").select("sig", "t")
     sets = map_texts(texts, {"sig": "sig"}, "t", lambda: lambda ts: {"hs": [shingle_set(t) for t in ts]}, "hs array<bigint>")
     sets = table(sets.dropDuplicates(["sig"]), "candidate-sets")
     one, two = (sets.select(F.col("sig").alias(x), F.col("hs").alias(f"h{x}")) for x in "ab")
-    both = close.join(one, "a").join(two, "b")
+    both = pairs.join(one, "a").join(two, "b")
     return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
 
 
+Block = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]  # number, size, root and prefix of some sets
+
+
+def close_in_blocks(h: int, x: Block, y: Block) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`close` finds of two blocks of sets with ``h`` in their prefixes: pairs of different components, for which ``h`` is the first they share."""
+    sizes = [list(map(len, b[3])) for b in (x, y)]
+    hashes, at = np.unique(np.concatenate([*x[3], *y[3]]), return_inverse=True)
+    grid = np.zeros((len(x[0]) + len(y[0]), len(hashes)), np.float32)
+    grid[np.repeat(np.arange(len(grid)), sizes[0] + sizes[1]), at] = 1
+    one, two = grid[: len(x[0])], grid[len(x[0]) :]
+    k = np.searchsorted(hashes, h)
+    common = (one @ two.T).astype(np.int64)
+    first = one[:, :k] @ two[:, :k].T == 0
+    last = [np.array([p[-1] for p in b[3]]) for b in (x, y)]
+    # so many of a prefix are up to the end of the other one
+    of_x = np.array([np.searchsorted(p, last[1], "right") for p in x[3]])
+    of_y = np.array([np.searchsorted(p, last[0], "right") for p in y[3]]).T
+    n, m = x[1][:, None], y[1][None, :]
+    most = np.minimum(common + np.minimum(n - of_x, m - of_y), np.minimum(n, m))
+    ok = first & (x[2][:, None] != y[2][None, :]) & (most * sum(ALIKE) >= (n + m) * ALIKE[0])
+    return np.nonzero(ok)
+
+
+def close_apart(apart: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``(a, b)`` that :func:`close` would find of all pairs of ``apart`` (sig, n, h, root) that share ``h`` in different components.
+
+    Sets that share a hash are dealt into blocks by their numbers, and two blocks are
+    compared at a time; no pair is made that isn't close.
+    """
+    prefixes = table(rows.join(apart.select("sig").distinct(), "sig", "left_semi").select("sig", "prefix").dropDuplicates(["sig"]), "prefixes")
+    count = apart.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    keyed = apart.join(count, "h").select("sig", "h", "n", "root", "blocks", F.pmod(F.xxhash64("sig", "h"), F.col("blocks")).cast("int").alias("i"))
+    blocks = keyed.join(prefixes, "sig").groupBy("h", "i", "blocks").agg(F.collect_list(F.struct("sig", "n", "root", "prefix")).alias("x"))
+    blocks = table(blocks, "blocks")
+    left = blocks.select("h", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    right = blocks.where("blocks > 1").select("h", F.col("i").alias("j"), F.col("x").alias("y"))
+    met = left.join(right, ["h", "j"], "left").select("h", "x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
+
+    def run(batches):
+        def block(rows_: pa.Array) -> Block:
+            v = rows_.flatten()
+            p = v[3].to_numpy(zero_copy_only=False)
+            return v[0].to_numpy(), v[1].to_numpy(), v[2].to_numpy(), list(p)
+
+        for batch in batches:
+            a, b = [], []
+            for h, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                one = block(x.values)
+                two = block(y.values) if y.is_valid else one
+                i, j = close_in_blocks(h, one, two)
+                if not y.is_valid:
+                    i, j = i[i < j], j[i < j]
+                a.append(np.maximum(one[0][i], two[0][j]))
+                b.append(np.minimum(one[0][i], two[0][j]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v])) for v in (a, b)], ["a", "b"])
+
+    small_batches(apart.sparkSession)
+    return met.mapInArrow(run, "a long, b long")
+
+
 def copy_links(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``(a, root)`` of sets that links at the similarity join, for each that is not the smallest of its component.
 
-    Sets that share a shingle of their prefixes are first compared with the
-    smallest one that has it. What that joins need not be compared again; all pairs
-    of different components that still share one are then compared.
+    Of the sets that have a shingle in their prefixes, each is first compared with
+    one hub: a set that the shingle's hash picks, so that a set meets another hub by
+    each of its shingles. What that joins need not be compared again. After so many
+    rounds, linear in the number of sets, all sets of different components that still
+    share a shingle are compared, block by block.
     """
     keys = rows.select("sig", "n", F.explode("prefix").alias("h"))
     shared = keys.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
     keys = table(keys.join(shared, "h", "left_semi").distinct(), "shared-shingles")
     near = F.least("n", "n2") * ALIKE[1] >= F.greatest("n", "n2") * ALIKE[0]
     pair = lambda df: df.where((F.col("sig") != F.col("sig2")) & near).select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct()
-    low = keys.groupBy("h").agg(F.min(F.struct("sig", "n")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"))
-    first = table(alike(table(pair(keys.join(low, "h")), "star-pairs"), rows, docs, text), "star-links")
-    roots = components(first)
-    named = keys.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    apart = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
-    named = table(named.join(apart, "h", "left_semi"), "shared-apart")
-    # components meet first, so that the pairs within one are never made
-    groups = named.select("h", "root").distinct()
-    meet = groups.join(groups.withColumnRenamed("root", "root2"), "h").where("root < root2")
-    other = named.select("h", F.col("root").alias("root2"), F.col("sig").alias("sig2"), F.col("n").alias("n2"))
-    rest = pair(meet.join(named, ["h", "root"]).join(other, ["h", "root2"]))
-    more = alike(table(rest, "pairs-apart"), rows, docs, text)
-    return components(first.unionByName(more))
+    links, roots, apart = None, None, keys.withColumn("root", F.col("sig"))
+    for k in range(ROUNDS):
+        order = F.col("sig") if not k else F.xxhash64("sig", "h", F.lit(k))
+        hub = apart.groupBy("h").agg(F.min(F.struct(order.alias("o"), "sig", "n", "root")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
+        tried = pair(apart.join(hub, "h").where("root != root2"))
+        tried = table(close(table(tried, "hub-pairs"), rows), "close-pairs")
+        more = table(alike(tried, rows, docs, text), "hub-links")
+        links = more if links is None else links.unionByName(more)
+        roots = table(components(links), "roots")
+        named = keys.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        named = table(named, "named-shingles")
+        still = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+        apart = table(named.join(still, "h", "left_semi"), "shared-apart")
+    more = alike(table(close_apart(apart, rows), "close-pairs"), rows, docs, text)
+    return components(links.unionByName(more))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -17,6 +17,7 @@ from .operators import html, markdown, records, search
 from .operators.headings import with_crumbs
 from .plans import pipelines
 from .sources import files, maps, store
+from .sources.stage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -178,7 +179,7 @@ def with_headings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), F.array_join(lines, "\n").alias("text"))
 
 
-@query(r"""
+_SECTIONS = r"""
     WITH l AS (
       SELECT doc_id, p, (p + doc_id) % 3 = 0 AS head, (1 + ((p // 3) * (p // 3) + doc_id) % 6)::INT AS level, s[p + 1] AS line
       FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), unnest(range(len(s))) AS t(p)),
@@ -193,9 +194,13 @@ def with_headings(docs: DataFrame) -> DataFrame:
       SELECT a.doc_id, a.i, string_agg(b.heading, ' > ' ORDER BY b.d) AS crumbs
       FROM d a JOIN (SELECT *, lead(i, 1, 1000000000) OVER (PARTITION BY doc_id, d ORDER BY i) AS until FROM d WHERE i > 0) b
         ON a.doc_id = b.doc_id AND b.i <= a.i AND a.i < b.until AND b.d <= a.d
-      GROUP BY a.doc_id, a.i)
-    SELECT d.doc_id, i::BIGINT AS pos, title, CASE WHEN i = 0 THEN title ELSE title || ' > ' || crumbs END AS section, sha256(trim(content, ' ' || chr(10))) AS sha
-    FROM d JOIN title USING (doc_id) LEFT JOIN path USING (doc_id, i) WHERE trim(coalesce(content, ''), ' ' || chr(10)) <> ''""")
+      GROUP BY a.doc_id, a.i),
+    sections AS (
+    SELECT d.doc_id, i::BIGINT AS pos, title, CASE WHEN i = 0 THEN title ELSE title || ' > ' || crumbs END AS section, trim(content, ' ' || chr(10)) AS content
+    FROM d JOIN title USING (doc_id) LEFT JOIN path USING (doc_id, i) WHERE trim(coalesce(content, ''), ' ' || chr(10)) <> '')"""
+
+
+@query(_SECTIONS + " SELECT doc_id, pos, title, section, sha256(content) AS sha FROM sections")
 def md_sections(spark, sf_dir):
     """Heading sections of Markdown with titles and breadcrumb paths; levels are skipped on purpose."""
     docs = with_headings(table(spark, sf_dir, "documents"))
@@ -206,11 +211,16 @@ def md_sections(spark, sf_dir):
     return segs.select("doc_id", F.col("pos").cast("long").alias("pos"), "title", path.alias("section"), F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
 
 
-@query()
+@query(_SECTIONS + f""",
+    cut AS (SELECT *, CASE WHEN length(content) <= 2000 THEN [content] ELSE list_transform(range(0, length(content), 1800), lambda o: content[o + 1:o + 2000]) END AS pieces FROM sections),
+    k AS (SELECT doc_id, pos, title, section, len(pieces) AS n, i, trim(pieces[i], ' ' || chr(10)) AS content FROM cut, unnest(range(1, len(pieces) + 1)) AS t(i)),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, i) - 1 AS chunk_index FROM k WHERE content <> ''),
+    keyed AS (SELECT *, 'doc' || doc_id || '|' || chunk_index || '|' || substr(sha256(content), 1, 16) AS key FROM numbered)
+    SELECT uuid AS chunk_id, 'doc' || doc_id AS source, title, section || CASE WHEN n > 1 THEN ' [' || i || '/' || n || ']' ELSE '' END AS section, content, 'all' AS tags, chunk_index::INT AS chunk_index FROM ({_UUID})""")
 def md_chunks(spark, sf_dir):
-    """Markdown documents to chunks with ids, all steps together; tests hold it against brute force."""
+    """Markdown documents to chunks with ids, all steps together."""
     got = markdown.chunks(with_headings(table(spark, sf_dir, "documents")).select("source", "text"), ["all"])
-    return got.select("chunk_id", "source", "title", "section", "content", "tags", "chunk_index")
+    return got.select("chunk_id", "source", "title", "section", "content", F.array_join("tags", ",").alias("tags"), "chunk_index")
 
 
 @query(r"""
@@ -304,7 +314,7 @@ def retag_upsert(spark, sf_dir):
 def jsonl_roundtrip(spark, sf_dir):
     """Rows written as JSON lines and read again."""
     d = table(spark, sf_dir, "documents")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/docmill").rstrip("/")
+    root = shared_dir(spark)
     path = f"{root}/docmill/jsonl-{uuid.uuid4().hex}"
     pipelines.export_jsonl(d, path)
     return files.json_lines(spark, path, d.schema)
@@ -342,6 +352,47 @@ def html_fallback_text(spark, sf_dir):
     return html.sections(table(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "page_url", "body")
 
 
+def with_sections(docs: DataFrame) -> DataFrame:
+    """Pages ``(doc_id, url, html)`` with a section for each line, in nests of three."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    last = F.size("lines") - 1
+    title = lambda i: F.when(i % 4 == 3, F.concat(F.lit("<h2>"), F.col("lang"), F.lit("<rh-tooltip>copy</rh-tooltip></h2>"))).otherwise(F.concat(F.lit('<h2>no<a class="anchor-heading">Chapter '), i + 1, F.lit(". Part "), i, F.lit("</a></h2>")))
+    section = lambda x, i: F.concat(
+        F.lit('<section id="s'), i, F.lit('"><div class="titlepage">'), title(i), F.lit("</div><nav>menu</nav><ul><li>item <b>"), i, F.lit("</b></li></ul><p>"), escaped(x), F.lit("</p>"),
+        F.when((i % 3 == 2) | (i == last), F.repeat(F.lit("</section>"), (i % 3 + 1).cast("int"))).otherwise(""),
+    )
+    body = F.array_join(F.transform("lines", lambda x, i: section(x, i)), "")
+    return docs.withColumn("lines", lines).select("doc_id", F.concat(F.lit("https://h/d/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("<html><body><article><h1>Doc "), F.col("doc_id").cast("string"), F.lit("</h1>"), body, F.lit("</article></body></html>")).alias("html"))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, lang, i, s[i + 1] AS line FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(len(s))) AS t(i)),
+    h AS (SELECT *, CASE WHEN i % 4 = 3 THEN lang ELSE 'Part ' || i END AS heading, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) AS p FROM l),
+    c AS (SELECT *, lag(heading, 1) OVER w AS up1, lag(heading, 2) OVER w AS up2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, i::INT AS section_pos, heading, (i % 3 + 1)::INT AS level, 's' || i AS anchor,
+           CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN up1 ELSE up2 || ' > ' || up1 END AS breadcrumbs, 'Doc ' || doc_id AS page_title,
+           '- item ' || i || CASE WHEN p <> '' THEN chr(10) || p ELSE '' END AS body, 'https://h/d/' || doc_id || '#s' || i AS page_url
+    FROM c""")
+def html_sections(spark, sf_dir):
+    """Nested sections of pages: headings, anchors, breadcrumbs and texts."""
+    got = html.sections(with_sections(table(spark, sf_dir, "documents")), ["doc_id"])
+    return got.select("doc_id", "section_pos", "heading", "level", "anchor", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), "page_title", "body", "page_url")
+
+
+@query("""
+    WITH t AS (
+      SELECT n_name, n_nationkey, r_name, r_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN 'own' ELSE r_name END AS dir
+      FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 1 AND r_regionkey <> 3)
+    SELECT n_name AS stem, 'https://h/' || dir || '/' || n_name || '.html' AS page_url, CASE WHEN n_nationkey % 2 = 0 THEN 'Topic ' || n_name ELSE n_name END AS page_name, dir FROM t""")
+def topic_map(spark, sf_dir):
+    """A topic map: directories taken over, topics of other distros left out with all below them."""
+    n = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a map is a file that somebody wrote by hand
+    leaf = lambda x: {"File": x["n_name"], **({"Name": f"Topic {x['n_name']}"} if x["n_nationkey"] % 2 == 0 else {}), **({"Dir": "own"} if x["n_nationkey"] % 3 == 0 else {}), **({"Distros": "other"} if x["n_nationkey"] % 4 == 1 else {})}
+    tops = [{"Name": r["r_name"], "Dir": r["r_name"], **({"Distros": ["other"]} if r["r_regionkey"] == 3 else {}), "Topics": [leaf(x) for x in n if x["n_regionkey"] == r["r_regionkey"]]} for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    return maps.topics(spark, [{"Distros": "other", "Topics": tops[:2]}, {"Topics": tops[2:]}], "https://h", "mine").select("stem", "page_url", "page_name", "dir")
+
+
 @query()
 def html_records(spark, sf_dir):
     """Pages to 23-field records, all steps together; tests hold sections and records against fixtures."""

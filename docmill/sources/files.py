@@ -12,11 +12,16 @@ SITEMAP_LOC = "//*[local-name()='loc']/text()"
 CHUNK_SCHEMA = "chunk_id string, source string, title string, section string, content string, tags array<string>, metadata map<string,string>, embedding array<float>"
 
 
+def source_path() -> Column:
+    """The path of the file that a row is of, as ``source``: decoded, local ones without a scheme."""
+    return F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/").alias("source")
+
+
 def whole_files(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = True, strict: bool = True) -> DataFrame:
     """``(source, text)`` of files whose name fits ``pattern``; invalid UTF-8 raises if ``strict``, else is replaced."""
     df = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path, wholetext=True)
     value = F.validate_utf8("value") if strict else F.make_valid_utf8("value")
-    return df.select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/").alias("source"), text.unix_lines(value).alias("text"))
+    return df.select(source_path(), text.unix_lines(value).alias("text"))
 
 
 def markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:

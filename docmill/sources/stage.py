@@ -5,13 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder will do if the executors are in the driver's
+    own process; on a cluster it raises, as they would not see one another's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/docmill-shared"
+    return root.rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` (a local folder only if that is unset) and read back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/docmill-shared"
-    path = f"{root.rstrip('/')}/docmill/{label}-{uuid.uuid4().hex}"
+    """``df`` written below the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/docmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

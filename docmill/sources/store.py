@@ -85,9 +85,14 @@ class IndexStore:
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same id; of rows of ``new`` with one id, one."""
+    """``old`` with the rows of ``new`` in place of those with the same id; of rows of ``new`` with one id, the last.
+
+    Last is by ``source`` and ``chunk_index`` if ``new`` has the latter, then by content.
+    """
     columns = old.columns
-    one = new.dropDuplicates(["chunk_id"]).select(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in columns])
+    order = F.struct(*[F.col(c) for c in ("source", "chunk_index", "content") if c in new.columns])
+    last = new.groupBy("chunk_id").agg(F.max_by(F.struct(*[c for c in new.columns if c != "chunk_id"]), order).alias("__r")).select("chunk_id", "__r.*")
+    one = last.select(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in columns])
     return old.join(one, "chunk_id", "left_anti").select(*columns).unionByName(one)
 
 

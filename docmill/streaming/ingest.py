@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
+from ..functions import text
 from ..operators import embed, markdown
+from ..sources import files
 from ..sources.store import IndexStore
 
 
@@ -17,12 +21,12 @@ def watch(spark: SparkSession, path: str, settings: Settings, checkpoint: str, t
     store = IndexStore(spark, settings.index_path, settings.dimensions)
     store.create()
     stream = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").format("text").load(path)
-    src = stream.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    src = stream.select(files.source_path(), text.unix_lines(F.validate_utf8("value")).alias("text"))
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
             chunks = markdown.chunks(batch, tags, settings.max_chars, settings.overlap)
-            store.upsert(embed.embed_chunks(chunks, settings.provider, settings.provider_settings, settings.batch), epoch)
+            store.upsert(embed.embed_chunks(chunks, settings.provider, settings.provider_settings, settings.batch), int(time.time()))
 
     writer = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import shared_dir
+
 #: Rows and bytes of an Arrow batch, whichever comes first: texts may be long, so fewer rows than Spark's 10,000.
 ARROW_ROWS = 1000
 ARROW_BYTES = 64 << 20
@@ -23,15 +24,6 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if chr(b).isalnum() and b < 128 or b > 127 else 32 for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{tempfile.gettempdir()}/docmill-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs no rework."""
     spark = df.sparkSession
@@ -111,13 +103,6 @@ def map_texts(
     return src.mapInArrow(run, full)
 
 
-def ragged(lengths: np.ndarray) -> np.ndarray:
-    """Offsets of runs of these lengths, with the end."""
-    out = np.zeros(len(lengths) + 1, np.int64)
-    np.cumsum(lengths, out=out[1:])
-    return out
-
-
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[F.Column]:
     """Columns that name a row by id and text; equal rows share a key, and all that is derived from it."""
     return [F.col(doc_id).alias("__id"), F.xxhash64(F.col(text), F.col(text).isNull()).alias("__th")]

@@ -10,7 +10,6 @@ hits of a text are united.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable
 
@@ -146,20 +145,20 @@ class Automaton:
         return [(a, b) for a, b in spans], found
 
 
-def parts_of(benchmark: DataFrame, most: int | None = None, text: str = "text") -> list[DataFrame]:
+def parts_of(benchmark: DataFrame, most: int | None = None, text: str = "text", item_id: str = "item_id") -> list[DataFrame]:
     """``benchmark`` as parts that one automaton of ``most`` words (8 bytes each) takes; dealt by hash, at half of that on average."""
     most = 8 * (most or MAX_ITEM_WORDS)
     bytes_ = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     if bytes_ <= most:
         return [benchmark]
     n = -(-2 * bytes_ // most)
-    return [benchmark.where(F.pmod(F.xxhash64(text), F.lit(n)) == k) for k in range(n)]
+    return [benchmark.where(F.pmod(F.xxhash64(text, item_id), F.lit(n)) == k) for k in range(n)]
 
 
 def items_of(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> list[tuple[object, list[bytes]]]:
-    """(id, words) of the items of one part that have words."""
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).collect()
-    return sorted((r["i"], w) for r in rows if r["i"] is not None and (w := words_of(bytes(r["t"]))))
+    """(id, words) of the items of one part that have words; ids as strings, null as the empty one; items that share an id count as one."""
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).cast("binary").alias("t")).collect()
+    return sorted((r["i"], w) for r in rows if (w := words_of(bytes(r["t"]))))
 
 
 def scan_part(docs: DataFrame, cast, keys: dict[str, F.Column | str], text: str = "text") -> DataFrame:
@@ -271,10 +270,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     return got.select(*[(cleaned if c == text else F.col(f"__c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
 def mask(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros(n, bool)
     for a, b in spans:

@@ -9,7 +9,7 @@ rejection threshold are set on labelled rows kept out of the training.
 from __future__ import annotations
 
 import re
-import zlib
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,19 +24,35 @@ DIM = 16
 ORDERS = (1, 2, 3, 4)
 #: Labelled rows to fit on, for each language; the model is fit on a sample of this bound and no more.
 SAMPLE_PER_LANGUAGE = 600
-#: N-grams counted of one sampled row at most: bounds what the driver gets.
-SAMPLE_WORDS = 2000
+#: Bound of that sample over all languages; what reaches the driver of a row is at most a count for each bucket.
+SAMPLE_ROWS = 6000
 #: Words whose sums a worker keeps; when there are more, it begins anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def subwords(word: str, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> list[int]:
-    """Buckets of the n-grams of ``<word>``."""
-    w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode()) % buckets for n in orders for i in range(len(w) - n + 1)]
+#: Characters of words that aren't letters: numbers that have no place value.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_WORD = re.compile(f"[^\\W\\d_{_NUMBERS}]+")
+#: Odd numbers that mix the characters of an n-gram.
+_MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+
+
+def subwords(words: list[str], buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each ``<word>``, and the place in ``words`` of the one that each is of; by order, then place."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters to the word's end
+    at, of = [], []
+    h = np.zeros(len(codes), np.uint32)
+    for n in range(1, max(orders) + 1):
+        h = h[: len(codes) - n + 1] * _MIX[0] + codes[n - 1 :]
+        if n in orders:
+            whole = left[: len(h)] >= n
+            x = (h[whole] + np.uint32(n)) * _MIX[1]
+            at.append(((x ^ (x >> np.uint32(15))) % np.uint32(buckets)).astype(np.int64))
+            of.append(owner[: len(h)][whole])
+    return np.concatenate(at), np.concatenate(of)
 
 
 @dataclass
@@ -96,45 +112,44 @@ def calibrate(z: np.ndarray, labels: np.ndarray, precision: float = 0.99) -> tup
     return t, float(top[order][good[-1]]) if len(good) else 1.0
 
 
-def bag(text: bytes, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares. ``most``: bound on the words taken, evenly over the whole text."""
-    words = _WORD.findall(text.decode("utf-8", "replace").lower())
-    if most and len(words) > most:
-        words = words[:: -(-len(words) // most)]
-    grams = np.array([g for w in words for g in subwords(w)], np.int64)
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares."""
+    grams, _ = subwords(_WORD.findall(text.decode("utf-8", "replace").lower()))
     b, n = np.unique(grams, return_counts=True)
     return b, n / max(1, n.sum())
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model of the rows of ``labelled`` with text and label.
+    """A model of the rows of ``labelled`` with text and label, repeated rows once.
 
-    About ``per_language`` rows of each language are taken by the hash of ``key``,
-    never more than twice that in all; their n-gram counts, not their texts, reach
-    the driver. Without labelled rows ValueError is raised.
+    About ``per_language`` rows of each language are taken by the hash of ``key`` and
+    text, or about ``SAMPLE_ROWS`` in all if the languages are many: a sample that any
+    partitioning gives alike. Texts are counted whole, where they are; n-gram counts, not
+    texts, reach the driver. Without labelled rows the model has no language.
     """
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(key)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not sizes:
-        raise ValueError("no labelled rows to learn from")
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n))])
-    # the hash as a number from 0 to 1: a sample that any partitioning gives alike
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
+    most = min(per_language, SAMPLE_ROWS / len(languages))
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, most / n))])
+    # the hash as a number from 0 to 1
     u = (F.col("h").cast("double") / F.lit(2.0**64)) + F.lit(0.5)
-    sample = rows.where(u <= share[F.col("lang")]).limit(2 * per_language * len(languages))
+    sample = rows.where(u <= share[F.col("lang")]).dropDuplicates(["h", "lang"])
 
     def count(batches):
         for b in batches:
             texts, langs, hs = (b.column(n).to_pylist() for n in ("text", "lang", "h"))
-            bags = [bag(t, SAMPLE_WORDS) for t in texts]
+            bags = [bag(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs), pa.array(hs, pa.int64()), pa.array([x[0].astype(np.int32) for x in bags], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in bags], pa.list_(pa.float32()))],
                 ["lang", "h", "b", "w"],
             )
 
     small_batches(spark)
-    got = sample.mapInArrow(count, "lang string, h long, b array<int>, w array<float>").toArrow().sort_by("h")
+    got = sample.mapInArrow(count, "lang string, h long, b array<int>, w array<float>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     bags = [(np.array(b, np.int64), np.array(w)) for b, w in zip(got["b"].to_pylist(), got["w"].to_pylist())]
     labels = np.array([languages.index(x) for x in got["lang"].to_pylist()], np.int64)
     some = np.array([len(b) > 0 for b, _ in bags], bool)
@@ -149,33 +164,39 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 def predictor(model: Model):
     """A function of texts to ``lang_pred, score, accepted``; words are summed once and kept."""
     index: dict[str, int] = {}
-    sums = np.zeros((1 << 12, len(model.languages) + 1))  # logits, n-grams
+    k = len(model.languages)
+    sums = np.zeros((1 << 12, k + 1), np.float32)  # logits, n-grams
+
+    def learn(new: list[str]) -> None:
+        grams, of = subwords(new, len(model.scores), model.orders)
+        n = len(index)
+        index.update(zip(new, range(n, n + len(new))))
+        for j in range(k):
+            sums[n : n + len(new), j] = np.bincount(of, model.scores[grams, j], len(new))
+        sums[n : n + len(new), k] = np.bincount(of, minlength=len(new))
 
     def work(texts: list[bytes | None]) -> dict:
         nonlocal sums
         if len(index) > CACHE_WORDS:
             index.clear()
         words = [_WORD.findall(t.decode("utf-8", "replace").lower()) if t else [] for t in texts]
-        new = set().union(*words) - index.keys()
+        new = list(set().union(*words) - index.keys())
         if len(index) + len(new) > len(sums):
-            sums = np.concatenate([sums, np.zeros((len(index) + len(new), sums.shape[1]))])
-        for w in new:
-            g = subwords(w, len(model.scores), model.orders)
-            k = index[w] = len(index)
-            sums[k, :-1] = model.scores[g].sum(0)
-            sums[k, -1] = len(g)
+            sums = np.concatenate([sums, np.zeros((len(index) + len(new), k + 1), np.float32)])
+        for a in range(0, len(new), 50_000):
+            learn(new[a : a + 50_000])
         langs: list[str] = []
         score = np.zeros(len(texts))
-        for k, ws in enumerate(words):
-            if not ws:
+        for i, ws in enumerate(words):
+            if not ws or not k:
                 langs.append(UNDETERMINED)
                 continue
-            s = sums[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
+            s = sums[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0, dtype=np.float64)
             p = softmax(((s[:-1] / s[-1] + model.bias) / model.temperature)[None])[0]
             best = int(p.argmax())
             langs.append(model.languages[best])
-            score[k] = p[best]
-        return {"lang_pred": langs, "score": score, "accepted": (score >= model.threshold) & np.array([bool(w) for w in words], bool)}
+            score[i] = p[best]
+        return {"lang_pred": langs, "score": score, "accepted": (score >= model.threshold) & np.array([bool(w and k) for w in words], bool)}
 
     return work
 
@@ -183,7 +204,9 @@ def predictor(model: Model):
 def identify(docs: DataFrame, model: Model, keys: dict[str, F.Column | str], text: str = "text") -> DataFrame:
     """``keys`` and ``lang_pred, score, accepted`` for every row.
 
-    ``und`` with score 0 where the text is null or has no letter; else a learned
+    ``und`` with score 0 where the text is null or has no letter, or nothing was
+    learned; long texts count as wholes; other columns are not read, so that their
+    names can't clash; else a learned
     language with its calibrated probability, ``accepted`` if that reaches the
     rejection threshold. Repeated rows keep their rows; no rows give none.
     """
@@ -192,5 +215,5 @@ def identify(docs: DataFrame, model: Model, keys: dict[str, F.Column | str], tex
 
 
 def fold(doc_id: str = "doc_id", of: int = 3) -> F.Column:
-    """crc32 of the id as text, modulo ``of``."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of
+    """crc32 of the id as text, modulo ``of``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of

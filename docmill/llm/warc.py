@@ -60,8 +60,8 @@ def read_seek_table(archive: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _urn(record_id: int) -> str:
-    return f"<urn:docmill:record:{record_id}>"
+def _urn(record_id: int | None) -> str:
+    return f"<urn:docmill:record:{'' if record_id is None else record_id}>"
 
 
 def record_bytes(record_id: int, uri: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -89,7 +89,7 @@ def parse_record(data: bytes, at: int) -> dict:
         raise ValueError(f"no record at offset {at}")
     h = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
     n = int(h["content-length"])
-    number = lambda urn: int(urn.rsplit(":", 1)[1].rstrip(">"))
+    number = lambda urn: int(v) if (v := urn.rsplit(":", 1)[1].rstrip(">")) else None
     return {
         "record_id": number(h["warc-record-id"]),
         "record_type": h["warc-type"],
@@ -116,7 +116,7 @@ class Bundle:
         if self.size and self.size + len(record) > FRAME_BYTES:
             self.close_frame()
         self.entries.append({"record_id": record_id, "frame": len(self.frames), "offset": self.size})
-        self.ids.update(b"%d," % record_id)
+        self.ids.update(b"%s," % str(record_id).encode())
         self.open.append(record)
         self.size += len(record)
 
@@ -219,7 +219,9 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of the archives of ``pages`` as read back.
 
     Null html is an empty payload; empty and short payloads are all responses; rows
-    that repeat a page_id keep a record each; an empty table gives no rows. A
+    that repeat a page_id keep a record each; null ids keep theirs, and no other record
+    refers to them unless all equal ones have none; long payloads are written whole; other
+    columns are not read, so that their names can't clash; an empty table gives no rows. A
     revisit's size is that of the record it refers to, whose digest must be its own.
     """
     found = read_bundles(archive(pages, **columns)).select("record_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("n"))

@@ -244,6 +244,9 @@ def test_warc(spark, empty):
     with pytest.raises(ValueError):
         warc.read_seek_table(b"x" * 40)
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    strange = spark.createDataFrame([(None, "u", big), (None, "u", "a"), (7, "u", big), (7, "v", big), (8, "w", "b"), (8, "w", "c")], "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(strange).collect()), key=str)
+    assert got == sorted([(0, 1203, "response", None), (0, 1, "response", None), (7, 1203, "response", None), (7, 1203, "response", None), (8, 1, "response", None), (8, 1, "response", None)], key=str)
 
 
 # 5
@@ -278,8 +281,59 @@ def test_language(spark, docs, odd, empty):
     got = {r["doc_id"]: r for r in language.identify(clash(odd), model, {"doc_id": "doc_id"}).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[4]["lang_pred"] in model.languages and not got[1]["accepted"]
     assert language.identify(empty, model, {"doc_id": "doc_id"}).count() == 0
-    with pytest.raises(ValueError):
-        language.fit(empty)
+    nothing = language.identify(odd, language.fit(empty), {"doc_id": "doc_id"}).collect()
+    assert len(nothing) == len(ODD) and {(r["lang_pred"], r["score"], r["accepted"]) for r in nothing} == {("und", 0.0, False)}
+    marks = spark.createDataFrame([(1, "² ½ ①"), (2, "12 _ -"), (3, "²a"), (None, "b")], "doc_id long, text string")
+    rows = {r["text"]: (r["lang_pred"], r["held"]) for r in language.identify(marks, model, {"text": "text", "held": language.fold() == 1}).collect()}
+    assert rows["² ½ ①"][0] == rows["12 _ -"][0] == "und" != rows["²a"][0] and rows["b"][1] in (True, False)
+    # scores one n-gram at a time
+    def slow(text):
+        words = [w for w in re.split("[^a-zà-ÿß]+", text.lower()) if w]
+        z = n = 0
+        for w in (f"<{w}>" for w in words):
+            for k in model.orders:
+                for i in range(len(w) - k + 1):
+                    h = 0
+                    for c in w[i : i + k]:
+                        h = (h * 0x01000193 + ord(c)) % 2**32
+                    x = (h + k) * 0x9E3779B1 % 2**32
+                    z, n = z + model.scores[(x ^ x >> 15) % len(model.scores)].astype(float), n + 1
+        return language.softmax(((z / n + model.bias) / model.temperature)[None])[0] if n else None
+
+    some = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect() if r["text"] and re.fullmatch(r"[\sa-zA-Zà-ÿÀ-ÖØ-Þß0-9.,!?@:/_-]*", r["text"])]
+    got = language.predictor(model)([t.encode() for t in some])
+    assert len(some) > 5
+    for text, name, score in zip(some, got["lang_pred"], got["score"]):
+        p = slow(text.replace("_", " "))
+        assert name == "und" if p is None else (model.languages[int(p.argmax())] == name and p.max() == pytest.approx(score, abs=1e-4))
+
+
+def test_language_steps():
+    """One SGD step over one batch against the gradient by finite differences."""
+    bags = [(np.array([0, 2]), np.array([0.5, 0.5])), (np.array([1]), np.array([1.0]))]
+    y = np.array([1, 0])
+    args = dict(least_steps=1, epochs=1, rate=0.1, batch=2, seed=3, buckets=3, dim=2)
+    scores, bias = language.train(bags, y, 2, **args)
+    rng = np.random.default_rng(3)
+    emb, lin, b = rng.uniform(-0.5, 0.5, (3, 2)), rng.normal(0, 0.1, (2, 2)), np.zeros(2)
+
+    def loss(emb, lin, b):
+        p = language.softmax(np.array([w @ emb[g] for g, w in bags]) @ lin + b)
+        return -np.log(p[[0, 1], y]).mean()
+
+    def gradient(k):
+        parts = [emb, lin, b]
+        out = np.zeros_like(parts[k])
+        for i in np.ndindex(out.shape):
+            up, down = ([x.copy() for x in parts] for _ in range(2))
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            out[i] = (loss(*up) - loss(*down)) / 2e-5
+        return out
+
+    # the embeddings' step is per row, not per batch: twice the mean's gradient for two rows
+    want = (emb - 0.1 * 2 * gradient(0)) @ (lin - 0.1 * gradient(1))
+    assert np.allclose(scores, want, atol=1e-5) and np.allclose(bias, b - 0.1 * gradient(2), atol=1e-5)
 
 
 # 7
@@ -317,6 +371,13 @@ def test_decontaminate_odd(spark, odd, empty):
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontaminate_null_items(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (1, None), (2, "four"), (2, "one two")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontaminate.report(docs, items).collect()}
+    assert got == {1: (3, 2, hashlib.sha256(b",2").hexdigest()), 2: (1, 1, hashlib.sha256(b"2").hexdigest())}
+
+
 def test_decontaminate_parts(spark, docs, odd, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     extra = spark.createDataFrame([(901, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (902, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16"), (903, "one"), (904, None)], "item_id long, text string")

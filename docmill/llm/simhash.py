@@ -41,6 +41,9 @@ COPY_SHINGLE = 5
 ALIKE = (4, 5)
 #: Sets of a block.
 BLOCK = 256
+BLOCK_ROWS = "array<struct<sig:bigint,n:bigint,root:bigint,prefix:array<bigint>>>"
+#: Rows of a small table, of 16 bytes each, that is sent to all tasks.
+SENT = 1 << 19
 #: Rounds in which a set is compared with one other by each of its shingles.
 ROUNDS = 2
 #: Shingles of so many of the texts in one of ``SAMPLE`` parts are compared last, the ``MAX_OFTEN`` most common at most.
@@ -307,9 +310,9 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
 
-def close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``(a, b)`` of distinct ``pairs`` of set numbers that may be alike, by sizes and prefixes."""
-    reps = table(rows.join(ends_of(pairs), "sig", "left_semi").select("sig", "n", "prefix").dropDuplicates(["sig"]), "candidates")
+def close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The ``(a, b)`` of distinct ``pairs`` of set numbers that may be alike, by sizes and prefixes of ``reps`` (sig, n, prefix)."""
+    reps = reps.join(ends_of(pairs), "sig", "left_semi")
     one, two = (reps.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}")) for x in "ab")
     # all common hashes up to the end of the prefix that ends first are in both prefixes, so only what follows it in either set can be more
     end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
@@ -318,14 +321,24 @@ def close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("end", end).where(enough(F.least(most, "na", "nb"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The ``(a, b)`` of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, to be sent to all tasks if it has no more than ``SENT`` rows."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def whole_sets(reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``(sig, hs)``: the whole shingle sets of ``reps`` (sig, __th), made of their texts once more."""
     # texts of one set may differ in case and space, and any will do
-    reps = rows.join(ends_of(pairs), "sig", "left_semi").select("sig", "__th").dropDuplicates(["sig"])
-    texts = docs.select(row_key(text, text)[1], F.col(text).alias("t")).join(reps, "__th").select("sig", "t")
+    asked = table(reps.select("sig", "__th"), "texts-asked")
+    texts = docs.select(row_key(text, text)[1], F.col(text).alias("t")).join(small(asked), "__th").select("sig", "t")
     sets = map_texts(texts, {"sig": "sig"}, "t", lambda: lambda ts: {"hs": [shingle_set(t) for t in ts]}, "hs array<bigint>")
-    sets = table(sets.dropDuplicates(["sig"]), "candidate-sets")
-    one, two = (sets.select(F.col("sig").alias(x), F.col("hs").alias(f"h{x}")) for x in "ab")
+    return sets.dropDuplicates(["sig"])
+
+
+def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The ``(a, b)`` of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
+    mine = table(whole_sets(reps.join(ends_of(pairs), "sig", "left_semi"), docs, text), "candidate-sets")
+    one, two = (mine.select(F.col("sig").alias(x), F.col("hs").alias(f"h{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
     return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
 
@@ -353,20 +366,21 @@ def close_in_blocks(h: int, x: Block, y: Block) -> tuple[np.ndarray, np.ndarray]
     return np.nonzero(ok)
 
 
-def close_apart(apart: DataFrame, rows: DataFrame) -> DataFrame:
+def close_apart(apart: DataFrame, reps: DataFrame) -> DataFrame:
     """The ``(a, b)`` that :func:`close` would find of all pairs of ``apart`` (sig, n, h, root) that share ``h`` in different components.
 
     Sets that share a hash are dealt into blocks by their numbers, and two blocks are
     compared at a time; no pair is made that isn't close.
     """
-    prefixes = table(rows.join(apart.select("sig").distinct(), "sig", "left_semi").select("sig", "prefix").dropDuplicates(["sig"]), "prefixes")
+    prefixes = reps.select("sig", "prefix")
     count = apart.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     keyed = apart.join(count, "h").select("sig", "h", "n", "root", "blocks", F.pmod(F.xxhash64("sig", "h"), F.col("blocks")).cast("int").alias("i"))
-    blocks = keyed.join(prefixes, "sig").groupBy("h", "i", "blocks").agg(F.collect_list(F.struct("sig", "n", "root", "prefix")).alias("x"))
-    blocks = table(blocks, "blocks")
-    left = blocks.select("h", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    right = blocks.where("blocks > 1").select("h", F.col("i").alias("j"), F.col("x").alias("y"))
-    met = left.join(right, ["h", "j"], "left").select("h", "x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
+    blocks = lambda some: some.join(prefixes, "sig").groupBy("h", "i", "blocks").agg(F.collect_list(F.struct("sig", "n", "root", "prefix")).alias("x"))
+    one = blocks(keyed.where("blocks = 1")).select("h", "x", F.lit(None).cast(BLOCK_ROWS).alias("y"))
+    many = table(blocks(keyed.where("blocks > 1")), "blocks")
+    left = many.select("h", "i", "x", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    two = left.join(many.select("h", F.col("i").alias("j"), F.col("x").alias("y")), ["h", "j"]).select("h", "x", F.when(F.col("i") != F.col("j"), F.col("y")).alias("y"))
+    met = one.unionByName(two)
 
     def run(batches):
         def block(rows_: pa.Array) -> Block:
@@ -401,23 +415,36 @@ def copy_links(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """
     keys = rows.select("sig", "n", F.explode("prefix").alias("h"))
     shared = keys.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("h")
-    keys = table(keys.join(shared, "h", "left_semi").distinct(), "shared-shingles")
+    keys = table(keys.join(small(table(shared, "hashes-shared")), "h", "left_semi").distinct(), "shared-shingles")
     near = F.least("n", "n2") * ALIKE[1] >= F.greatest("n", "n2") * ALIKE[0]
     pair = lambda df: df.where((F.col("sig") != F.col("sig2")) & near).select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct()
-    links, roots, apart = None, None, keys.withColumn("root", F.col("sig"))
+    reps = table(rows.join(keys.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "prefix", "__th"), "candidates")
+    links, apart = None, keys.withColumn("root", F.col("sig"))
     for k in range(ROUNDS):
         order = F.col("sig") if not k else F.xxhash64("sig", "h", F.lit(k))
         hub = apart.groupBy("h").agg(F.min(F.struct(order.alias("o"), "sig", "n", "root")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
-        tried = pair(apart.join(hub, "h").where("root != root2"))
-        tried = table(close(table(tried, "hub-pairs"), rows), "close-pairs")
-        more = table(alike(tried, rows, docs, text), "hub-links")
+        tried = table(pair(apart.join(hub, "h").where("root != root2")), "hub-pairs")
+        near_ = table(close(tried, reps), "close-pairs")
+        forget(tried)
+        more = table(alike(near_, reps, docs, text), "hub-links")
+        forget(near_)
         links = more if links is None else links.unionByName(more)
-        roots = table(components(links), "roots")
+        roots = components(links)
         named = keys.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        named = table(named, "named-shingles")
-        still = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
-        apart = table(named.join(still, "h", "left_semi"), "shared-apart")
-    more = alike(table(close_apart(apart, rows), "close-pairs"), rows, docs, text)
+        count = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("h", "size")
+        was, apart = apart, table(named.join(count, "h"), "shared-apart")
+        forget(was)
+    forget(keys)
+    few = apart.where(F.col("size") <= PAIRWISE).groupBy("h").agg(F.collect_list(F.struct("sig", "n", "root")).alias("x")).select(F.explode("x").alias("one"), "x").select("one", F.explode("x").alias("two"))
+    few = few.where("one.sig > two.sig and one.root != two.root").select(F.col("one.sig").alias("sig"), F.col("one.n").alias("n"), F.col("two.sig").alias("sig2"), F.col("two.n").alias("n2"))
+    tried = table(pair(few), "few-pairs")
+    near_ = close(tried, reps).unionByName(close_apart(apart.where(F.col("size") > PAIRWISE), reps))
+    near_ = table(near_.distinct(), "close-pairs")
+    forget(tried)
+    forget(apart)
+    more = table(alike(near_, reps, docs, text), "block-links")
+    for t in (near_, reps):
+        forget(t)
     return components(links.unionByName(more))
 
 

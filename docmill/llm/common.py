@@ -68,12 +68,15 @@ def map_texts(
     text: F.Column | str,
     fn: Callable[[], Callable[[list], dict[str, object]]],
     schema: str,
+    most: int = SLICE_BYTES,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """One row out for each row in: ``keys`` as they are, then what ``fn()(texts)`` gives for the byte slices.
 
     ``text`` goes to the tasks as UTF-8 bytes. ``fn`` is called once a task and
     returns the function of a list of bytes (None for null) to columns, named and
-    typed as in ``schema`` (DDL of the added columns).
+    typed as in ``schema`` (DDL of the added columns). Slices have ``most`` bytes;
+    ``done`` is called when a task ends, as workers go on to tasks of other kinds.
     """
     small_batches(df.sparkSession)
     src = df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in keys.items()], (F.col(text) if isinstance(text, str) else text).cast("binary").alias("__text"))
@@ -90,7 +93,7 @@ def map_texts(
         work = fn()
         for batch in batches:
             texts = batch.column("__text").to_pylist()
-            for a, b in by_bytes(texts):
+            for a, b in by_bytes(texts, most):
                 cols = work(texts[a:b])
                 part = batch.slice(a, b - a)
                 arrays = [part.column(n) for n in names]
@@ -99,6 +102,9 @@ def map_texts(
                     kind = arrow.field(f.name).type
                     arrays.append(v if isinstance(v, pa.Array) else pa.array(v, kind))
                 yield pa.RecordBatch.from_arrays([x.cast(arrow.field(i).type) for i, x in enumerate(arrays)], schema=arrow)
+        if done:
+            done()
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, full)
 

@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 SPACE = "▁"
-#: Segments whose ids a worker keeps; when there are more, only those met again stay.
-CACHE_SEGMENTS = 160_000
+#: Segments whose ids a task keeps; when there are more, only those met again stay.
+CACHE_SEGMENTS = 80_000
 #: Pairs of pieces that a worker keeps, each at a place of its own: a power of two.
 CACHE_PAIRS = 1 << 20
 #: Characters of new segments that are indexed at once, if no one segment is longer.
 INDEX_CHARS = 1 << 18
+#: Bytes of text in which segments are told apart at once.
+SLICE_BYTES = 2 << 20
 #: So few segments are gone on with one by one.
 FEW = 48
 #: Characters of such a segment for which pairs of pieces are looked at together.
@@ -384,6 +386,10 @@ class Encoder:
                 self.known.update(zip(some, self.encode_segments(some)))
                 start, size = i, 0
 
+    def forget(self) -> None:
+        """Free what is known of segments."""
+        self.known, self.older = {}, {}
+
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         number = Numbers()  # distinct segments of the texts, which are kept as numbers
         cut = [array("i", map(number.__getitem__, segments_of(t.decode("utf-8", "replace"), self.cut_lines)) if t else []) for t in texts]
@@ -403,7 +409,7 @@ class Encoder:
 
 @functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """The encoder of a worker process, with what it knows from earlier tasks."""
+    """The encoder of a worker process."""
     return Encoder(path)
 
 
@@ -454,4 +460,7 @@ def encode(docs: DataFrame, model: str, keys: dict[str, F.Column | str], text: s
 
         return work
 
-    return map_texts(docs, keys, text, start, "ids array<int>, n_tokens long, decoded string")
+    def done():
+        encoder_of(model).forget()
+
+    return map_texts(docs, keys, text, start, "ids array<int>, n_tokens long, decoded string", SLICE_BYTES, done)

@@ -31,12 +31,20 @@ CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 
 #: Characters of words that aren't letters: numbers that have no place value.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_WORD = re.compile(f"[^\\W\\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_WORD = re.compile(r"[^\W\d_]+")
+_STRICT = re.compile(f"[^\\W\\d_{''.join(sorted(_NUMBERS))}]+")
 #: Odd numbers that mix the characters of an n-gram.
 _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
+def words_of(text: bytes | None) -> list[str]:
+    """Runs of letters of a text in lower case."""
+    t = text.decode("utf-8", "replace").lower() if text else ""
+    # the strict pattern is slow, and few texts need it
+    return (_WORD if t.isascii() or _NUMBERS.isdisjoint(t) else _STRICT).findall(t)
+
+
 def subwords(words: list[str], buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each ``<word>``, and the place in ``words`` of the one that each is of; by order, then place."""
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), np.uint32)
@@ -114,7 +122,7 @@ def calibrate(z: np.ndarray, labels: np.ndarray, precision: float = 0.99) -> tup
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares."""
-    grams, _ = subwords(_WORD.findall(text.decode("utf-8", "replace").lower()))
+    grams, _ = subwords(words_of(text))
     b, n = np.unique(grams, return_counts=True)
     return b, n / max(1, n.sum())
 
@@ -179,7 +187,7 @@ def predictor(model: Model):
         nonlocal sums
         if len(index) > CACHE_WORDS:
             index.clear()
-        words = [_WORD.findall(t.decode("utf-8", "replace").lower()) if t else [] for t in texts]
+        words = list(map(words_of, texts))
         new = list(set().union(*words) - index.keys())
         if len(index) + len(new) > len(sums):
             sums = np.concatenate([sums, np.zeros((len(index) + len(new), k + 1), np.float32)])

@@ -1,13 +1,15 @@
-"""Queries of the ten operators and the pipeline, with SQL for DuckDB where it can express them."""
+"""Queries of the numbered operators and the pipeline, with SQL for DuckDB where it can express them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lines, maxent, quality, sentencepiece, simhash, token_counts, warc
+from . import decontaminate, language, lexical, licenses, lines, maxent, quality, sentencepiece, simhash, token_counts, token_files, warc, whitening
+from .common import shared_dir, table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/docmill/token-files-{uuid.uuid4().hex}"
+    token_files.write(read(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
+    return token_files.digests(token_files.read(spark, path))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(read(spark, sf_dir, "documents"))
+    found = table(lexical.search(index, read(spark, sf_dir, "benchmark")), "ranked")
+    index.drop()
+    return found
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_licenses, op3_sentencepiece, op4_warc, op5_token_counts, op6_language, op7_decontaminate, op8_lm_score, op9_line_dedup, op10_quality, pipeline)
+    for f in (op1_simhash, op2_licenses, op3_sentencepiece, op4_warc, op5_token_counts, op6_language, op7_decontaminate, op8_lm_score, op9_line_dedup, op10_quality, op11_whitening, op12_token_files, op13_search, pipeline)
 }
 
 def license_sql() -> str:
@@ -137,7 +156,7 @@ def license_sql() -> str:
         FROM d LEFT JOIN up USING (doc_id)"""
 
 
-# XXH64 of shingles (1), trained models (6, 8) and tokenizers (3, 5, pipeline) have no SQL here; tests hold them against brute force.
+# XXH64 of shingles (1), trained models (6, 8), tokenizers (3, 5, 12, pipeline) and eigenvectors (11) have no SQL here; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op2_licenses": license_sql(),
     "op4_warc": """
@@ -197,4 +216,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
                NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_removed_words >= 20 AS kept
         FROM b""",
+    "op13_search": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        q AS (
+          SELECT item_id, t, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+          GROUP BY item_id, t),
+        s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+        p AS (
+          SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t),
+        f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY t, n_docs),
+        i AS (SELECT doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS impact FROM p JOIN f USING (t), s),
+        r AS (SELECT item_id, doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN i USING (t) GROUP BY item_id, doc_id HAVING sum(times * impact) > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r QUALIFY rank <= 10""",
 }

@@ -8,11 +8,12 @@ import json
 from pyspark.sql import SparkSession
 
 from .config import Settings
+from .functions import tags
 from .functions.text import preview
 from .operators.records import RecordSettings
 from .plans import pipelines
 from .sources import files, maps
-from .sources.store import IndexStore
+from .sources.store import ChunkTable
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,7 +28,10 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("query")
     a.add_argument("question")
     a.add_argument("--top-k", type=int, default=5)
-    a.add_argument("--tag-filter", default="*")
+    a.add_argument("--any-tag", nargs="*", default=[], help="one of these at least")
+    a.add_argument("--all-tags", nargs="*", default=[], help="all of these")
+    a.add_argument("--no-tag", nargs="*", default=[], help="none of these")
+    a.add_argument("--where", help="a condition in Spark SQL")
     a.add_argument("--json-out", action="store_true")
     a = sub.add_parser("retag")
     a.add_argument("ids", nargs="+")
@@ -55,12 +59,12 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args, settings = parser().parse_args(argv), Settings.from_env()
     spark = SparkSession.builder.appName("docmill").getOrCreate()
-    store = IndexStore(spark, settings.index_path, settings.dimensions)
+    store = ChunkTable(spark, settings.index_path, settings.dimensions)
     if args.command == "ingest":
         done = pipelines.ingest(spark, args.path, settings, args.tags, args.glob, args.jsonl, not args.no_index)
         print(f"{done.count()} chunks")
     elif args.command == "query":
-        rows = pipelines.query(spark, args.question, settings, args.top_k, args.tag_filter)
+        rows = pipelines.query(spark, args.question, settings, args.top_k, tags.wanted(args.any_tag, args.all_tags, args.no_tag, args.where))
         rows = rows if args.json_out else rows.withColumn("content", preview(rows.content))
         hits = [r.asDict() for r in rows.collect()]  # top k rows
         if args.json_out:

@@ -1,9 +1,7 @@
-"""Tag arrays, and the filter language of searches."""
+"""Tag arrays, and the filters of searches."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,34 +32,17 @@ def has_any(tags: Column, required: list[str]) -> Column:
 
 
 def has_all(tags: Column, required: list[str]) -> Column:
-    """Nothing is required: all have it."""
-    return F.size(F.array_except(literal(required), tags)) == 0
-
-
-_TERM = re.compile(r"\s*(-?)@(\w+):(?:\{([^}]*)\}|\[\s*(\S+)\s+(\S+?)\s*\])\s*")
-
-
-def parse_filter(text: str, tags: str = "tags") -> Column:
-    """A filter as a column: ``*``; ``@tags:{a|b}``; ``@field:[low high]``; terms side by side are all needed, ``-`` negates one.
-
-    ``inf`` bounds and ``(`` before a bound (exclusive) are understood. Anything else is a ValueError.
-    """
-    if text.strip() in ("", "*"):
-        return F.lit(True)
-    out, at = F.lit(True), 0
-    while at < len(text):
-        m = _TERM.match(text, at)
-        if not m:
-            raise ValueError(f"can't read the filter from {text[at:]!r}")
-        minus, field, names, low, high = m.groups()
-        if names is not None:
-            term = has_any(F.col(tags if field == "tags" else field), [x.strip() for x in names.split("|") if x.strip()])
-        else:
-            try:
-                lo, hi = float(low.lstrip("(")), float(high.lstrip("("))
-            except ValueError:
-                raise ValueError(f"not a number in {m[0]!r}") from None
-            c = F.col(field)
-            term = (c > lo if low[0] == "(" else c >= lo) & (c < hi if high[0] == "(" else c <= hi)
-        out, at = out & (~term if minus else term), m.end()
-    return out
+    """Nothing is required: all have it, null tags too; else null tags have none."""
+    return F.size(F.array_except(literal(required), F.coalesce(tags, literal([])))) == 0
+
+
+def wanted(any_of: list[str] | None = None, all_of: list[str] | None = None, none_of: list[str] | None = None, where: str | None = None, tags: str = "tags") -> Column:
+    """Rows with one tag of ``any_of``, all of ``all_of``, none of ``none_of``, for which the SQL condition ``where`` holds; what isn't asked for doesn't count."""
+    out = F.lit(True)
+    if any_of:
+        out = out & has_any(F.col(tags), any_of)
+    if all_of:
+        out = out & has_all(F.col(tags), all_of)
+    if none_of:
+        out = out & ~has_any(F.col(tags), none_of)
+    return out & F.expr(where) if where else out

@@ -7,19 +7,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import tags, vectors
+from ..functions import vectors
 
 #: Query vectors that go to every task at once.
 QUERY_BLOCK = 4096
 
 
-def knn(index: DataFrame, vector: list[float], k: int = 5, where: Column | str = "*", id_col: str = "chunk_id", vector_col: str = "embedding", decimals: int | None = None) -> DataFrame:
+def knn(index: DataFrame, vector: list[float], k: int = 5, where: Column | str | None = None, id_col: str = "chunk_id", vector_col: str = "embedding", decimals: int | None = None) -> DataFrame:
     """The ``k`` rows nearest to ``vector`` of those that pass the filter, with ``score``, a distance; ties by id.
 
-    Rows without a distance (null or zero vectors, other sizes) are left out. The
+    The filter is a column or a condition in Spark SQL. Rows without a distance (null
+    or zero vectors, other sizes) are left out. The
     vector is a literal, so this is one scan and a top k for each task, no shuffle.
     """
-    keep = tags.parse_filter(where) if isinstance(where, str) else where
+    keep = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
     q = F.array(*[F.lit(float(np.float32(x))) for x in vector])
     score = vectors.cosine_distance(F.col(vector_col), q)
     out = index.where(keep).withColumn("score", F.round(score, decimals) + F.lit(0.0) if decimals is not None else score)

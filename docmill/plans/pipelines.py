@@ -12,7 +12,8 @@ from ..functions import ids, text
 from ..operators import adoc, embed, html, markdown, records, search
 from ..operators.records import RecordSettings
 from ..sources import files
-from ..sources.store import IndexStore
+from ..sources.stage import staged
+from ..sources.store import ChunkTable
 
 
 def ingest(spark: SparkSession, path: str, settings: Settings, tags: list[str] | None = None, pattern: str = "*.md", jsonl: str | None = None, index: bool = True) -> DataFrame:
@@ -23,15 +24,13 @@ def ingest(spark: SparkSession, path: str, settings: Settings, tags: list[str] |
     settings.validate()
     chunks = markdown.chunks(files.markdown(spark, path, pattern), tags, settings.max_chars, settings.overlap)
     done = embed.embed_chunks(chunks, settings.provider, settings.provider_settings, settings.batch)
-    stage = f"{settings.output_dir}/stage-{int(time.time() * 1000)}"
-    done.write.parquet(stage)
-    done = spark.read.schema(done.schema).parquet(stage)
+    done = staged(done, "chunks")
     if done.isEmpty():
         return done
     if jsonl:
         export_jsonl(done.drop("chunk_index"), jsonl)
     if index:
-        IndexStore(spark, settings.index_path, settings.dimensions).upsert(done, int(time.time()))
+        ChunkTable(spark, settings.index_path, settings.dimensions).upsert(done, int(time.time()), F.struct("source", "chunk_index"))
     return done
 
 
@@ -83,9 +82,9 @@ def adoc_records(sources: DataFrame, topics: DataFrame, branch: str, settings: R
     return records.records(src, prefix, settings, F.col("committed_at"), F.col("page_url"))
 
 
-def query(spark: SparkSession, question: str, settings: Settings, k: int = 5, where: str = "*") -> DataFrame:
-    """The ``k`` chunks nearest to ``question``: ``chunk_id, source, title, section, content, tags, score``."""
+def query(spark: SparkSession, question: str, settings: Settings, k: int = 5, where: str | F.Column | None = None) -> DataFrame:
+    """The ``k`` chunks nearest to ``question`` of those for which ``where`` holds: ``chunk_id, source, title, section, content, tags, score``."""
     settings.validate()
     vector = embed.PROVIDERS[settings.provider](settings.provider_settings)([question])[0]
-    hits = search.knn(IndexStore(spark, settings.index_path, settings.dimensions).read(), vector, k, where)
+    hits = search.knn(ChunkTable(spark, settings.index_path, settings.dimensions).read(), vector, k, where)
     return hits.select("chunk_id", "source", "title", "section", "content", "tags", "score")

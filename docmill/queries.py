@@ -6,7 +6,6 @@ them, both sides derive them from the text in the same way.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from .operators import html, markdown, records, search
 from .operators.headings import with_crumbs
 from .plans import pipelines
 from .sources import files, maps, store
-from .sources.stage import shared_dir
+from .sources.stage import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,7 +65,7 @@ def knn_top5(spark, sf_dir):
 def knn_filtered(spark, sf_dir):
     """Nearest vectors of those that pass a filter."""
     e = table(spark, sf_dir, "embeddings")
-    return search.knn(e, vector_of(e, 0), 5, "@label:[2 6]", id_col="vec_id", decimals=6).select("vec_id", "label", "score")
+    return search.knn(e, vector_of(e, 0), 5, F.col("label").between(2, 6), id_col="vec_id", decimals=6).select("vec_id", "label", "score")
 
 
 @query(f"""
@@ -294,9 +293,9 @@ def tags_all(spark, sf_dir):
 
 @query(_TAG_SQL + " SELECT doc_id FROM t WHERE list_has_any(tags, ['q1', 'q2']) AND NOT list_has_any(tags, ['en']) AND doc_id BETWEEN 10 AND 900")
 def tag_filter(spark, sf_dir):
-    """The filter language of searches."""
+    """The filters of searches: tags and a condition."""
     d = table(spark, sf_dir, "documents").withColumn("tags", own_tags())
-    return d.where(tags.parse_filter("@tags:{q1|q2} -@tags:{en} @doc_id:[10 900]")).select("doc_id")
+    return d.where(tags.wanted(["q1", "q2"], none_of=["en"], where="doc_id BETWEEN 10 AND 900")).select("doc_id")
 
 
 @query(_TAG_SQL + """, r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN list_filter(list_append(tags, 'new'), lambda x: x <> 'en') ELSE tags END AS tags FROM t)
@@ -310,12 +309,25 @@ def retag_upsert(spark, sf_dir):
     return store.merged(changed, fresh).select("chunk_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query("""
+    WITH n AS (SELECT (user_id % 2000)::VARCHAR AS chunk_id, 'event' AS source, max_by(event_type || '|' || event_id, event_id) AS content FROM events GROUP BY 1),
+    d AS (SELECT doc_id::VARCHAR AS chunk_id, lang AS source, substr(sha256(text), 1, 16) AS content FROM documents)
+    SELECT * FROM n UNION ALL SELECT * FROM d WHERE chunk_id NOT IN (SELECT chunk_id FROM n)""")
+def upsert_buckets(spark, sf_dir):
+    """A bucketed table of documents, and events put in place of them: of the events of an id the last to arrive counts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("source"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("content"))
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 2000).cast("string").alias("chunk_id"), F.lit("event").alias("source"), F.concat_ws("|", "event_type", F.col("event_id").cast("string")).alias("content"), "event_id")
+    chunks = store.ChunkTable(spark, fresh(spark, "chunks"), 0, 16)
+    chunks.upsert(docs, 1)
+    chunks.upsert(events, 2, "event_id")
+    return chunks.read().select("chunk_id", "source", "content")
+
+
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def jsonl_roundtrip(spark, sf_dir):
     """Rows written as JSON lines and read again."""
     d = table(spark, sf_dir, "documents")
-    root = shared_dir(spark)
-    path = f"{root}/docmill/jsonl-{uuid.uuid4().hex}"
+    path = fresh(spark, "jsonl")
     pipelines.export_jsonl(d, path)
     return files.json_lines(spark, path, d.schema)
 

@@ -1,4 +1,7 @@
-"""Tables in the folder that driver and executors share, for lineage that grows by rounds."""
+"""Tables in the folder that driver and executors share, for lineage that grows by rounds.
+
+Each application has a folder of its own there, which goes when it ends.
+"""
 
 from __future__ import annotations
 
@@ -22,8 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that ``path`` is on, and the path for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path in this application's folder, which is deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/docmill/{spark.sparkContext.applicationId}"
+    fs, p = file_system(spark, folder)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/docmill/{label}-{uuid.uuid4().hex}"
+    """``df`` written below the shared folder and read back: lineage ends there and a lost executor costs no rework."""
+    path = fresh(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._docmill_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of :func:`staged` that nothing reads any more."""
+    path = getattr(df, "_docmill_path", None)
+    if path:
+        fs, p = file_system(df.sparkSession, path)
+        fs.delete(p, True)

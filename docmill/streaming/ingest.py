@@ -12,13 +12,13 @@ from ..config import Settings
 from ..functions import text
 from ..operators import embed, markdown
 from ..sources import files
-from ..sources.store import IndexStore
+from ..sources.store import ChunkTable
 
 
 def watch(spark: SparkSession, path: str, settings: Settings, checkpoint: str, tags: list[str] | None = None, once: bool = True) -> StreamingQuery:
     """Start a stream over ``path``. The checkpoint remembers files; ids are deterministic, so a batch run again changes nothing."""
     settings.validate()
-    store = IndexStore(spark, settings.index_path, settings.dimensions)
+    store = ChunkTable(spark, settings.index_path, settings.dimensions)
     store.create()
     stream = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.md").format("text").load(path)
     src = stream.select(files.source_path(), text.unix_lines(F.validate_utf8("value")).alias("text"))
@@ -26,7 +26,7 @@ def watch(spark: SparkSession, path: str, settings: Settings, checkpoint: str, t
     def upsert(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
             chunks = markdown.chunks(batch, tags, settings.max_chars, settings.overlap)
-            store.upsert(embed.embed_chunks(chunks, settings.provider, settings.provider_settings, settings.batch), int(time.time()))
+            store.upsert(embed.embed_chunks(chunks, settings.provider, settings.provider_settings, settings.batch), int(time.time()), F.struct("source", "chunk_index"))
 
     writer = src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

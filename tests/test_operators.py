@@ -8,7 +8,7 @@ from docmill.functions import ids, split, tags, text
 from docmill.operators import adoc, embed, html, markdown
 from docmill.plans import pipelines
 from docmill.sources import files, maps
-from docmill.sources.store import IndexStore
+from docmill.sources.store import ChunkTable
 
 
 def one(spark, column, **values):
@@ -168,11 +168,10 @@ def test_sitemaps(spark):
 
 def test_tag_filters(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, None)], "n int, tags array<string>")
-    ask = lambda s: [r["n"] for r in df.where(tags.parse_filter(s)).collect()]
-    assert ask("*") == [1, 2, 3] and ask("@tags:{b|c}") == [1, 2] and ask("-@tags:{c} @n:[1 2]") == [1] and ask("@n:[(1 inf]") == [2, 3]
-    with pytest.raises(ValueError):
-        tags.parse_filter("@tags=a")
-    assert df.where(tags.has_all(F.col("tags"), [])).count() in (2, 3)
+    ask = lambda *a, **k: [r["n"] for r in df.where(tags.wanted(*a, **k)).collect()]
+    assert ask() == [1, 2, 3] and ask(["b", "c"]) == [1, 2] and ask(none_of=["c"], where="n <= 2") == [1] and ask(where="n > 1") == [2, 3]
+    assert ask(all_of=["a", "b"]) == [1] and ask(["a", "c"], ["b"], ["c"]) == [1]
+    assert [r["n"] for r in df.where(tags.has_all(F.col("tags"), [])).collect()] == [1, 2, 3] and ask(all_of=["z"]) == []
     assert one(spark, tags.remove(F.col("t"), ["a"]), t=["a", "b", "b"]) == ["b", "b"]
     assert one(spark, tags.retag(F.col("t"), ["x"], ["x", "b"]), t=["a", "b", "a"]) == ["a"]
 
@@ -180,7 +179,7 @@ def test_tag_filters(spark):
 def test_store_and_search(spark, tmp_path):
     docs = spark.createDataFrame([("a.md", "# A\nred fox"), ("b.md", "# B\nblue whale")], "source string, text string")
     made = embed.embed_chunks(markdown.chunks(docs), "hashing", {"dimensions": 32})
-    store = IndexStore(spark, str(tmp_path / "index"), 32)
+    store = ChunkTable(spark, str(tmp_path / "index"), 32)
     store.upsert(made, 1)
     store.upsert(made, 2)
     rows = store.read().collect()
@@ -191,12 +190,60 @@ def test_store_and_search(spark, tmp_path):
     from docmill.operators.search import knn
 
     q = embed.PROVIDERS["hashing"]({"dimensions": 32})(["blue whale"])[0]
-    assert knn(store.read(), q, 1).first()["source"] == "b.md" and knn(store.read(), q, 5, "@tags:{t}").count() == 1
+    assert knn(store.read(), q, 1).first()["source"] == "b.md" and knn(store.read(), q, 5, tags.wanted(["t"])).count() == 1 and knn(store.read(), q, 5, "array_contains(tags, 't')").count() == 1
     assert store.drop(True) and not store.exists()
     with pytest.raises(ValueError):
         embed.embedder("nope")
 
 
+def chunk_rows(spark, rows):
+    return spark.createDataFrame(rows, "chunk_id string, content string, arrival int")
+
+
+def stored(path):
+    """The files of each bucket."""
+    return {b.name: sorted(f.name for f in b.glob("*.parquet")) for b in path.glob("rows/bucket=*")}
+
+
+def test_upsert_touches_its_buckets(spark, tmp_path):
+    """An upsert, a change of tags and a lookup of one row read and write one bucket; the rest stays as it is."""
+    t = ChunkTable(spark, str(tmp_path / "t"), 0, 8)
+    t.upsert(chunk_rows(spark, [(str(i), "old", 0) for i in range(400)]), 1)
+    before = stored(tmp_path / "t")
+    assert len(before) == 8 and all(before.values())
+    t.upsert(chunk_rows(spark, [("7", "b", 1), ("7", "new", 3), ("7", "c", 2)]), 2, "arrival")
+    after = stored(tmp_path / "t")
+    assert sum(before[b] != after[b] for b in before) == 1 and all(len(f) == 1 for f in after.values())
+    assert {(r["chunk_id"], r["content"], r["ingested_at"]) for r in t.read().collect()} == {(str(i), "new" if i == 7 else "old", 2 if i == 7 else 1) for i in range(400)}
+    one_ = t.get("7")
+    assert one_.count() == 1 and len(one_.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(bucket" in one_._jdf.queryExecution().toString()
+    t.set_tags("7", ["x"])
+    t.retag(["7", "8", "no"], ["y"], ["x"])
+    last = stored(tmp_path / "t")
+    assert sum(after[b] != last[b] for b in before) <= 2 and t.get("7").first()["tags"] == ["y"] == t.get("8").first()["tags"]
+    assert t.read().count() == 400
+
+
+def test_upsert_odd(spark, tmp_path):
+    """Nulls, ids that arrive very often, rows that arrive together, an empty batch, dropping and taking up again."""
+    t = ChunkTable(spark, str(tmp_path / "t"), 3, 4)
+    t.upsert(chunk_rows(spark, []), 1, "arrival")
+    assert t.read().count() == 0
+    rows = [(None, "n", 1), ("a", None, None), ("a", "x", None), *[("hot", f"{i % 90:03}", i % 10) for i in range(900)]]
+    t.upsert(chunk_rows(spark, rows), 1, "arrival")
+    assert {(r["chunk_id"], r["content"]) for r in t.read().collect()} == {(None, "n"), ("a", "x"), ("hot", "089")}
+    t.upsert(chunk_rows(spark, [(None, "m", 1)]), 2, "arrival")
+    assert t.read().where("chunk_id is null").first()["content"] == "m" and t.read().count() == 3
+    assert t.drop() and not t.exists() and not t.drop()
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    again = ChunkTable(spark, str(tmp_path / "t"), 3, 32)
+    again.create()
+    assert again.buckets == 4 and again.read().count() == 3
+    with pytest.raises(ValueError):
+        ChunkTable(spark, str(tmp_path / "t"), 5).create()
+
+
 def test_ingest_and_stream(spark, tmp_path):
     from docmill.config import Settings
     from docmill.streaming.ingest import watch
@@ -209,7 +256,7 @@ def test_ingest_and_stream(spark, tmp_path):
     hit = pipelines.query(spark, "two", s, 1).first()
     assert hit["section"] == "X > X > Y" and hit["tags"] == ["t", "e"]
     watch(spark, str(tmp_path / "in"), s, str(tmp_path / "c")).awaitTermination()
-    rows = IndexStore(spark, s.index_path, 16).read().collect()
+    rows = ChunkTable(spark, s.index_path, 16).read().collect()
     assert len(rows) == 2 and all(r["ingested_at"] > 10**9 for r in rows)  # the stream finds the rows of the batch, and gives them its time
 
 

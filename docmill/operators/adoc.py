@@ -9,10 +9,11 @@ from ..functions import text
 from ..sources.stage import staged
 from .headings import with_crumbs
 
-INCLUDE = r"(?d)^include::([^\[]+)\[.*?\]$"
+# The directive of an include, and anchor and heading lines.
+INCLUDE = r"(?dm)^include::([^\[]+)\[.*?\]$"
 ANCHOR = r"""^(?:\[id=["']([^"']+)["']\]|\[\[([^\]]+)\]\])"""
 HEADING = r"(?dU)^(={1,4})[\s\x1c-\x1f]+(.+)$"
-#: Files nested deeper than this are left out, which also ends cycles.
+#: Files nested deeper than this, a power of two, are left out, which also ends cycles.
 MAX_INCLUDES = 8
 
 
@@ -27,37 +28,37 @@ def directory(path: Column) -> Column:
 
 
 def resolve_includes(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """``(path, text)`` of ``roots`` (paths; all files if None) with include lines replaced by the files that they name.
+    """``(path, text)`` of ``roots`` (paths; all files if None) with include directives replaced by the files that they name.
 
     A target is looked up beside the including file, then from the top; one that is
-    in neither place is dropped. Each of the rounds is an equi-join of include lines
-    with files, its result a table; a line's place is the array of its positions on the
-    way in. The rounds end when no include line is left.
+    in neither place is dropped, as is one nested more than ``MAX_INCLUDES`` deep.
+    Texts are read once, to the pieces between directives. Who includes whom is a graph
+    of file names; its paths are made by doubling, without texts: those of up to twice
+    the length are the ones there are, and the longest of them followed by any. A piece's
+    place is the array of its positions on the way in, and pieces are joined by root.
     """
-    src = files.select("path", text.unix_lines(F.coalesce("text", F.lit(""))).alias("text"))
-    lines = src.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    start = src.select("path") if roots is None else src.join(roots.select("path"), "path", "left_semi").select("path")
-    open_ = start.join(lines, start.path == lines.file).select("path", "file", F.array("at").alias("key"), "line")
+    body = text.unix_lines(F.coalesce("text", F.lit("")))
+    src = staged(files.select("path", F.split(body, INCLUDE, -1).alias("pieces"), F.regexp_extract_all(body, F.lit(INCLUDE), 1).alias("targets")), "includes")
     names = src.select(F.col("path").alias("name"))
-    open_ = staged(open_, "includes")
-    done = open_.where(~F.col("line").rlike(INCLUDE)).select("path", "key", "line")
-    for depth in range(MAX_INCLUDES + 1):
-        asked = open_.where(F.col("line").rlike(INCLUDE)).withColumn("target", text.strip(F.regexp_extract("line", INCLUDE, 1)))
-        if asked.isEmpty():
-            break
-        # an include without a file, or nested too deeply, leaves an empty line
-        if depth == MAX_INCLUDES:
-            done = done.unionByName(asked.select("path", "key", F.lit("").alias("line")))
-            break
-        asked = asked.withColumns({"beside": normal_path(F.concat(directory(F.col("file")), F.lit("/"), F.col("target"))), "top": normal_path(F.col("target"))})
-        one = asked.join(names.select(F.col("name").alias("beside"), F.lit(True).alias("has")), "beside", "left")
-        one = one.withColumn("name", F.when(F.col("has"), F.col("beside")).otherwise(F.col("top"))).drop("has")
-        gone = one.join(names, "name", "left_anti").select("path", "key", F.lit("").alias("line"))
-        found = one.select("path", "key", "name").join(lines, F.col("name") == lines.file)
-        open_ = staged(found.select("path", "file", F.concat("key", F.array("at")).alias("key"), "line"), "includes")
-        done = done.unionByName(gone).unionByName(open_.where(~F.col("line").rlike(INCLUDE)).select("path", "key", "line"))
-    whole = done.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("key", "line"))).alias("l"))
-    return whole.select("path", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    asked = src.select(F.col("path").alias("file"), F.posexplode("targets").alias("at", "target")).withColumn("target", text.strip(F.col("target")))
+    asked = asked.withColumns({"beside": normal_path(F.concat(directory(F.col("file")), F.lit("/"), F.col("target"))), "top": normal_path(F.col("target"))})
+    found = asked.join(names.select(F.col("name").alias("beside"), F.lit(True).alias("has")), "beside", "left")
+    found = found.withColumn("name", F.when(F.col("has"), F.col("beside")).otherwise(F.col("top"))).join(names, "name", "left_semi")
+    # pieces have even places, what is included between them odd ones
+    paths = staged(found.select("file", F.array(2 * F.col("at") + 1).alias("key"), "name"), "include-paths")
+    start = names.select(F.col("name").alias("file")) if roots is None else roots.select(F.col("path").alias("file")).distinct()
+    longest = 1
+    while longest < MAX_INCLUDES:
+        last = longest * 2 >= MAX_INCLUDES
+        first = paths.join(start, "file", "left_semi") if last else paths
+        more = paths.select(F.col("file").alias("name"), F.col("key").alias("then"), F.col("name").alias("to"))
+        further = first.where(F.size("key") == longest).join(more, "name").where(F.size("key") + F.size("then") <= MAX_INCLUDES)
+        paths = staged(first.unionByName(further.select("file", F.concat("key", "then").alias("key"), F.col("to").alias("name"))), "include-paths")
+        longest *= 2
+    own = start.select("file", F.array().cast("array<int>").alias("key"), F.col("file").alias("name"))
+    parts = own.unionByName(paths).join(src.select(F.col("path").alias("name"), "pieces"), "name").select("file", "key", F.posexplode("pieces").alias("at", "piece"))
+    whole = parts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(F.concat("key", F.array(2 * F.col("at"))).alias("key"), "piece"))).alias("p"))
+    return whole.select(F.col("file").alias("path"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))
 
 
 def sections(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids, split, tags, text, vectors
-from .operators import html, markdown, records, search
+from .operators import adoc, html, markdown, records, search
 from .operators.headings import with_crumbs
 from .plans import pipelines
 from .sources import files, maps, store
@@ -231,6 +231,39 @@ def adoc_strip_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_adoc(t).alias("body"))
 
 
+def with_includes(docs: DataFrame) -> DataFrame:
+    """Documents as AsciiDoc files ``(doc_id, path, text)`` that include each other, by names beside them and from the top, round in circles, and files that aren't there."""
+    i = F.col("doc_id")
+    name = lambda j: F.concat(F.lit("d"), (j % 7).cast("string"), F.lit("/f"), j.cast("string"), F.lit(".adoc"))
+    line = lambda when, target, rest: F.when(when, F.concat(F.lit("include::"), target, F.lit(rest + "\n"))).otherwise("")
+    body = F.concat(
+        F.lit("head "), i.cast("string"), F.lit("\n"),
+        line(i % 3 != 0, F.concat(F.lit("../"), name((i * 5 + 1) % 1000)), "[leveloffset=+1]"), line(i % 4 == 0, name((i * 7 + 2) % 1000), "[]"), line(i % 5 == 0, F.lit("none.adoc"), "[]"),
+        F.lit("tail "), F.substring("lang", 1, 2), F.lit(" include::no[]"),
+    )
+    return docs.select("doc_id", name(i).alias("path"), body.alias("text"))
+
+
+@query("""
+    WITH RECURSIVE f AS (SELECT doc_id AS i, lang FROM documents),
+    e AS (SELECT a.i, k, j FROM (SELECT i, 1 AS k, (i * 5 + 1) % 1000 AS j FROM f WHERE i % 3 <> 0 UNION ALL SELECT i, 3, (i * 7 + 2) % 1000 FROM f WHERE i % 4 = 0) a JOIN f ON f.i = j),
+    inst(root, key, i) AS (
+      SELECT i, []::INT[], i FROM f
+      UNION ALL SELECT root, list_append(key, k), j FROM inst JOIN e USING (i) WHERE len(key) < 8),
+    p AS (
+      SELECT i, 0 AS pos, 'head ' || i || chr(10) AS piece FROM f
+      UNION ALL SELECT i, 2, chr(10) FROM f WHERE i % 3 <> 0
+      UNION ALL SELECT i, 4, chr(10) FROM f WHERE i % 4 = 0
+      UNION ALL SELECT i, 6, chr(10) FROM f WHERE i % 5 = 0
+      UNION ALL SELECT i, 8, 'tail ' || substr(lang, 1, 2) || ' include::no[]' FROM f)
+    SELECT root AS doc_id, sha256(string_agg(piece, '' ORDER BY list_append(key, pos))) AS sha, sum(length(piece))::INT AS chars FROM inst JOIN p USING (i) GROUP BY root""")
+def include_resolve(spark, sf_dir):
+    """AsciiDoc files with all that they include, eight levels deep."""
+    docs = with_includes(table(spark, sf_dir, "documents"))
+    whole = adoc.resolve_includes(docs.select("path", "text"))
+    return docs.select("doc_id", "path").join(whole, "path").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.length("text").alias("chars"))
+
+
 def _crumbs() -> tuple[Column, Column, Column]:
     page = F.col("lang")
     return page, F.array(F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit("x")), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("source"))), F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise(F.lit("h"))

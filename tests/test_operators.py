@@ -1,4 +1,6 @@
+import os
 import random
+import re
 import uuid
 
 import pytest
@@ -151,6 +153,33 @@ def test_adoc(spark):
     assert rows[0]["text"] == "Page: Name\n\nbefore" and rows[2]["page_url"] == "http://s/a.html#y" and rows[2]["text"].startswith("Page: Name\nSection: Page > Deep\n\n")
 
 
+def slow_includes(files_, path, depth=0):
+    def of(m):
+        for name in (os.path.normpath(os.path.join(os.path.dirname(path), m[1].strip())), os.path.normpath(m[1].strip())):
+            if name in files_ and depth < 8:
+                return slow_includes(files_, name, depth + 1)
+            if name in files_:
+                return ""
+        return ""
+
+    return re.sub(r"^include::([^\[]+)\[.*?\]$", of, files_[path].replace("\r\n", "\n"), flags=re.M)
+
+
+def test_includes(spark):
+    """Any graph of includes: circles, targets beside and from the top, over several lines, lone and last lines, files without text."""
+    rnd = random.Random(4)
+    names = [f"{d}/f{i}.adoc" if d else f"f{i}.adoc" for i in range(12) for d in ("", "a", "a/b")]
+    target = lambda: rnd.choice([rnd.choice(names), "f3.adoc", "../f2.adoc", "../../f1.adoc", "./b/f4.adoc", " a/f5.adoc ", "none.adoc", "f6\nx"])
+    part = lambda: rnd.choice([f"include::{target()}[]", f"include::{target()}[a=b]c]", "include::open[", "text", "", "see include::f1.adoc[]", "include::[]"])
+    src = {n: "\n".join(rnd.choice([part(), "words"]) for _ in range(rnd.randint(0, 4))) for n in names}
+    src["f0.adoc"] = "include::f0.adoc[]\r\ninclude::a/f1.adoc[]\r\n"
+    files_ = spark.createDataFrame([*src.items(), ("null.adoc", None)], "path string, text string")
+    want = {n: slow_includes(src, n) for n in names} | {"null.adoc": ""}
+    assert {r["path"]: r["text"] for r in adoc.resolve_includes(files_).collect()} == want
+    roots = spark.createDataFrame([("f0.adoc",), ("a/f1.adoc",), ("a/f1.adoc",), ("not there",)], "path string")
+    assert sorted((r["path"], r["text"]) for r in adoc.resolve_includes(files_, roots).collect()) == sorted((n, want[n]) for n in ("f0.adoc", "a/f1.adoc"))
+
+
 def test_topic_maps(spark):
     doc = {"Dir": "top", "Distros": "other", "Topics": [{"File": "a", "Name": "A"}, {"Dir": "in", "Distros": "other", "Topics": [{"File": "no"}]}, {"Dir": "in", "Topics": [{"File": "b"}, {"File": "a"}]}]}
     got = {r["stem"]: (r["page_url"], r["page_name"]) for r in maps.topics(spark, [doc], "http://s", "mine").collect()}

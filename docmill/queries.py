@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids, split, tags, text, vectors
-from .operators import adoc, html, markdown, records, search
+from .operators import adoc, html, markdown, nearest, records, search
 from .operators.headings import with_crumbs
 from .plans import pipelines
 from .sources import files, maps, store
@@ -68,12 +68,15 @@ def knn_filtered(spark, sf_dir):
     return search.knn(e, vector_of(e, 0), 5, F.col("label").between(2, 6), id_col="vec_id", decimals=6).select("vec_id", "label", "score")
 
 
-@query(f"""
+_KNN_BATCH = f"""
     WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 20 = 0),
     e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS a FROM embeddings),
     s AS (SELECT query_id, id, round({_COSINE}, 6) + 0.0 AS score FROM e, q)
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s
-    QUALIFY rank <= 5""")
+    QUALIFY rank <= 5"""
+
+
+@query(_KNN_BATCH)
 def knn_batch(spark, sf_dir):
     """Nearest vectors of a set of queries: every row whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
@@ -81,6 +84,14 @@ def knn_batch(spark, sf_dir):
     return search.knn_batch(e, q, 5, id_col="vec_id")
 
 
+@query(_KNN_BATCH)
+def knn_pruned(spark, sf_dir):
+    """The same by cells around pivots, of which those are read that may hold a nearer vector."""
+    e = table(spark, sf_dir, "embeddings")
+    cells = nearest.build(e, fresh(spark, "cells"), "vec_id")
+    return nearest.search(cells, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5)
+
+
 _PIECES = """
     WITH p AS (SELECT doc_id, source, text, CASE WHEN length(text) <= 2000 THEN 1 ELSE ceil(length(text) / 1800.0)::INT END AS n FROM documents),
     c AS (SELECT doc_id, source, n, k, CASE WHEN n = 1 AND length(text) <= 2000 THEN text ELSE substring(text, k * 1800 + 1, 2000) END AS piece FROM p, unnest(range(n)) AS t(k))"""

@@ -225,6 +225,45 @@ def test_store_and_search(spark, tmp_path):
         embed.embedder("nope")
 
 
+def clustered(rnd, n, dims=8, groups=20):
+    mid = [[rnd.gauss(0, 1) for _ in range(dims)] for _ in range(groups)]
+    return [(i, [c + rnd.gauss(0, 0.02) for c in mid[i % groups]]) for i in range(n)]
+
+
+def test_pruned_search(spark, tmp_path, monkeypatch):
+    """The rows of the plain search, ties by id; of vectors in groups most cells aren't read."""
+    from docmill.operators import nearest, search
+
+    rnd = random.Random(6)
+    rows = clustered(rnd, 1200)
+    rows += [(5000 + i, rows[3][1]) for i in range(30)] + [(6000, None), (6001, [0.0] * 8), (6002, [1.0]), (6003, [float("nan")] * 8), (6004, [])]
+    index = spark.createDataFrame(rows, "id long, v array<float>").repartition(6)
+    queries = spark.createDataFrame([(f"q{i}", v) for i, v in rows[::40] if v] + [("far", [1.0, -1.0] * 4)], "query_id string, v array<float>")
+    monkeypatch.setattr(nearest, "PART_BYTES", 1500)  # several parts a cell, and blocks of queries
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 7)
+    cells = nearest.build(index, str(tmp_path / "cells"), "id", "v", 32)
+    for k in (1, 7, 45):
+        want = search.knn_batch(index.where("id < 6000"), queries, k, "id", "v")
+        got = nearest.search(cells, queries, k, "v")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+    q = queries.select(F.col("query_id").alias("q"), "v", F.lit(0.002).alias("tau"))
+    pairs = nearest.asked(cells, q.withColumn("tau", F.lit(None).cast("double")), 7).union(nearest.asked(cells, q, 7)).collect()
+    assert len(pairs) < 0.2 * queries.count() * sum(1 for b in cells.bounds if b[0])
+    assert "PartitionFilters: [isnotnull(cell" in cells.read(spark, [1])._jdf.queryExecution().toString()
+
+
+def test_pruned_search_odd(spark, tmp_path):
+    """Fewer rows than asked for, queries without a distance or twice there, no rows at all."""
+    from docmill.operators import nearest
+
+    few = nearest.build(spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [0.0, 1.0])], "id int, v array<double>"), str(tmp_path / "few"), "id", "v")
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0])], "query_id int, v array<double>")
+    got = nearest.search(few, q, 5, "v").collect()
+    assert len(got) == 6 and sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3] and {r["query_id"] for r in got} == {1}
+    none = nearest.build(spark.createDataFrame([], "id int, v array<double>"), str(tmp_path / "none"), "id", "v")
+    assert nearest.search(none, q, 5, "v").count() == 0 and nearest.search(few, q.limit(0), 5, "v").count() == 0
+
+
 def chunk_rows(spark, rows):
     return spark.createDataFrame(rows, "chunk_id string, content string, arrival int")
 

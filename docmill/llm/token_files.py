@@ -8,9 +8,10 @@ ids asked for. Each row has its place among its file's ids; the places of the fi
 follow from their sums, read from two narrow columns.
 
 Encoding is by distinct words: a blank between two other characters begins a token
-of the byte-level pre-tokenizer, so a text's ids are those of its words, each with
-its blank, one after the other. Words repeat, and each distinct one of a slice is
-encoded once, by the library itself.
+of the byte-level pre-tokenizer, as does a stop after a letter, so a text's ids are
+those of its words, each with its blank, and stops, one after the other. Words
+repeat: each distinct one of a slice is encoded once, by the library itself, and
+remembered for the slices that follow, within bounds.
 """
 
 from __future__ import annotations
@@ -36,12 +37,16 @@ from .token_counts import BATCH_CHARS, cut
 SLICE_BYTES = 8 << 20
 #: Distinct words in one call of the tokenizer.
 WORDS_AT_ONCE = 2000
+#: Words that a worker process remembers with their ids, some 40 bytes each.
+KNOWN_WORDS = 1_000_000
 #: What files are written with, unless the caller says otherwise.
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 # A blank after white space and before white space or the end: there the pre-tokenizer may join blanks.
 _SPACE = r"[\s\x0B\p{Z}\x{85}\x{180E}\x{1C}-\x{1F}]"
 UNSAFE = f"{_SPACE} ({_SPACE}|$)"
+# Between a letter and one of these a token ends, too.
+AFTER_LETTER = r"([A-Za-z])([.,;:!?\n])"
 
 
 class Encoder:
@@ -56,6 +61,7 @@ class Encoder:
         self.tokenizer.no_padding()
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
+        self.words, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32)
         # words can be encoded by themselves
         self.by_words = not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.added = [t["content"] for t in made.get("added_tokens") or []]
@@ -67,23 +73,43 @@ class Encoder:
         """Ids of each word, encoded alone."""
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and the number of each."""
-        ids, sizes = [], []
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for k in range(0, len(words), WORDS_AT_ONCE):
             some = words[k : k + WORDS_AT_ONCE]
             if self.mark:
                 text, mark = self.mark
-                got = np.array(self.tokenizer.encode_batch_fast([text.join([*some, ""])], add_special_tokens=False)[0].ids, np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), text)[0].as_py() + text
+                got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
                 ends = np.flatnonzero(got == mark)
                 if len(ends) == len(some):
                     ids.append(np.delete(got, ends))
-                    sizes.append(np.diff(ends, prepend=-1) - 1)
+                    sizes.append((np.diff(ends, prepend=-1) - 1).astype(np.int32))
                     continue
-            one = self.each(some)
+            one = self.each(some.to_pylist())
             ids.extend(one)
-            sizes.append(np.array([len(x) for x in one]))
-        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+            sizes.append(np.array([len(x) for x in one], np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words that are remembered, and of each of ``words`` how many it has and where they begin; new ones are encoded."""
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(place))
+        if len(self.words) + len(new) > KNOWN_WORDS:  # begin again with these
+            self.words, self.ids, self.sizes = words[:0], np.zeros(0, np.int32), np.zeros(0, np.int32)
+            place, new = pa.nulls(len(words), pa.int32()), words
+        if len(new):
+            ids, sizes = self.flat(new)
+            at = place.to_numpy(zero_copy_only=False)
+            where = np.where(np.isnan(at), 0, at).astype(np.int32)
+            where[np.isnan(at)] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        else:
+            where = place.to_numpy()
+        begin = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        return self.ids, self.sizes[where], begin[where]
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of a text as it is, in parts that the library works on."""
@@ -100,7 +126,7 @@ class Encoder:
         direct = np.ones(len(texts), bool)
         if self.by_words:
             odd = pc.match_substring_regex(texts, UNSAFE)
-            for t in self.added:
+            for t in ["\0", *self.added]:
                 odd = pc.or_(odd, pc.match_substring(texts, t))
             direct = odd.to_numpy(zero_copy_only=False)
         ids, sizes = self.spelled(texts.filter(pa.array(~direct)))
@@ -116,19 +142,20 @@ class Encoder:
 
     def spelled(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts by their distinct words."""
-        lists = pc.split_pattern(texts, " ")
+        cut_up = pc.replace_substring_regex(pc.replace_substring(texts, " ", "\0 "), AFTER_LETTER, "\\1\0\\2")
+        lists = pc.split_pattern(cut_up, "\0")
+        del cut_up
+        at = lists.offsets.to_numpy()
         words = lists.flatten().dictionary_encode()
-        at = lists.offsets.to_numpy().astype(np.int64)
-        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = words.dictionary.to_pylist()
-        heads, code_of_head = np.unique(code[at[:-1]], return_inverse=True)  # first words have no blank before them
-        code[at[:-1]] = len(known) + code_of_head
-        ids, n = self.flat([" " + w for w in known] + [known[k] for k in heads])
-        begin = np.concatenate([[0], np.cumsum(n)])
+        del lists
+        code, known = words.indices.to_numpy(zero_copy_only=False), words.dictionary
+        del words
+        ids, n, begin = self.remembered(known)
         sizes = n[code]
-        place = np.cumsum(sizes) - sizes
-        take = np.arange(sizes.sum()) - np.repeat(place - begin[code], sizes)
-        total = np.concatenate([[0], np.cumsum(sizes)])
+        total = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=total[1:])
+        take = np.repeat(begin[code] - total[:-1], sizes)
+        take += np.arange(len(take))
         return ids[take], total[at[1:] - at[0]] - total[at[:-1] - at[0]]
 
 
@@ -185,6 +212,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, text: str =
             offsets = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), b.column("doc_id").cast(arrow.field(1).type), pa.array(offsets), pa.array(sizes.astype(np.int32)), rows.cast(arrow.field(4).type)], schema=arrow)
+            del ids, rows
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.make_valid_utf8(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     order = ["doc_id", "h", "row"]

@@ -121,7 +121,7 @@ def library(byte_bpe):
     return Tokenizer.from_file(byte_bpe)
 
 
-def test_encoder(byte_bpe, library):
+def test_encoder(byte_bpe, library, monkeypatch):
     """Any mix of words, blanks of all kinds and special strings, against the library."""
     rnd = random.Random(12)
     bits = ["a", "Word", "'s", "12", "é", "漢字", "🙂", " ", " ", " ", "  ", "   ", "\n", "\t", "\r\n", " ", " ", "\x0b", "\x1c", "\u0085", "<|endoftext|>", "<|endoft", "|>", "!", "..."]
@@ -135,6 +135,12 @@ def test_encoder(byte_bpe, library):
     plain.mark = None
     again, more = plain(pa.array(texts[:500], pa.string()))
     assert more.tolist() == sizes[:500].tolist() and again.tolist() == ids[: ends[499]].tolist()
+    for most in (50, 300):  # words are remembered, or forgotten
+        monkeypatch.setattr(token_files, "KNOWN_WORDS", most)
+        small = token_files.Encoder(byte_bpe)
+        for k in range(0, 1000, 50):
+            some, n = small(pa.array(texts[k : k + 50], pa.string()))
+            assert n.tolist() == sizes[k : k + 50].tolist() and some.tolist() == ids[ends[k] - sizes[k] : ends[k + 49]].tolist()
     plain.by_words = False
     assert plain(pa.array(texts[:500], pa.string()))[0].tolist() == ids[: ends[499]].tolist()
 

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids, split, tags, text, vectors
-from .operators import adoc, html, markdown, nearest, records, search
+from .operators import adoc, bloom, html, markdown, nearest, records, search
 from .operators.headings import with_crumbs
 from .plans import pipelines
 from .sources import files, maps, store
 from .sources.stage import fresh
+from .streaming import seen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -163,7 +164,31 @@ def url_filter_dedup(spark, sf_dir):
     return files.first_urls(urls, "https://")
 
 
-@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+_UNSEEN = "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)"
+
+
+@query(_UNSEEN)
+def resume_bloom(spark, sf_dir):
+    """The same where the progress table is the large side: cut down by a Bloom filter of the pages first."""
+    pages = table(spark, sf_dir, "pages")
+    other = table(spark, sf_dir, "documents").select(F.concat(F.lit("https://old/"), F.col("doc_id").cast("string")).alias("url"))
+    return bloom.anti_join(pages.select("page_id", "url"), pages.where("page_id % 3 = 0").select("url").unionByName(other), "url")
+
+
+@query("""
+    SELECT 'https://h/' || user_id AS url, strftime(coalesce(min(ts) FILTER (event_id % 2 = 0), min(ts)), '%Y-%m-%d %H:%M:%S') AS first_seen
+    FROM events GROUP BY 1, user_id""")
+def seen_urls(spark, sf_dir):
+    """URLs of two deliveries through a stream that is stopped between them: each once, with the time it was first seen."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("https://h/"), F.col("user_id").cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("seen_at"), "event_id")
+    deliveries, out, state = fresh(spark, "urls"), fresh(spark, "seen"), fresh(spark, "state")
+    for k in (0, 1):
+        e.where(F.col("event_id") % 2 == k).select("url", "seen_at").write.mode("append").json(deliveries)
+        seen.remember(spark, deliveries, out, state, "4000 days", "4000 days").awaitTermination()
+    return spark.read.schema("url string, first_seen timestamp").json(out).select("url", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
+@query(_UNSEEN)
 def resume_antijoin(spark, sf_dir):
     """Pages that aren't in the progress table."""
     pages = table(spark, sf_dir, "pages")

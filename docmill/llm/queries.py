@@ -88,7 +88,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docmill/token-files-{uuid.uuid4().hex}"
     token_files.write(read(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
-    return token_files.digests(token_files.read(spark, path))
+    return token_files.digests(spark, path)
 
 
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ SLICE_BYTES = 8 << 20
 WORDS_AT_ONCE = 2000
 #: Words that a worker process remembers with their ids, some 40 bytes each.
 KNOWN_WORDS = 1_000_000
+#: Files whose places are sent to all tasks, 16 bytes each; of more they are joined by a shuffle.
+MOST_FILES = 100_000
 #: What files are written with, unless the caller says otherwise.
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -221,15 +223,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 0, text: str =
     got.write.options(**{**ORC_OPTIONS, **(options or {})}).orc(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the files at ``path``, with ``start``: the ids of all files and rows before.
+def placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` (part, offset) of ``files`` with ``start``: the ids of all files and rows before.
 
-    The sums of the files come from their last offsets; one row a file is put in order.
+    The sums of the files come from their last offsets; one row a file is put in order,
+    and sent to all tasks where the files are at most ``MOST_FILES``.
     """
-    rows = spark.read.orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("n"))
+    totals = files.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(totals.select("part", before.alias("base")), "part").withColumn("start", F.col("base") + F.col("offset")).drop("base")
+    bases = totals.select("part", before.alias("base"))
+    bases = F.broadcast(bases) if len(files.inputFiles()) <= MOST_FILES else bases
+    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("offset")).drop("base")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """``(part, doc_id, offset, n_tokens, ids, start)`` of the files at ``path``."""
+    files = spark.read.orc(path)
+    return placed(files, files)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
@@ -237,10 +247,10 @@ def lookup(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     return spark.read.orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of rows of :func:`read`: a checksum of the ids as little-endian 32-bit integers."""
-    key = StructField("doc_id", rows.schema["doc_id"].dataType)
-    schema = StructType([key, *_parse_datatype_string("start long, n_tokens long, ids_crc32 long").fields])
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of the files at ``path``: a checksum of the ids as little-endian 32-bit integers, made before places are joined."""
+    files = spark.read.orc(path)
+    schema = StructType([files.schema["doc_id"], *_parse_datatype_string("part int, offset long, n_tokens long, ids_crc32 long").fields])
     arrow = to_arrow_schema(schema)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +259,7 @@ def digests(rows: DataFrame) -> DataFrame:
             at = lists.offsets.to_numpy()
             raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(arrow.field(0).type), b.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(arrow.field(0).type), b.column("part"), b.column("offset"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], schema=arrow)
 
-    return rows.select("doc_id", "start", "ids").mapInArrow(work, schema)
+    small_batches(spark)
+    return placed(files.select("doc_id", "part", "offset", "ids").mapInArrow(work, schema), files).select("doc_id", "start", "n_tokens", "ids_crc32")

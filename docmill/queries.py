@@ -15,7 +15,7 @@ from .functions import ids, split, tags, text, vectors
 from .operators import adoc, bloom, html, markdown, nearest, records, search
 from .operators.headings import with_crumbs
 from .plans import pipelines
-from .sources import files, maps, store
+from .sources import files, maps, sitemaps, store
 from .sources.stage import fresh
 from .streaming import seen
 
@@ -164,6 +164,34 @@ def url_filter_dedup(spark, sf_dir):
     return files.first_urls(urls, "https://")
 
 
+def stored_sitemaps(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with sitemaps of the pages, a hundred URLs in each and every seventh twice, and their index."""
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    urls = urls.unionByName(urls.where("page_id % 7 = 0").withColumn("page_id", F.col("page_id") + 50))
+    k = F.floor(F.col("page_id") / 100).cast("int")
+    path = fresh(spark, "sitemaps")
+    sitemaps.write(urls.select(F.concat(F.lit("sub-"), k.cast("string"), F.lit(".xml")).alias("sitemap"), k.alias("sitemap_pos"), "url", F.col("page_id").alias("pos")), path)
+    return path
+
+
+_SITEMAPS = """
+    WITH p AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 50, url FROM pages WHERE page_id % 7 = 0),
+    s AS (SELECT page_id // 100 AS k, url, row_number() OVER (PARTITION BY page_id // 100 ORDER BY page_id) AS pos FROM p WHERE starts_with(url, 'https://'))"""
+
+
+@query(_SITEMAPS + " SELECT url, min(k)::INT AS sitemap_pos FROM s WHERE NOT contains(url, '/pdf/') AND NOT contains(url, '/html-single/') AND NOT ends_with(url, '.pdf') GROUP BY url")
+def sitemap_pages(spark, sf_dir):
+    """Page URLs of an index and its sub-sitemaps, each with the first that it is in."""
+    found = sitemaps.pages(sitemaps.read(spark, stored_sitemaps(spark, sf_dir), "https://"), "https://")
+    return found.select("url", "ord.sitemap_pos")
+
+
+@query(_SITEMAPS + " SELECT 'sub-' || k || '.xml' AS sitemap, count(*) AS n FROM s GROUP BY k")
+def sitemap_counts(spark, sf_dir):
+    """URLs by sub-sitemap."""
+    return sitemaps.counts(sitemaps.read(spark, stored_sitemaps(spark, sf_dir)), "https://").select("sitemap", "n")
+
+
 _UNSEEN = "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)"
 
 

@@ -195,6 +195,36 @@ def test_sitemaps(spark):
     assert [r["url"] for r in files.sitemap_urls(df, "https://d/4/").orderBy("ord").collect()] == urls[:2]
 
 
+def test_stored_sitemaps(spark, tmp_path):
+    """An index of three files, one of them named twice: places, counts, filters that leave files unread, files that aren't there."""
+    from docmill.sources import sitemaps
+
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    locs = {"a.xml": ["https://d/4/x", "https://d/4/pdf/x", "https://d/5/y", "https://d/4/q?a=1&b=2"], "b.xml": [], "c.xml": ["https://d/4/x", "https://d/4/z"]}
+    for name, urls in locs.items():
+        (tmp_path / name).write_text(f'<urlset xmlns="{space}">' + "".join(f"<url><loc>{u.replace('&', '&amp;')}</loc><lastmod>2024</lastmod></url>" for u in urls) + "</urlset>")
+    index = lambda *names: (tmp_path / "sitemap_index.xml").write_text(f'<sitemapindex xmlns="{space}">' + "".join(f"<sitemap><loc>https://h/s/{n}</loc></sitemap>" for n in names) + "</sitemapindex>")
+    index("c.xml", "a.xml", "b.xml", "c.xml")
+    rows = sitemaps.read(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 8
+    assert [r["url"] for r in sitemaps.pages(rows, "https://d/4/").orderBy("ord").collect()] == ["https://d/4/x", "https://d/4/z", "https://d/4/q?a=1&b=2"]
+    assert sorted((r["sitemap"], r["sitemap_pos"], r["n"]) for r in sitemaps.counts(rows, "https://d/4/").collect()) == [("a.xml", 1, 3), ("c.xml", 0, 2), ("c.xml", 3, 2)]
+    assert [r["pos"] for r in sitemaps.read(spark, str(tmp_path), "https://d/5/").collect()] == [2]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        (tmp_path / "b.xml").write_text("not read")
+        some = sitemaps.read(spark, str(tmp_path)).where("sitemap = 'a.xml' and url like 'https://d/4/%' and pos > 0")
+        assert [r["pos"] for r in some.collect()] == [1, 3] and some.rdd.getNumPartitions() == 1
+        assert sitemaps.read(spark, str(tmp_path)).where("sitemap in ('no.xml')").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(Exception, match="not well-formed|syntax error"):
+        rows.collect()
+    index("gone.xml")
+    with pytest.raises(Exception, match="gone.xml"):
+        sitemaps.read(spark, str(tmp_path)).collect()
+
+
 def test_tag_filters(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, None)], "n int, tags array<string>")
     ask = lambda *a, **k: [r["n"] for r in df.where(tags.wanted(*a, **k)).collect()]

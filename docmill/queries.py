@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, split, tags, text, vectors
 from .operators import adoc, bloom, html, markdown, nearest, records, search
-from .operators.headings import with_crumbs
+from .operators.headings import with_crumbs, with_crumbs_in_blocks
 from .plans import pipelines
 from .sources import files, maps, sitemaps, store
 from .sources.stage import fresh
@@ -266,10 +266,25 @@ _SECTIONS = r"""
 @query(_SECTIONS + " SELECT doc_id, pos, title, section, sha256(content) AS sha FROM sections")
 def md_sections(spark, sf_dir):
     """Heading sections of Markdown with titles and breadcrumb paths; levels are skipped on purpose."""
-    docs = with_headings(table(spark, sf_dir, "documents"))
-    segs = with_crumbs(markdown.segments(markdown.with_front_matter(docs.select("source", "text", "doc_id")).withColumn("doc_id", F.col("doc_id"))), ["source"], "pos")
+    segs = with_crumbs(heading_rows(spark, sf_dir), ["source"], "pos")
     h1 = F.min_by("heading", F.when(F.col("level") == 1, F.col("pos"))).over(Window.partitionBy("source"))
-    segs = segs.withColumn("title", F.coalesce(F.nullif(h1, F.lit("")), F.col("source"))).where("content <> ''")
+    return section_rows(segs.withColumn("title", F.coalesce(F.nullif(h1, F.lit("")), F.col("source"))))
+
+
+@query(_SECTIONS + " SELECT doc_id, pos, title, section, sha256(content) AS sha FROM sections")
+def md_sections_blocks(spark, sf_dir):
+    """The same in blocks of eight sections, none of which needs the rows of another."""
+    segs = with_crumbs_in_blocks(heading_rows(spark, sf_dir), ["source"], "pos", block=8)
+    h1 = segs.groupBy("source").agg(F.min_by("heading", F.when(F.col("level") == 1, F.col("pos"))).alias("h1"))
+    return section_rows(segs.join(h1, "source").withColumn("title", F.coalesce(F.nullif(F.col("h1"), F.lit("")), F.col("source"))))
+
+
+def heading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.segments(markdown.with_front_matter(with_headings(table(spark, sf_dir, "documents")).select("source", "text", "doc_id")))
+
+
+def section_rows(segs: DataFrame) -> DataFrame:
+    segs = segs.where("content <> ''")
     path = F.when(F.col("level") == 0, F.col("title")).otherwise(text.section_path(F.concat(F.array("title"), F.col("crumbs"))))
     return segs.select("doc_id", F.col("pos").cast("long").alias("pos"), "title", path.alias("section"), F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
 

@@ -195,6 +195,32 @@ def test_sitemaps(spark):
     assert [r["url"] for r in files.sitemap_urls(df, "https://d/4/").orderBy("ord").collect()] == urls[:2]
 
 
+@pytest.mark.parametrize("root", [None, "page"])
+def test_crumbs_in_blocks(spark, root):
+    """The rows of the plain windows, with runs without headings, levels that go up and down, and blocks of three rows."""
+    from docmill.operators.headings import with_crumbs, with_crumbs_in_blocks
+
+    rnd = random.Random(8)
+    rows = [(d, i, rnd.choice([0, 0, 1, 2, 3, 4, 5, 6]) if d else 0, f"h{i}" if i % 5 else None) for d in range(6) for i in range(rnd.randint(1, 40))]
+    df = spark.createDataFrame(rows, "doc int, pos int, level int, heading string")
+    seed = None if root is None else F.lit(root)
+    want = sorted(map(str, with_crumbs(df, ["doc"], "pos", root=seed).collect()))
+    got = with_crumbs_in_blocks(df, ["doc"], "pos", root=seed, block=3)
+    assert got.columns == [*df.columns, "crumbs"] and sorted(map(str, got.collect())) == want
+
+
+def test_one_long_document(spark):
+    """A million headings of one document are dealt to all tasks."""
+    from docmill.operators.headings import with_crumbs_in_blocks
+
+    level = F.when(F.col("id") % 1000 == 0, 1).otherwise(2 + F.col("id") % 3)
+    df = spark.range(1_000_000).select(F.lit("d").alias("doc"), F.col("id").alias("pos"), level.cast("int").alias("level"), F.col("id").cast("string").alias("heading"))
+    got = with_crumbs_in_blocks(df, ["doc"], "pos")
+    dealt = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in dealt) == 1_000_000 and max(r["count"] for r in dealt) < 500_000
+    assert got.where("pos = 999998").first()["crumbs"] == ["999000", "999996", "999997", "999998"]
+
+
 def test_stored_sitemaps(spark, tmp_path):
     """An index of three files, one of them named twice: places, counts, filters that leave files unread, files that aren't there."""
     from docmill.sources import sitemaps

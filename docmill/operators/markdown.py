@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,8 +15,9 @@ from .headings import with_crumbs
 
 FRONT = r"(?sdU)\A---[\s\x1c-\x1f]*\n(.*?)\n---[\s\x1c-\x1f]*\n"
 HEADING = r"(?mdU)^(#{1,6})[\s\x1c-\x1f]+(.*)"
-#: Code points that are no characters, so no text has them: they mark what a pattern found.
-MARK, SEP, END = "\ufdd0", "\ufdd1", "\ufdd2"
+#: Marks of what a pattern found: a code point that is no character, and a digit. Where a text has that code point, a 0 is put after it first.
+ESCAPE = "\ufdd0"
+MARK, SEP, END = ESCAPE + "1", ESCAPE + "2", ESCAPE + "3"
 
 
 def front_matter(block: str | None) -> dict:
@@ -29,12 +31,21 @@ def front_matter(block: str | None) -> dict:
     got = got if isinstance(got, dict) else {}
     names = got.get("tags")
     names = [] if names is None else names if isinstance(names, list) else [names]
-    rest = {str(k): v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str) for k, v in got.items() if k not in ("title", "tags")}
+    rest = plain({k: v for k, v in got.items() if k not in ("title", "tags")})
     title = got.get("title")
-    return {"title": "" if title is None else str(title), "tags": [str(x) for x in names], "metadata": rest}
+    return {"title": "" if title is None else str(title), "tags": [str(x) for x in names], "metadata": json.dumps(rest, ensure_ascii=False)}
 
 
-FRONT_MATTER = T.StructType([T.StructField("title", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
+def plain(v: object) -> object:
+    """``v`` with values that JSON can't say (dates, sets, not a number) as strings."""
+    if isinstance(v, dict):
+        return {str(k): plain(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return [plain(x) for x in v]
+    return v if v is None or isinstance(v, (str, bool, int)) or isinstance(v, float) and math.isfinite(v) else str(v)
+
+
+FRONT_MATTER = T.StructType([T.StructField("title", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("metadata", T.StringType())])
 
 
 @F.pandas_udf(FRONT_MATTER)
@@ -43,26 +54,31 @@ def _front_matter(blocks: pd.Series) -> pd.DataFrame:
 
 
 def with_front_matter(docs: DataFrame) -> DataFrame:
-    """``docs`` (source, text) with ``fm_title, fm_tags, metadata`` and ``body``."""
+    """``docs`` (source, text) with ``fm_title, fm_tags, metadata`` and ``body``, by one scan.
+
+    ``metadata`` is a VARIANT of the other keys with the types that YAML gave them:
+    ``try_variant_get(metadata, '$.key', 'int')`` reads one, from a column of its own where
+    the rows are stored.
+    """
     docs = docs.withColumn("text", text.unix_lines(F.coalesce("text", F.lit(""))))
     has = F.col("text").rlike(FRONT)
     docs = docs.withColumns({"__block": F.when(has, F.regexp_extract("text", FRONT, 1)), "body": F.when(has, F.regexp_replace("text", FRONT, "")).otherwise(F.col("text"))})
-    with_, without = docs.where("__block is not null"), docs.where("__block is null")
-    # only documents with a block go through Python
-    a = with_.withColumn("__fm", _front_matter("__block")).select("*", F.col("__fm.title").alias("fm_title"), F.col("__fm.tags").alias("fm_tags"), F.col("__fm.metadata").alias("metadata")).drop("__fm")
-    b = without.withColumns({"fm_title": F.lit(""), "fm_tags": F.array().cast("array<string>"), "metadata": F.create_map().cast("map<string,string>")})
-    return a.unionByName(b).drop("__block")
+    # Python gets the blocks alone, null for most documents
+    docs = docs.withColumn("__fm", _front_matter("__block"))
+    return docs.withColumns({"fm_title": F.col("__fm.title"), "fm_tags": F.col("__fm.tags"), "metadata": F.parse_json("__fm.metadata")}).drop("__fm", "__block")
 
 
 def segments(docs: DataFrame, body: str = "body") -> DataFrame:
     """A row for each heading section of ``body``: ``pos, level, heading, content``; level 0 is what comes before the first heading."""
-    parts = F.split(F.regexp_replace(body, HEADING, f"{MARK}$1{SEP}$2{END}"), MARK)
+    escaped = F.replace(body, F.lit(ESCAPE), F.lit(ESCAPE + "0"))
+    parts = F.split(F.regexp_replace(escaped, HEADING, f"{MARK}$1{SEP}$2{END}"), MARK)
+    bare = lambda c: text.strip(F.replace(c, F.lit(ESCAPE + "0"), F.lit(ESCAPE)))
     out = docs.select("*", F.posexplode(parts).alias("pos", "__p"))
     first = F.col("pos") == 0
     out = out.withColumns({
         "level": F.when(first, 0).otherwise(F.length(F.substring_index("__p", SEP, 1))),
-        "heading": F.when(first, "").otherwise(text.strip(F.regexp_extract("__p", f"(?s){SEP}(.*?){END}", 1))),
-        "content": text.strip(F.when(first, F.col("__p")).otherwise(F.regexp_extract("__p", f"(?s){END}(.*)", 1))),
+        "heading": F.when(first, "").otherwise(bare(F.regexp_extract("__p", f"(?s){SEP}(.*?){END}", 1))),
+        "content": bare(F.when(first, F.col("__p")).otherwise(F.regexp_extract("__p", f"(?s){END}(.*)", 1))),
     }).drop("__p")
     return out
 

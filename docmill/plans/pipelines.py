@@ -12,6 +12,7 @@ from ..functions import ids, text
 from ..operators import adoc, embed, html, markdown, records, search
 from ..operators.records import RecordSettings
 from ..sources import files
+from ..sources.ordered import path_order, write_ordered
 from ..sources.stage import staged
 from ..sources.store import ChunkTable
 
@@ -28,15 +29,18 @@ def ingest(spark: SparkSession, path: str, settings: Settings, tags: list[str] |
     if done.isEmpty():
         return done
     if jsonl:
-        export_jsonl(done.drop("chunk_index"), jsonl)
+        export_jsonl(done, jsonl, [path_order(), F.col("chunk_index")], [c for c in done.columns if c != "chunk_index"])
     if index:
         ChunkTable(spark, settings.index_path, settings.dimensions).upsert(done, int(time.time()), F.struct("source", "chunk_index"))
     return done
 
 
-def export_jsonl(chunks: DataFrame, path: str) -> None:
-    """JSON lines, a file for each partition, in place of what is there; nulls are written."""
-    chunks.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def export_jsonl(chunks: DataFrame, path: str, by: list | None = None, keep: list[str] | None = None) -> None:
+    """JSON lines in place of what is there; nulls are written. By the columns ``by`` files are in order, and sorted in themselves."""
+    if by:
+        write_ordered(chunks, path, by, keep=keep, ignoreNullFields="false")
+    else:
+        chunks.select(*(keep or chunks.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def html_records(pages: DataFrame, version: str, settings: RecordSettings = RecordSettings()) -> DataFrame:

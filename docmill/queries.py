@@ -15,8 +15,8 @@ from .functions import ids, split, tags, text, vectors
 from .operators import adoc, bloom, html, markdown, nearest, records, search
 from .operators.headings import with_crumbs, with_crumbs_in_blocks
 from .plans import pipelines
-from .sources import files, maps, sitemaps, store
-from .sources.stage import fresh
+from .sources import files, maps, ordered, sitemaps, store
+from .sources.stage import fresh, staged
 from .streaming import seen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -444,6 +444,38 @@ def jsonl_roundtrip(spark, sf_dir):
     return files.json_lines(spark, path, d.schema)
 
 
+@query("SELECT row_number() OVER (ORDER BY lang, doc_id DESC) - 1 AS position, doc_id FROM documents")
+def ordered_export(spark, sf_dir):
+    """Documents written in order, and their places in the files one after the other."""
+    path = fresh(spark, "ordered")
+    ordered.write_ordered(table(spark, sf_dir, "documents").select("lang", "doc_id"), path, ["lang", -F.col("doc_id")])
+    return ordered.numbered(spark, path, "lang string, doc_id bigint").select("position", "doc_id")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'T ' || source END AS title, CASE WHEN doc_id % 4 = 0 THEN 'one' ELSE lang || ',' || source END AS tags,
+           doc_id * 3 AS weight, doc_id % 2 = 1 AS draft, source AS owner, round(doc_id / 8.0, 3)::DOUBLE AS score, 2 + doc_id % 2 AS n_items, '2024-01-31' AS day
+    FROM documents WHERE doc_id % 5 <> 0 AND doc_id * 3 > 100 AND doc_id % 7 <> 3""")
+def front_matter(spark, sf_dir):
+    """Metadata of documents stored with their types, and filters on them."""
+    i = F.col("doc_id").cast("string")
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
+    block = F.concat(
+        line("---"), F.when(F.col("doc_id") % 9 == 0, F.lit("")).otherwise(line("title: T ", F.col("host"))),
+        F.when(F.col("doc_id") % 4 == 0, line("tags: one")).otherwise(line("tags: [", F.col("lang"), ", ", F.col("host"), "]")),
+        line("weight: ", (F.col("doc_id") * 3).cast("string")), line("draft: ", (F.col("doc_id") % 2 == 1).cast("string")), line("about: {owner: ", F.col("host"), "}"),
+        line("score: ", F.format_string("%.3f", F.col("doc_id") / 8)), line("items: [1, 'two'", F.when(F.col("doc_id") % 2 == 1, F.lit(", null")).otherwise(""), "]"), line("day: 2024-01-31"),
+        F.when(F.col("doc_id") % 7 == 3, line("broken: [")).otherwise(""), line("---"),
+    )
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("source", "host").select("doc_id", i.alias("source"), F.when(F.col("doc_id") % 5 == 0, F.lit("no block")).otherwise(F.concat(block, F.lit("body"))).alias("text"))
+    stored = staged(markdown.with_front_matter(docs).select("doc_id", "fm_title", "fm_tags", "metadata"), "front")
+    get = lambda path, kind: F.try_variant_get("metadata", "$." + path, kind)
+    return stored.where(get("weight", "bigint") > 100).select(
+        "doc_id", F.col("fm_title").alias("title"), F.array_join("fm_tags", ",").alias("tags"), get("weight", "bigint").alias("weight"), get("draft", "boolean").alias("draft"), get("about.owner", "string").alias("owner"),
+        get("score", "double").alias("score"), F.size(get("items", "array<variant>")).cast("bigint").alias("n_items"), get("day", "string").alias("day"),
+    )
+
+
 @query(r"""
     WITH RECURSIVE d AS (SELECT doc_id, text AS raw, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p, length(replace(text, chr(10), chr(10) || chr(10))) AS n FROM documents),
     f(doc_id, p, i, cur, done) AS (

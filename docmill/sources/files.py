@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from ..functions import text
 
 SITEMAP_LOC = "//*[local-name()='loc']/text()"
-CHUNK_SCHEMA = "chunk_id string, source string, title string, section string, content string, tags array<string>, metadata map<string,string>, embedding array<float>"
+CHUNK_SCHEMA = "chunk_id string, source string, title string, section string, content string, tags array<string>, metadata variant, embedding array<float>"
 
 
 def source_path() -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from .stage import forget, staged
 
-SCHEMA = "chunk_id string, source string, title string, section string, content string, tags array<string>, metadata map<string,string>, ingested_at long, embedding array<float>"
+SCHEMA = "chunk_id string, source string, title string, section string, content string, tags array<string>, metadata variant, ingested_at long, embedding array<float>"
 #: Buckets of a new table: choose them so that one holds what a task can sort.
 BUCKETS = 64
 

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import re
@@ -86,7 +87,7 @@ def test_markdown(spark, body):
 
 def test_markdown_tags_and_pieces(spark):
     r = chunks(spark, "---\ntags: [b, a, b]\nk: 1\n---\nabcdefghij", extra_tags=["c", "a"], most=4, overlap=1)
-    assert [x["content"] for x in r] == ["abcd", "defg", "ghij", "j"] and r[0]["tags"] == ["b", "a", "c"] and r[0]["metadata"] == {"k": "1"}
+    assert [x["content"] for x in r] == ["abcd", "defg", "ghij", "j"] and r[0]["tags"] == ["b", "a", "c"] and r[0]["metadata"].toPython() == {"k": 1}
     assert [x["section"] for x in r] == [f"b [{i}/4]" for i in (1, 2, 3, 4)]
     assert len({x["chunk_id"] for x in r}) == 4
 
@@ -221,6 +222,49 @@ def test_one_long_document(spark):
     assert got.where("pos = 999998").first()["crumbs"] == ["999000", "999996", "999997", "999998"]
 
 
+def test_ordered_files(spark, tmp_path):
+    """Files one after the other are in order: with nulls, paths by parts, and a key with half of all rows, which keep their order."""
+    from docmill.sources import ordered
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a/b", "a-b", "a", "hot", "hot", "hot", "b/c/d", None]), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "source string, n int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
+    ordered.write_ordered(df, str(tmp_path / "o"), [ordered.path_order()])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = [json.loads(line) for f in ordered.in_order(spark, str(tmp_path / "o")) for line in open(f.removeprefix("file:"))]
+    assert [(r.get("source"), r["n"]) for r in found] == sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").split("/")))
+    sizes = [sum(1 for _ in open(f.removeprefix("file:"))) for f in ordered.in_order(spark, str(tmp_path / "o"))]
+    assert len(sizes) > 1 and max(sizes) < 1200
+    got = ordered.numbered(spark, str(tmp_path / "o"), "source string, n int").collect()
+    assert [(r["source"], r["n"]) for r in sorted(got, key=lambda r: r["position"])] == [(r.get("source"), r["n"]) for r in found]
+    ordered.write_ordered(df.limit(0), str(tmp_path / "e"), ["n"])
+    assert ordered.numbered(spark, str(tmp_path / "e"), "source string, n int").count() == 0
+
+
+def test_metadata_types(spark, tmp_path):
+    """Metadata keep their types through a table and JSON lines, and a filter on one reads its own column."""
+    body = "---\ntitle: T\nn: 7\nf: 1.5\nb: true\nd: 2024-05-06\nx: .nan\nnone:\nlist: [1, {k: v}]\n1: one\n---\n# H\ntext"
+    got = chunks(spark, body)[0]["metadata"]
+    want = {"n": 7, "f": 1.5, "b": True, "d": "2024-05-06", "x": "nan", "none": None, "list": [1, {"k": "v"}], "1": "one"}
+    assert json.loads(got.toJson()) == want
+    df = markdown.chunks(spark.createDataFrame([("a.md", body), ("b.md", "no block"), ("c.md", None)], "source string, text string"))
+    pipelines.export_jsonl(df, str(tmp_path / "j"), ["source"])
+    back = files.json_lines(spark, str(tmp_path / "j")).collect()
+    assert [json.loads(r["metadata"].toJson()) for r in back] == [want, {}]
+    df.write.parquet(str(tmp_path / "p"))
+    some = spark.read.schema(df.schema).parquet(str(tmp_path / "p")).where("try_variant_get(metadata, '$.n', 'int') > 6").select("source")
+    assert [r["source"] for r in some.collect()] == ["a.md"]
+    assert "GreaterThan(metadata.`0`,6)" in str(some._jdf.queryExecution().executedPlan()) or "GreaterThan(metadata" in str(some._jdf.queryExecution().executedPlan())
+
+
+def test_marks_in_texts(spark):
+    """Code points that mark headings inside are texts like others."""
+    m = "\ufdd0"
+    got = [(r["section"], r["content"]) for r in chunks(spark, f"{m}1 a{m}\n# H{m}0 {m}2x\nb{m}3{m}\n{m}")]
+    assert got == [(f"H{m}0 {m}2x", f"{m}1 a{m}"), (f"H{m}0 {m}2x > H{m}0 {m}2x", f"b{m}3{m}\n{m}")]
+
+
 def test_stored_sitemaps(spark, tmp_path):
     """An index of three files, one of them named twice: places, counts, filters that leave files unread, files that aren't there."""
     from docmill.sources import sitemaps

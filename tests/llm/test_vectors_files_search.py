@@ -174,12 +174,15 @@ def test_token_files_odd(spark, byte_bpe, library, tmp_path):
 def test_token_files_one_id(spark, byte_bpe, tmp_path, monkeypatch):
     """One id with a third of the rows is dealt to several files, which stay in order."""
     rows = [(7 if i % 3 == 0 else i, f"text {i}") for i in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one file
     token_files.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), str(tmp_path / "hot"), byte_bpe)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sent = sorted(map(tuple, token_files.read(spark, str(tmp_path / "hot")).collect()))
     monkeypatch.setattr(token_files, "MOST_FILES", 0)
     back = token_files.read(spark, str(tmp_path / "hot"))
     assert sorted(map(tuple, back.collect())) == sent
     parts = {p: (a, b) for p, a, b in back.groupBy("part").agg(F.min("doc_id"), F.max("doc_id")).collect()}
+    assert len(parts) > 2 and sum(a <= 7 <= b for a, b in parts.values()) > 1
     assert [p[0] for p in sorted(parts.values())] == [parts[k][0] for k in sorted(parts)] and all(parts[a][1] <= parts[b][0] for a, b in zip(sorted(parts), sorted(parts)[1:]))
     placed = sorted(back.select("start", "n_tokens", "doc_id", F.size("ids").alias("n")).collect())
     assert all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in zip(placed, placed[1:])) and all(r["n"] == r["n_tokens"] for r in placed) and len(placed) == 600

@@ -6,13 +6,14 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions import tags
 from .functions.text import preview
 from .operators.records import RecordSettings
 from .plans import pipelines
-from .sources import files, maps
+from .sources import files, history, maps
 from .sources.store import ChunkTable
 
 
@@ -53,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
         else:
             a.add_argument("--site", default="")
             a.add_argument("--distro", required=True)
+            a.add_argument("--commits", help="JSON lines of changes: committed_at, path, renamed_from")
     return p
 
 
@@ -92,7 +94,11 @@ def main(argv: list[str] | None = None) -> int:
             for path in maps.find_topic_maps(args.input):
                 with open(path) as f:
                     documents += yaml.safe_load_all(f)
-            rows = pipelines.adoc_records(files.asciidoc(spark, args.input), maps.topics(spark, documents, base, args.distro), args.version, sizes)
+            modified = None
+            if args.commits:
+                changes = files.json_lines(spark, args.commits, "committed_at string, path string, renamed_from string")
+                modified = history.file_history(changes).select("path", F.col("last_changed").alias("committed_at"))
+            rows = pipelines.adoc_records(files.asciidoc(spark, args.input), maps.topics(spark, documents, base, args.distro), args.version, sizes, modified)
             rows.write.mode("overwrite").option("ignoreNullFields", "false").json(args.output)
     return 0
 

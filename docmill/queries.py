@@ -15,7 +15,7 @@ from .functions import ids, split, tags, text, vectors
 from .operators import adoc, bloom, html, markdown, nearest, records, search
 from .operators.headings import with_crumbs, with_crumbs_in_blocks
 from .plans import pipelines
-from .sources import files, maps, ordered, sitemaps, store
+from .sources import files, history, maps, ordered, sitemaps, store
 from .sources.stage import fresh, staged
 from .streaming import seen
 
@@ -444,6 +444,22 @@ def jsonl_roundtrip(spark, sf_dir):
     return files.json_lines(spark, path, d.schema)
 
 
+@query("""
+    WITH RECURSIVE c AS (SELECT event_id AS t, 'f' || (event_id // 3) AS path, CASE WHEN event_id % 3 = 2 AND (event_id // 3) % 64 <> 0 THEN 'f' || (event_id // 3 - 1) END AS src FROM events WHERE event_id % 11 <> 5),
+    kept AS (SELECT path, max(t) AS t FROM c GROUP BY path),
+    away AS (SELECT src, max_by(path, t) AS nxt, max(t) AS t FROM c WHERE src IS NOT NULL GROUP BY src),
+    n AS (SELECT src, nxt FROM away LEFT JOIN kept ON src = path WHERE kept.t IS NULL OR away.t > kept.t),
+    w(name, cur) AS (SELECT path, path FROM kept UNION ALL SELECT name, nxt FROM w JOIN n ON cur = src),
+    f AS (SELECT name, cur FROM w WHERE cur NOT IN (SELECT src FROM n))
+    SELECT cur AS path, max(t) AS last_changed, min(t) AS first_changed, count(*) AS n_changes FROM c JOIN f ON path = name GROUP BY cur""")
+def file_history(spark, sf_dir):
+    """Last changes of files through chains of renames."""
+    e = table(spark, sf_dir, "events").where("event_id % 11 <> 5")
+    k = F.expr("event_id div 3")
+    changes = e.select(F.col("event_id").alias("committed_at"), F.concat(F.lit("f"), k.cast("string")).alias("path"), F.when((F.col("event_id") % 3 == 2) & (k % 64 != 0), F.concat(F.lit("f"), (k - 1).cast("string"))).alias("renamed_from"))
+    return history.file_history(changes)
+
+
 @query("SELECT row_number() OVER (ORDER BY lang, doc_id DESC) - 1 AS position, doc_id FROM documents")
 def ordered_export(spark, sf_dir):
     """Documents written in order, and their places in the files one after the other."""

@@ -265,6 +265,40 @@ def test_marks_in_texts(spark):
     assert got == [(f"H{m}0 {m}2x", f"{m}1 a{m}"), (f"H{m}0 {m}2x > H{m}0 {m}2x", f"b{m}3{m}\n{m}")]
 
 
+def test_file_history(spark):
+    """Chains of renames, forth and back, names used again, changes in one commit, rows without a path."""
+    from docmill.sources import history
+
+    rows = [
+        (1, "a", None), (2, "b", "a"), (3, "b", None), (4, "c", "b"),  # a, b, c: one file
+        (1, "x", None), (2, "y", "x"), (3, "x", "y"),  # forth and back
+        (1, "old", None), (2, "new", "old"), (5, "old", None),  # old is used again
+        (1, "p", None), (1, "q", None), (7, "p", "q"), (7, "q", "p"),  # two that change places
+        (3, "z", "never"), (4, "same", "same"), (9, None, None), (4, "same", None),
+    ]
+    got = {r["path"]: (r["last_changed"], r["first_changed"], r["n_changes"]) for r in history.file_history(spark.createDataFrame(rows, "committed_at int, path string, renamed_from string")).collect()}
+    assert got == {"c": (4, 1, 4), "x": (3, 1, 3), "new": (2, 2, 1), "old": (5, 1, 2), "p": (7, 1, 2), "q": (7, 1, 2), "z": (3, 3, 1), "same": (4, 4, 2)}
+    long = spark.range(1, 300).selectExpr("id AS committed_at", "'n' || id AS path", "'n' || (id - 1) AS renamed_from")
+    assert [tuple(r) for r in history.file_history(long).collect()] == [("n299", 299, 1, 299)]
+
+
+def test_adoc_command(spark, tmp_path):
+    """A tree with maps and a table of commits, by the command line."""
+    from docmill import cli
+
+    tree = tmp_path / "tree"
+    (tree / "mod").mkdir(parents=True)
+    (tree / "_distro_map.yml").write_text("own:\n  branches:\n    b1: {dir: docs/1}\n")
+    (tree / "_topic_map.yml").write_text("---\nName: Top\nDir: mod\nTopics:\n- Name: One\n  File: one\n---\nName: Other\nDir: x\nTopics:\n- {Name: Two, File: two, Distros: other}\n")
+    (tree / "mod" / "one.adoc").write_text("= One\ninclude::two.adoc[]\n")
+    (tree / "mod" / "two.adoc").write_text("body of two\n")
+    (tmp_path / "commits.json").write_text('{"committed_at":"2024-01-02","path":"mod/first.adoc"}\n{"committed_at":"2024-03-04","path":"mod/one.adoc","renamed_from":"mod/first.adoc"}\n')
+    args = ["adoc", str(tree), "--output", str(tmp_path / "out"), "--branch", "b1", "--site", "https://s", "--distro", "own"]
+    assert cli.main([*args, "--commits", str(tmp_path / "commits.json")]) == 0
+    rows = spark.read.json(str(tmp_path / "out")).collect()
+    assert [(r["page_url"], r["sor_last_modified"], r["text"]) for r in rows] == [("https://s/docs/1/mod/one.html", "2024-03-04", "Page: One\n\nbody of two")]
+
+
 def test_stored_sitemaps(spark, tmp_path):
     """An index of three files, one of them named twice: places, counts, filters that leave files unread, files that aren't there."""
     from docmill.sources import sitemaps

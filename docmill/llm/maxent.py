@@ -56,7 +56,7 @@ NEAR = 4
 KINDS = 1 << 14
 #: Distinct words for a bucket of the class softmax, least and most of these as powers of two; each further level has four times as many.
 WORDS_A_BUCKET = 16
-BUCKETS = (10, 15)
+BUCKETS = (10, 14)
 #: Parts of eight of the training texts in each round.
 ROUNDS = (1, 2, 5)
 #: Share of a step that is taken (three features add up), first and in the rounds, and counts added to observed and expected ones.
@@ -400,9 +400,10 @@ class Seen:
         m, begin = self.m, 0
         f, unit = histories(h, starts), m.units(h, m.numbers(h), kinds)
         for level, (node, answer) in enumerate(answers(unit)):
-            part = self.sums[begin : begin + self.size[level]]
-            for i in buckets(f, level, node, m.w[level]):
-                np.add.at(part, i * WIDTH + answer, 1)
+            # sorted first: a table is larger than what a core has at hand
+            keys = np.sort((buckets(f, level, node, m.w[level]) * WIDTH + answer).astype(np.int32), axis=None)
+            ends = np.flatnonzero(np.diff(keys, append=np.int32(-1))) + 1
+            self.sums[begin + keys[ends - 1]] += np.diff(ends, prepend=0).astype(np.int32)
             begin += self.size[level]
 
 
@@ -430,15 +431,17 @@ def first_step(m: Model, sums: np.ndarray) -> None:
     """Weights by the counts of :class:`Seen`; a bucket is expected to have the shares of its softmax."""
     begin = 0
     for level, w in enumerate(m.w):
-        seen = sums[begin : begin + w.size].reshape(w.shape)
-        begin += w.size
-        expected = seen.sum(1, keepdims=True) * np.repeat(np.exp(m.bias[level]), len(w) // NODES[level], axis=0)
-        w[:] = np.clip(RATES[0] * (np.log(seen + PRIORS[0]) - np.log(expected + PRIORS[0])), -MOST, MOST)
+        each = len(w) // NODES[level]
+        for node, bias in enumerate(m.bias[level].astype(np.float64)):
+            seen = sums[begin : begin + each * WIDTH].reshape(each, WIDTH).astype(np.float64)
+            expected = seen.sum(1, keepdims=True) * np.exp(bias)
+            w[node * each : (node + 1) * each] = np.clip(RATES[0] * (np.log(seen + PRIORS[0]) - np.log(expected + PRIORS[0])), -MOST, MOST)
+            begin += each * WIDTH
 
 
 def step(m: Model, sums: np.ndarray) -> None:
     """One step of the class softmax by the counts of :class:`Gradient`."""
-    seen, expected = sums.reshape(2, WIDTH, -1)
+    seen, expected = sums.astype(np.float64).reshape(2, WIDTH, -1)
     m.w[0] = np.clip(m.w[0] + RATES[1] * (np.log(seen.T + PRIORS[1]) - np.log(expected.T + PRIORS[1])), -MOST, MOST).astype(np.float32)
 
 
@@ -462,7 +465,7 @@ def summed(docs: DataFrame, text: str, make, what: object, size: int) -> np.ndar
     texts = docs.select(F.col(text).cast("binary").alias("t")).coalesce(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     got = added_up(texts.mapInArrow(run, "chunk int, salt int, v binary"))
     shared.destroy()
-    return np.concatenate([got[i] for i in sorted(got)]).astype(np.float64) if got else np.zeros(size)
+    return np.concatenate([got[i] for i in sorted(got)]) if got else np.zeros(size, np.float32)
 
 
 def added_up(changes: DataFrame) -> dict[int, np.ndarray]:
@@ -544,8 +547,8 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", head: int = HE
 
     frequent = min(FREQUENT, len(h))
     near = summed(docs, text, Near, h, frequent * frequent).reshape(frequent, frequent)
-    seeds = groups_of(near + near.T)
-    around = summed(docs, text, lambda x: Around(*x), (h, seeds), len(h) * GROUPS).reshape(-1, GROUPS)
+    seeds = groups_of((near + near.T).astype(np.float64))
+    around = summed(docs, text, lambda x: Around(*x), (h, seeds), len(h) * GROUPS).reshape(-1, GROUPS).astype(np.float64)
     group, by_kind = grouped(around, kind)
 
     small = docs.sparkSession.createDataFrame([(i, int(g)) for i, g in enumerate(by_kind)], "kind int, g int")

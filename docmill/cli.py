@@ -98,8 +98,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.commits:
                 changes = files.json_lines(spark, args.commits, "committed_at string, path string, renamed_from string")
                 modified = history.file_history(changes).select("path", F.col("last_changed").alias("committed_at"))
-            rows = pipelines.adoc_records(files.asciidoc(spark, args.input), maps.topics(spark, documents, base, args.distro), args.version, sizes, modified)
-            rows.write.mode("overwrite").option("ignoreNullFields", "false").json(args.output)
+            print(pipelines.convert(files.asciidoc(spark, args.input), maps.topics(spark, documents, base, args.distro), args.version, args.output, sizes, modified))
     return 0
 
 

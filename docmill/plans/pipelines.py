@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -13,7 +13,7 @@ from ..operators import adoc, embed, html, markdown, records, search
 from ..operators.records import RecordSettings
 from ..sources import files
 from ..sources.ordered import path_order, write_ordered
-from ..sources.stage import staged
+from ..sources.stage import forget, staged
 from ..sources.store import ChunkTable
 
 
@@ -57,16 +57,27 @@ def html_records(pages: DataFrame, version: str, settings: RecordSettings = Reco
 
 
 def crawl(pages: DataFrame, seen: DataFrame, version: str, output: str, settings: RecordSettings = RecordSettings(), progress: str | None = None) -> dict[str, int]:
-    """Append records of the pages not seen yet to ``output``; then mark good and non-HTML pages as seen. Gives run counters."""
-    new = files.unseen(pages, seen)
-    good, other = files.html_responses(new)
-    rows = html_records(good, version, settings)
+    """Append records of the pages not seen yet to ``output``; then mark good and non-HTML pages as seen, in order of their URLs. Gives run counters.
+
+    HTML is read once: chunks and pages are counted as they are written. What is new
+    and what was fetched comes from a table without the HTML.
+    """
+    fetched = F.coalesce(F.col("status"), F.lit(0)).between(200, 299)
+    new = staged(files.unseen(pages.select("url", fetched.alias("fetched")), seen), "crawl")
+    rows, counted = counted_records(html_records(files.html_responses(files.unseen(pages, seen))[0], version, settings))
     rows.write.mode("append").option("ignoreNullFields", "false").json(output)
     if progress:
-        fetched = other.where(F.coalesce(F.col("status"), F.lit(0)).between(200, 299))
-        good.select("url").unionByName(fetched.select("url")).write.mode("append").json(progress)
-    n = rows.agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("pages")).first()
-    return {"pages": n["pages"], "skipped": new.count() - n["pages"], "chunks": n["chunks"]}
+        write_ordered(new.where("fetched").select("url"), progress, ["url"], mode="append")
+    n = counted.get
+    out = {"pages": n["documents"], "skipped": new.count() - n["documents"], "chunks": n["chunks"]}
+    forget(new)
+    return out
+
+
+def counted_records(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """``rows``, and what counts ``chunks`` and ``documents`` (each has a first chunk) while they are written."""
+    seen = Observation()
+    return rows.observe(seen, F.count("*").alias("chunks"), F.count_if(F.col("chunk_index") == 0).alias("documents")), seen
 
 
 def adoc_records(sources: DataFrame, topics: DataFrame, branch: str, settings: RecordSettings = RecordSettings(), modified: DataFrame | None = None) -> DataFrame:
@@ -86,6 +97,15 @@ def adoc_records(sources: DataFrame, topics: DataFrame, branch: str, settings: R
     return records.records(src, prefix, settings, F.col("committed_at"), F.col("page_url"))
 
 
+def convert(sources: DataFrame, topics: DataFrame, branch: str, output: str, settings: RecordSettings = RecordSettings(), modified: DataFrame | None = None) -> dict[str, int]:
+    """Write the records of :func:`adoc_records` in place of what is at ``output``. Gives run counters: files of the map with chunks, without, and chunks."""
+    rows, counted = counted_records(adoc_records(sources, topics, branch, settings, modified))
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(output)
+    mapped = sources.select(ids.file_stem(ids.last_part(F.col("path"))).alias("stem")).join(topics.select("stem"), "stem").count()
+    n = counted.get
+    return {"processed": n["documents"], "skipped": mapped - n["documents"], "chunks": n["chunks"]}
+
+
 def query(spark: SparkSession, question: str, settings: Settings, k: int = 5, where: str | F.Column | None = None) -> DataFrame:
     """The ``k`` chunks nearest to ``question`` of those for which ``where`` holds: ``chunk_id, source, title, section, content, tags, score``."""
     settings.validate()

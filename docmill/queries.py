@@ -310,6 +310,36 @@ def adoc_strip_basic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.strip_adoc(t).alias("body"))
 
 
+#: Markup of each kind and what is left of it, to be put one after the other, a line each.
+ADOC_CASES = [
+    ("a ifdef::x[] b", "a ifdef::x[] b"), ("see link:http://x/y[there] now", "see there now"), ("xref:a.adoc#b[one] and xref:c[]", "one and "), ("image::a/b.png[alt, 3] after", " after"), ("icon::x[] y", " y"),
+    ("**bo*ld** and *b* but 2*3*4", "bo*ld and b but 2*3*4"), ("__em__ and _e_ but a_b_c", "em and e but a_b_c"), ("`co de` and ``", "co de and ``"), ("{attr} x {not an attr}", " x {not an attr}"), ("*** deep", "- deep"),
+    ("-- item", "- item"), ("* one *two* three", "- one two three"), ("plain [x] text", "plain [x] text"), ("é*b*é *é*", "é*b*é é"), ("*a b* c*", "a b c*"), ("a :not: attribute", "a :not: attribute"), ("== heading", "== heading"),
+]
+#: Markup of which nothing is left but its line's end.
+ADOC_GONE = ["ifdef::x[]", "endif::[]", "ifeval::[a == b] c", "include::a/b.adoc[x=1]", ":name: value", "----", "....", "++++", "[source,bash]", "[[anchor]]", "{a}{b-c}"]
+
+
+def _cases(doc_id: str, k: str) -> tuple[str, str]:
+    return f"({doc_id} * 7 + {k} * 5) % {len(ADOC_CASES)}", f"({doc_id} + {k}) % {len(ADOC_GONE)}"
+
+
+@query(
+    "WITH c(i, plain) AS (VALUES " + ", ".join(f"({i}, '{plain}')" for i, (_, plain) in enumerate(ADOC_CASES)) + f"""),
+    l AS (SELECT doc_id, k, plain FROM documents, unnest(range(1 + doc_id % 12)) AS t(k) JOIN c ON c.i = {_cases('doc_id', 'k')[0]})
+    SELECT doc_id, trim(string_agg(CASE WHEN k % 3 = 0 THEN plain || chr(10) || chr(10) ELSE plain || chr(10) END, '' ORDER BY k), ' ' || chr(10)) AS body FROM l GROUP BY doc_id"""
+)
+def adoc_strip_all(spark, sf_dir):
+    """All kinds of markup taken out, in many orders; where nothing is left of a line, blank lines become one."""
+    i, k = F.col("doc_id"), F.col("k")
+    cases, gone = (F.array(*map(F.lit, x)) for x in ([m for m, _ in ADOC_CASES], ADOC_GONE))
+    of, none = (F.expr(x) for x in _cases("doc_id", "k"))
+    line = F.concat(F.get(cases, of.cast("int")), F.lit("\n"), F.when(k % 3 == 0, F.concat(F.lit("\n"), F.get(gone, none.cast("int")), F.lit("\n\n\n"))).otherwise(""))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), (i % 12).cast("int"))).alias("k")).select("doc_id", "k", line.alias("line"))
+    whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    return whole.select("doc_id", text.strip_adoc(F.array_join(F.transform("l", lambda x: x["line"]), "")).alias("body"))
+
+
 def with_includes(docs: DataFrame) -> DataFrame:
     """Documents as AsciiDoc files ``(doc_id, path, text)`` that include each other, by names beside them and from the top, round in circles, and files that aren't there."""
     i = F.col("doc_id")
@@ -581,6 +611,104 @@ def run_counters(spark, sf_dir):
     return p.agg(F.count_distinct("url").alias("pages"), (F.count("*") - F.count_distinct("url")).alias("skipped"), F.count_if(F.length("html") > 1500).alias("large"))
 
 
+@query("""
+    WITH n AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 404 ELSE 200 END AS status, page_id % 7 <> 0 AS is_html FROM pages WHERE page_id % 5 <> 0),
+    c AS (SELECT count(*) AS new, count(*) FILTER (WHERE status = 200 AND is_html) AS good, count(*) FILTER (WHERE status = 200) AS fetched FROM n)
+    SELECT 'pages' AS counter, good AS n FROM c UNION ALL SELECT 'skipped', new - good FROM c UNION ALL SELECT 'marked', fetched FROM c UNION ALL SELECT 'written', good FROM c
+    UNION ALL SELECT 'pages again', 0 UNION ALL SELECT 'skipped again', new - fetched FROM c""")
+def crawl_counters(spark, sf_dir):
+    """A run over fetched pages, some of them seen, failed or no HTML, and a second one that goes on where it ended: what they count, mark and write."""
+    p = table(spark, sf_dir, "pages")
+    fetched = p.select("url", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 7 == 0, "application/pdf").otherwise("text/html").alias("content_type"), F.lit(None).cast("string").alias("last_modified"), "html")
+    out, progress = fresh(spark, "crawl"), fresh(spark, "progress")
+    p.where("page_id % 5 = 0").select("url").write.json(progress)
+    n = p.where("page_id % 5 = 0").count()
+    one = pipelines.crawl(fetched, files.load_seen(spark, progress), "1", out, progress=progress)
+    marked, written = files.load_seen(spark, progress).count() - n, spark.read.schema("document_id string").json(out).distinct().count()
+    two = pipelines.crawl(fetched, files.load_seen(spark, progress), "1", out, progress=progress)
+    return spark.createDataFrame([("pages", one["pages"]), ("skipped", one["skipped"]), ("marked", marked), ("written", written), ("pages again", two["pages"]), ("skipped again", two["skipped"])], "counter string, n long")
+
+
+def with_adoc(docs: DataFrame) -> DataFrame:
+    """AsciiDoc files ``(doc_id, path, page_name, text)``: up to twenty-two lines, every third a heading of a level that goes up and down, anchors before some, markup in all others."""
+    i, n = F.col("doc_id"), (3 + F.col("doc_id") % 20).cast("int")
+    s = lambda c: c.cast("string")
+    line = lambda k: (
+        F.when(k % 3 == 1, F.concat(F.substring(F.lit("===="), F.lit(1), (1 + (k * k + i) % 4).cast("int")), F.lit(" H"), s(k), F.lit(" {attr}")))
+        .when((k % 3 == 0) & ((i + k) % 2 == 0), F.concat(F.lit('[id="a'), s(k), F.lit('"]')))
+        .when(k % 3 == 0, F.concat(F.lit("text "), s(k)))
+        .otherwise(F.concat(F.lit("* body "), s(k), F.lit(" *bold* of `code` in _it_ and xref:x.adoc[see "), s(i), F.lit("] {gone}end\n----\n:attr: x\nifdef::y[]\n\n\n\nlast")))
+    )
+    return docs.select("doc_id", F.concat(F.lit("p/doc"), s(i), F.lit(".adoc")).alias("path"), F.concat(F.lit("Page "), "lang").alias("page_name"), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), line), "\n").alias("text"))
+
+
+_ADOC = """
+    WITH l AS (SELECT doc_id, 'Page ' || lang AS page, k, k % 3 = 1 AS head, CASE WHEN k % 3 = 1 THEN (1 + (k * k + doc_id) % 4)::INT END AS level, (doc_id + k) % 2 = 0 AS is_anchor
+          FROM documents, unnest(range(3 + doc_id % 20)) AS t(k)),
+    n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY k) AS pos FROM l),
+    s AS (
+      SELECT doc_id, any_value(page) AS page, pos, max(level) AS level, max(CASE WHEN head THEN 'H' || k END) AS heading, max(CASE WHEN head AND (doc_id + k - 1) % 2 = 0 THEN 'a' || (k - 1) END) AS anchor,
+             string_agg(CASE WHEN k % 3 = 0 AND NOT is_anchor THEN 'text ' || k WHEN k % 3 = 2 THEN '- body ' || k || ' bold of code in it and see ' || doc_id || ' end' || chr(10) || chr(10) || 'last' END, chr(10) ORDER BY k) AS body
+      FROM n GROUP BY doc_id, pos),
+    d AS (SELECT *, CASE WHEN pos > 0 THEN pos + least(1, min(level - pos) OVER (PARTITION BY doc_id ORDER BY pos)) ELSE 1 END AS d FROM s),
+    e AS (SELECT doc_id, pos, coalesce(heading, page) AS heading, d, lead(pos, 1, 1000000) OVER (PARTITION BY doc_id, d ORDER BY pos) AS until FROM d),
+    up AS (SELECT a.doc_id, a.pos, list(e.heading ORDER BY e.d) AS crumbs FROM d a JOIN e ON e.doc_id = a.doc_id AND e.pos <= a.pos AND a.pos < e.until AND e.d < a.d AND a.pos > 0 GROUP BY a.doc_id, a.pos),
+    sections AS (
+      SELECT d.doc_id, d.pos, page, coalesce(heading, page) AS heading, coalesce(level, 1)::INT AS level, coalesce(anchor, '') AS anchor, coalesce(crumbs, []) AS crumbs, body
+      FROM d LEFT JOIN up USING (doc_id, pos) WHERE coalesce(body, '') <> '')"""
+
+
+@query(_ADOC + " SELECT doc_id, pos::INT AS section_pos, heading, level, anchor, array_to_string(crumbs, ' > ') AS breadcrumbs, body FROM sections")
+def adoc_sections(spark, sf_dir):
+    """AsciiDoc files to sections: anchors, levels that are skipped, markup of all kinds."""
+    docs = with_adoc(table(spark, sf_dir, "documents"))
+    got = adoc.sections(docs.select("path", "page_name", "text", "doc_id"), ["doc_id"])
+    return got.select("doc_id", F.col("section_pos").cast("int").alias("section_pos"), "heading", "level", "anchor", F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), "body")
+
+
+_RECORD = r"""
+    r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk_index, length(text)::INT AS char_count, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INT AS word_count FROM t),
+    keyed AS (SELECT *, doc_key AS key FROM r),
+    documents_ AS (SELECT * EXCLUDE (key, h, uuid), uuid AS document_id FROM (%s)),
+    keyed2 AS (SELECT *, document_id || '|' || chunk_index || '|' || substr(sha256(text), 1, 16) AS key FROM documents_)
+    SELECT uuid AS chunk_id, uuid AS id, document_id, source_file, source_file AS file_name, source_dir, relative_path, chunk_index, 'chars' AS unit, 1500 AS chunk_size_setting, 100 AS overlap_setting, 'docs' AS usecase_id, 'docs' AS agent_filter,
+           'Public' AS data_classification, modified AS sor_last_modified, page_url, page AS page_name, char_count, word_count, heading AS section_heading, array_to_string(crumbs, ' > ') AS section_breadcrumbs, anchor AS section_anchor, text
+    FROM (%s)""" % (_UUID, _UUID.replace("FROM keyed", "FROM keyed2"))
+
+
+@query(_ADOC + """,
+    trail AS (SELECT *, array_to_string(list_filter(list_append(crumbs, heading), lambda x: x <> page AND x <> ''), ' > ') AS trail FROM sections),
+    t AS (
+      SELECT *, 'b1|p/doc' || doc_id || '.adoc' AS doc_key, 'doc' || doc_id || '.adoc' AS source_file, 'p' AS source_dir, 'p/doc' || doc_id || '.adoc' AS relative_path, 'https://s/' || doc_id || '.html' || CASE WHEN anchor <> '' THEN '#' || anchor ELSE '' END AS page_url,
+             CASE WHEN doc_id % 3 = 0 THEN '' ELSE '2024-01-0' || (1 + doc_id % 9) END AS modified, 'Page: ' || page || CASE WHEN trail <> '' THEN chr(10) || 'Section: ' || trail ELSE '' END || chr(10) || chr(10) || body AS text
+      FROM trail),""" + _RECORD)
+def adoc_records(spark, sf_dir):
+    """A tree of AsciiDoc files to 23-field records, all steps together: topics by stem, includes, sections, last changes."""
+    docs = with_adoc(table(spark, sf_dir, "documents"))
+    topics = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"), F.concat(F.lit("https://s/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("page_url"), "page_name")
+    modified = docs.where("doc_id % 3 <> 0").select("path", F.concat(F.lit("2024-01-0"), (1 + F.col("doc_id") % 9).cast("string")).alias("committed_at"))
+    got = pipelines.adoc_records(docs.select("path", "text"), topics, "b1", records.RecordSettings(), modified)
+    return got.withColumn("section_breadcrumbs", F.array_join("section_breadcrumbs", " > "))
+
+
+@query(r"""
+    WITH l AS (SELECT doc_id, lang, i, s[i + 1] AS line FROM (SELECT doc_id, lang, string_split(coalesce(text, ''), chr(10)) AS s FROM documents), unnest(range(len(s))) AS t(i)),
+    h AS (SELECT *, CASE WHEN i % 4 = 3 THEN lang ELSE 'Part ' || i END AS heading, trim(regexp_replace(line, '[ 	]+', ' ', 'g')) AS p FROM l),
+    c AS (SELECT *, lag(heading, 1) OVER w AS up1, lag(heading, 2) OVER w AS up2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    sections AS (
+      SELECT doc_id, i AS pos, heading, 's' || i AS anchor, CASE i % 3 WHEN 0 THEN [] WHEN 1 THEN [up1] ELSE [up2, up1] END AS crumbs, 'Doc ' || doc_id AS page, '- item ' || i || CASE WHEN p <> '' THEN chr(10) || p ELSE '' END AS body FROM c),
+    t AS (
+      SELECT *, '1.0|https://h/d/' || doc_id AS doc_key, doc_id::VARCHAR AS source_file, 'd' AS source_dir, 'd/' || doc_id AS relative_path, 'https://h/d/' || doc_id || '#' || anchor AS page_url, CASE WHEN doc_id % 2 = 0 THEN 'day ' || doc_id ELSE '' END AS modified,
+             'Page: ' || page || chr(10) || 'Section: ' || array_to_string(list_append(list_filter(crumbs, lambda x: x <> page), heading), ' > ') || chr(10) || chr(10) || body AS text
+      FROM sections),""" + _RECORD)
+def html_section_records(spark, sf_dir):
+    """Pages with nested sections to 23-field records, all steps together."""
+    docs = with_sections(table(spark, sf_dir, "documents"))
+    pages = docs.withColumn("last_modified", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("day "), F.col("doc_id").cast("string"))))
+    got = pipelines.html_records(pages.select("url", "last_modified", "html"), "1.0", records.RecordSettings())
+    return got.withColumn("section_breadcrumbs", F.array_join("section_breadcrumbs", " > "))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS shown FROM documents")
 def preview(spark, sf_dir):
     """Texts cut for display."""

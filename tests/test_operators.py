@@ -4,6 +4,7 @@ import random
 import re
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,6 +387,30 @@ def test_pruned_search(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [isnotnull(cell" in cells.read(spark, [1])._jdf.queryExecution().toString()
 
 
+def test_batch_search(spark, monkeypatch):
+    """Each row a query of its own, ties by id, more queries than go to all tasks at once."""
+    from docmill.operators import search
+
+    rnd = random.Random(16)
+    rows = clustered(rnd, 400) + [(9000 + i, clustered(random.Random(1), 1)[0][1]) for i in range(9)] + [(9100, None), (9101, [1.0]), (9102, [0.0] * 8)]
+    index = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    asked = [(i % 7, v) for i, v in rows[:400:9]] + [(99, None)]
+    queries = spark.createDataFrame(asked, "query_id int, v array<float>")
+    whole = {r["id"]: np.array(r["v"], float) for r in index.where("size(v) = 8 and id != 9102").collect()}
+    want = []
+    for q, v in asked:
+        if v:
+            a = np.array(spark.createDataFrame([(v,)], "v array<float>").first()[0], float)
+            d = sorted((round(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), 6) + 0.0, i) for i, b in whole.items())[:6]
+            want += [(q, i, s, r + 1) for r, (s, i) in enumerate(d)]
+    for most in (4096, 10):
+        monkeypatch.setattr(search, "QUERY_BLOCK", most)
+        monkeypatch.setattr(search, "MOST_ROWS", 128)
+        got = sorted(map(tuple, search.knn_batch(index, queries, 6, "id", "v").collect()))
+        assert [(a[0], a[1], a[3]) for a in got] == [(a[0], a[1], a[3]) for a in sorted(want)] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, sorted(want)))
+    assert search.knn_batch(index, queries.limit(0), 6, "id", "v").count() == 0
+
+
 def test_pruned_search_odd(spark, tmp_path):
     """Fewer rows than asked for, queries without a distance or twice there, no rows at all."""
     from docmill.operators import nearest

@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("ingest")
     a.add_argument("path")
-    a.add_argument("--glob", default="*.md")
+    a.add_argument("--glob", default="**/*.md", help="paths from the folder on")
     a.add_argument("--tags", nargs="*", default=[])
     a.add_argument("--jsonl")
     a.add_argument("--no-index", action="store_true")

@@ -17,7 +17,7 @@ from ..sources.stage import forget, staged
 from ..sources.store import ChunkTable
 
 
-def ingest(spark: SparkSession, path: str, settings: Settings, tags: list[str] | None = None, pattern: str = "*.md", jsonl: str | None = None, index: bool = True) -> DataFrame:
+def ingest(spark: SparkSession, path: str, settings: Settings, tags: list[str] | None = None, pattern: str = "**/*.md", jsonl: str | None = None, index: bool = True) -> DataFrame:
     """Markdown at ``path`` to chunks with vectors, written as JSON lines and to the index as asked; gives the stored chunks.
 
     Chunks are written once, and both sinks read that table: nothing is embedded twice.

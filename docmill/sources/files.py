@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text
+from .stage import file_system
 
 SITEMAP_LOC = "//*[local-name()='loc']/text()"
 CHUNK_SCHEMA = "chunk_id string, source string, title string, section string, content string, tags array<string>, metadata variant, embedding array<float>"
@@ -14,24 +17,44 @@ CHUNK_SCHEMA = "chunk_id string, source string, title string, section string, co
 
 def source_path() -> Column:
     """The path of the file that a row is of, as ``source``: decoded, local ones without a scheme."""
-    return F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:/+", "/").alias("source")
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("source")
+
+
+def glob_regex(pattern: str) -> str:
+    """A path pattern as a regular expression: ``**/`` is any folders or none, ``*`` and ``?`` stay in one name, ``[...]`` is one of these characters."""
+    say = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    out = ""
+    for part in re.findall(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|[^*?\[]+|\[", pattern):
+        out += say.get(part) or ("[" + part[1:-1].replace("!", "^", 1).replace("\\", "\\\\") + "]" if part[0] == "[" and len(part) > 1 else re.escape(part))
+    return f"^{out}$"
+
 
+def relative(spark: SparkSession, path: str, source: Column) -> Column:
+    """``source`` from the folder ``path`` on; the name alone if ``path`` is the file."""
+    fs, p = file_system(spark, path)
+    base = re.sub("^file:/+", "/", fs.makeQualified(p).toString()).rstrip("/")
+    return F.when(source == base, F.substring_index(source, "/", -1)).otherwise(F.substring(source, F.lit(len(base) + 2), F.length(source)))
 
-def whole_files(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = True, strict: bool = True) -> DataFrame:
-    """``(source, text)`` of files whose name fits ``pattern``; invalid UTF-8 raises if ``strict``, else is replaced."""
-    df = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(path, wholetext=True)
+
+def whole_files(spark: SparkSession, path: str, pattern: str = "**/*.md", strict: bool = True) -> DataFrame:
+    """``(source, text)`` of files whose path from ``path`` on fits ``pattern``; invalid UTF-8 raises if ``strict``, else is replaced.
+
+    Names are filtered as files are listed, folders before they are read.
+    """
+    name = pattern.rsplit("/", 1)[-1].replace("**", "*")
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path, wholetext=True)
     value = F.validate_utf8("value") if strict else F.make_valid_utf8("value")
-    return df.select(source_path(), text.unix_lines(value).alias("text"))
+    rows = df.select(source_path(), text.unix_lines(value).alias("text"))
+    return rows.where(relative(spark, path, F.col("source")).rlike(glob_regex(pattern)))
 
 
-def markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
+def markdown(spark: SparkSession, path: str, pattern: str = "**/*.md") -> DataFrame:
     return whole_files(spark, path, pattern)
 
 
 def asciidoc(spark: SparkSession, root: str) -> DataFrame:
     """``(path, text)`` of the AsciiDoc files below ``root``, paths from there."""
-    base = root.rstrip("/").removeprefix("file:")
-    return whole_files(spark, root, "*.adoc", strict=False).select(F.substring("source", F.lit(len(base) + 2), F.length("source")).alias("path"), "text")
+    return whole_files(spark, root, "**/*.adoc", strict=False).select(relative(spark, root, F.col("source")).alias("path"), "text")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | StructType = CHUNK_SCHEMA) -> DataFrame:

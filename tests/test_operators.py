@@ -300,6 +300,20 @@ def test_adoc_command(spark, tmp_path):
     assert [(r["page_url"], r["sor_last_modified"], r["text"]) for r in rows] == [("https://s/docs/1/mod/one.html", "2024-03-04", "Page: One\n\nbody of two")]
 
 
+def test_globs(spark, tmp_path):
+    """Patterns over paths from the folder on, as a shell with ``**`` reads them; a file by itself; names with blanks and signs."""
+    names = ["a.md", "b c.md", "x/a.md", "x/y/a.md", "x/y/b.txt", "x.y/d1.md", "x.y/d2.md", "x/+.md"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    ask = lambda p: sorted(r["text"] for r in files.whole_files(spark, str(tmp_path), p).collect())
+    for p in ("*.md", "**/*.md", "x/*.md", "x/**/*.md", "*/*.md", "x.y/d?.md", "x.y/d[1]*", "**/y/*", "x/**", "x/+.md", "?.md"):
+        want = sorted(str(f.relative_to(tmp_path)) for f in tmp_path.glob(p if p != "x/**" else "x/**/*") if f.is_file())
+        assert ask(p) == want, p
+    assert ask("[!a].md") == [] and ask("none/*.md") == []
+    assert [r["text"] for r in files.markdown(spark, str(tmp_path / "b c.md")).collect()] == ["b c.md"]
+
+
 def test_stored_sitemaps(spark, tmp_path):
     """An index of three files, one of them named twice: places, counts, filters that leave files unread, files that aren't there."""
     from docmill.sources import sitemaps

@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 from .functions.split import check_window
 
 
+_LINE = re.compile(r"""\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_.]*)\s*=\s*(?:'([^']*)'|"((?:[^"\\]|\\.)*)"|([^\s#][^#]*?|))\s*(?:#.*)?$""")
+
+
+def read_env(path: str) -> dict[str, str]:
+    """``NAME=value`` lines of a file, empty if there is none: values may be quoted, ``#`` begins a comment, other lines are skipped."""
+    if not os.path.isfile(path):
+        return {}
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            if m := _LINE.match(line.rstrip("\n")):
+                name, single, double, bare = m.groups()
+                out[name] = single if single is not None else re.sub(r"\\(.)", lambda c: {"n": "\n", "t": "\t"}.get(c[1], c[1]), double) if double is not None else bare or ""
+    return out
+
+
 @dataclass(frozen=True)
 class Settings:
     provider: str = "hashing"
@@ -20,8 +37,9 @@ class Settings:
     output_dir: str = "output"
 
     @classmethod
-    def from_env(cls, env: dict[str, str] | None = None) -> "Settings":
-        e = os.environ if env is None else env
+    def from_env(cls, env: dict[str, str] | None = None, file: str = ".env") -> "Settings":
+        """Settings of the environment, and of ``file`` where it has none."""
+        e = read_env(file) | dict(os.environ) if env is None else env
         dims = int(e.get("EMBEDDING_DIMENSIONS", "1536"))
         names = {"api_key": "EMBEDDING_API_KEY", "endpoint": "EMBEDDING_ENDPOINT", "api_version": "EMBEDDING_API_VERSION", "deployment": "EMBEDDING_DEPLOYMENT", "model": "EMBEDDING_MODEL"}
         options = {k: e[v] for k, v in names.items() if v in e} | {"dimensions": dims}

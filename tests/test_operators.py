@@ -314,6 +314,22 @@ def test_globs(spark, tmp_path):
     assert [r["text"] for r in files.markdown(spark, str(tmp_path / "b c.md")).collect()] == ["b c.md"]
 
 
+def test_settings_file(tmp_path, monkeypatch):
+    """Names of a file where the environment has none; quotes, comments and lines that say nothing."""
+    from docmill.config import Settings, read_env
+
+    f = tmp_path / ".env"
+    f.write_text("# a comment\nEMBEDDING_PROVIDER=openai\nexport EMBEDDING_API_KEY='k # y'\nEMBEDDING_MODEL=\"m\\n\\\"x\\\"\" # behind\nCHUNK_MAX_CHARS = 500 # chars\nEMPTY=\nno line\nINDEX_PATH=/from/file\n")
+    assert read_env(str(f)) == {"EMBEDDING_PROVIDER": "openai", "EMBEDDING_API_KEY": "k # y", "EMBEDDING_MODEL": 'm\n"x"', "CHUNK_MAX_CHARS": "500", "EMPTY": "", "INDEX_PATH": "/from/file"}
+    monkeypatch.setenv("INDEX_PATH", "/from/env")
+    s = Settings.from_env(file=str(f))
+    assert (s.provider, s.provider_settings["api_key"], s.max_chars, s.index_path) == ("openai", "k # y", 500, "/from/env")
+    assert read_env(str(tmp_path / "none")) == {} and Settings.from_env({}).provider == "hashing"
+    s.validate()
+    with pytest.raises(ValueError):
+        Settings.from_env({"EMBEDDING_PROVIDER": "openai"}).validate()
+
+
 def test_stored_sitemaps(spark, tmp_path):
     """An index of three files, one of them named twice: places, counts, filters that leave files unread, files that aren't there."""
     from docmill.sources import sitemaps

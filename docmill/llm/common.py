@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stage import shared_dir
+from ..sources.stage import forget, fresh, shared_dir, staged
 
 #: Rows and bytes of an Arrow batch, whichever comes first: texts may be long, so fewer rows than Spark's 10,000.
 ARROW_ROWS = 1000
@@ -24,23 +24,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if chr(b).isalnum() and b < 128 or b > 127 else 32 for b in range(256))
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docmill_path = path
-    return out
+#: Tables that end the lineage of what they hold.
+table = staged
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of :func:`table` that nothing reads any more."""
-    path = getattr(df, "_docmill_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of phases that have ended: it does so when the driver's objects for them are collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -109,6 +100,16 @@ def map_texts(
     return src.mapInArrow(run, full)
 
 
+def boxed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """All columns of ``docs`` as one, ``__doc``, beside :func:`row_key`: whatever their names, they can't clash with others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), *row_key(text, doc_id))
+
+
+def unboxed(docs: DataFrame, but: tuple[str, ...] = ()) -> dict[str, F.Column]:
+    """The columns of ``docs`` out of ``__doc``, by name."""
+    return {c: F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in but}
+
+
 def row_key(text: str = "text", doc_id: str = "doc_id") -> list[F.Column]:
     """Columns that name a row by id and text; equal rows share a key, and all that is derived from it."""
     return [F.col(doc_id).alias("__id"), F.xxhash64(F.col(text), F.col(text).isNull()).alias("__th")]

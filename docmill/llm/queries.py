@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language, lexical, licenses, lines, maxent, quality, sentencepiece, simhash, token_counts, token_files, warc, whitening
-from .common import shared_dir, table
+from .common import fresh, table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +85,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/docmill/token-files-{uuid.uuid4().hex}"
+    path = fresh(spark, "token-files")
     token_files.write(read(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
     return token_files.digests(spark, path)
 
@@ -112,9 +111,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def license_sql() -> str:
     """Lines and paragraphs against the templates by TF-IDF cosine, and inheritance, in one statement."""
     quoted = lambda w: "'" + w + "'"
-    postings = ", ".join(f"({k}, '{name}', '{w}', {n})" for k, (name, t) in enumerate(licenses.template_terms(licenses.TEMPLATES)) for w, n in t.items())
+    postings = ", ".join(f"({k}, {rank}, '{name}', '{w}', {n}, {int(w in need)})" for k, (rank, name, t, need) in enumerate(licenses.all_templates()) for w, n in t.items())
+    words = f"list_transform(list_filter(list_transform(regexp_split_to_array(lower(y), '[^a-z0-9.]+'), lambda x: trim(x, '.')), lambda x: x <> '' AND x NOT IN ({', '.join(map(quoted, licenses.STOP_WORDS))})), lambda x: regexp_replace(x, '{licenses.VERSION}', '\\1'))"
     return rf"""
-        WITH t(k, license, w, tf) AS (VALUES {postings}),
+        WITH t(k, rank, license, w, tf, needed) AS (VALUES {postings}),
         f AS (
           SELECT doc_id, coalesce(text, '') AS text,
                  CASE WHEN doc_id % 1000 = 1 THEN concat_ws('/', source, (doc_id // 1000)::VARCHAR, 'LICENSE.' || doc_id)
@@ -122,16 +122,16 @@ def license_sql() -> str:
           FROM documents),
         s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM f),
         l AS (
-          SELECT doc_id, i - 1 AS line_no, s[i] AS line,
-                 list_filter(list_transform(regexp_split_to_array(lower(s[i]), '[^a-z0-9.]+'), lambda x: trim(x, '.')), lambda x: x <> '' AND x NOT IN ({", ".join(map(quoted, licenses.STOP_WORDS))})) AS w
-          FROM s, unnest(range(1, len(s) + 1)) AS r(i)),
+          SELECT *, flatten(parts) AS w
+          FROM (SELECT doc_id, i - 1 AS line_no, s[i] AS line, list_transform(regexp_split_to_array(s[i], '{licenses.SENTENCE_END}'), lambda y: {words}) AS parts FROM s, unnest(range(1, len(s) + 1)) AS r(i))),
         total AS (SELECT count(*) AS n FROM l WHERE line <> ''),
         df AS (SELECT w, count(DISTINCT (doc_id, line_no)) AS n FROM (SELECT doc_id, line_no, unnest(w) AS w FROM l) WHERE w IN (SELECT w FROM t) GROUP BY w),
         idf AS (SELECT t.w, ln((1.0 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS x FROM (SELECT DISTINCT w FROM t) t CROSS JOIN total LEFT JOIN df USING (w)),
-        q AS (SELECT k, license, w, tf * x / sqrt(sum((tf * x) * (tf * x)) OVER (PARTITION BY k)) AS q FROM t JOIN idf USING (w)),
+        q AS (SELECT k, rank, license, w, needed, sum(needed) OVER (PARTITION BY k) AS n_needed, tf * x / sqrt(sum((tf * x) * (tf * x)) OVER (PARTITION BY k)) AS q FROM t JOIN idf USING (w)),
         g AS (SELECT *, sum((len(w) = 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM l),
         u AS (
           SELECT doc_id, line_no, 1 AS n_lines, w FROM l WHERE len(w) > 0
+          UNION ALL SELECT doc_id, line_no, -j, parts[j] FROM l, unnest(range(1, len(parts) + 1)) AS r(j) WHERE len(parts) > 1 AND len(parts[j]) > 0
           UNION ALL SELECT doc_id, min(line_no), count(*), flatten(list(w ORDER BY line_no)) FROM g WHERE len(w) > 0 GROUP BY doc_id, run HAVING count(*) > 1),
         h AS (
           SELECT doc_id, line_no, n_lines, v.w, count(*) * any_value(x) AS p, any_value(n) AS n, count(*) AS tf
@@ -140,9 +140,9 @@ def license_sql() -> str:
           SELECT doc_id, line_no, n_lines, sqrt(sum(p * p) + (any_value(n) - sum(tf)) * pow(ln(1.0 + (SELECT n FROM total)) + 1, 2)) AS norm
           FROM h GROUP BY doc_id, line_no, n_lines HAVING sum(tf) >= any_value(n) * {licenses.MIN_SHARE}),
         scored AS (
-          SELECT doc_id, line_no, license, round(sum(p * q) / any_value(norm), 6) AS score
-          FROM h JOIN norm USING (doc_id, line_no, n_lines) JOIN q USING (w) GROUP BY doc_id, line_no, n_lines, k, license),
-        own AS (SELECT doc_id, license, score, line_no FROM scored WHERE score >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no, license) = 1),
+          SELECT doc_id, line_no, rank, license, round(sum(p * q) / any_value(norm), 6) AS score
+          FROM h JOIN norm USING (doc_id, line_no, n_lines) JOIN q USING (w) GROUP BY doc_id, line_no, n_lines, k, rank, license HAVING sum(needed) = any_value(n_needed)),
+        own AS (SELECT doc_id, license, score, line_no FROM scored WHERE score >= {licenses.MIN_COSINE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank, score DESC, line_no, license) = 1),
         d AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, license, score, line_no FROM f LEFT JOIN own USING (doc_id)),
         top AS (
           SELECT dir, license, path FROM d WHERE license IS NOT NULL AND regexp_matches(path, '(?i)(^|/)(licen[cs]e|copying|notice|copyright)([._-][^/]*)?$')

@@ -43,7 +43,7 @@ def test_agrees_with_sql(spark, duck, name):
 
 def clash(df):
     """``df`` with columns named as those of results and inner steps."""
-    return df.withColumns({c: F.lit("x") for c in ("fp", "h", "path", "drop", "kept", "n_words", "ids", "key", "component_id", "title", "__cut")})
+    return df.withColumns({c: F.lit("x") for c in ("fp", "h", "path", "drop", "kept", "n_words", "ids", "key", "component_id", "title", "__cut", "n_lines", "n_removed_lines", "__id", "__th", "__id2", "__th2", "__doc", "__drop", "__new", "__kept", "root", "sig", "n", "site", "host", "a.b")})
 
 
 def test_by_bytes():
@@ -132,8 +132,9 @@ def test_components_of_a_chain(spark):
 
 
 def test_keep_one(spark, odd):
-    kept = [r["doc_id"] for r in simhash.keep_one(odd).collect()]
-    assert sorted(kept, key=str) == [1, 4, 6, None]
+    for some in (odd, clash(odd)):
+        got = simhash.keep_one(some)
+        assert sorted((r["doc_id"] for r in got.collect()), key=str) == [1, 4, 6, None] and got.columns == some.columns
 
 
 def jaccard(a, b):
@@ -193,6 +194,34 @@ def test_license_headers(spark):
     assert got["x/COPYING"] == ("MIT", 4, "file") and got["x/a.c"] == ("MIT", None, "directory") and got["y.c"][0] is None and got["z.c"][0] is None
 
 
+def test_license_lines(spark):
+    """Usual lines alone and in files; other versions, near misses and sentences in long lines."""
+    said = {
+        "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0", "; SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "Copyright 2020 Foo. Licensed under the MIT License.": "MIT", "Eclipse Public License - v 2.0": "EPL-2.0", "Licensed under the BSD 2-Clause License.": "BSD-2-Clause",
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "This is the code of a small thing that somebody wrote in a summer; Licensed under the Apache License, Version 2.0. Read on and on for what else there is to say about it": "Apache-2.0",
+        "Licensed under the Apache License, v2": "Apache-2.0", "Released under the zlib license": "Zlib", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0",
+        # other versions and near misses
+        "Licensed under the GNU Lesser General Public License, version 4.": None, "Licensed under the Apache License, Version 1.1.": None, "Licensed under CC BY-NC 3.0.": None, "SPDX-License-Identifier: Unknown-1.0": None, "the MIT campus has a license plate museum": None,
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.": "BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n" + dict(licenses.TEMPLATES[::-1])["BSD-3-Clause"]: "BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+    }
+    fill = "\n".join(f"some words of line {i} and more" for i in range(30))
+    for wrap in ("%s", fill + "\n\n%s\n\n" + fill):
+        rows = [(f"{k}/f.txt", wrap % t) for k, t in enumerate(said)]
+        got = {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+        assert [got[f"{k}/f.txt"] for k in range(len(said))] == list(said.values())
+
+
+def test_license_ties(spark):
+    """Of equal scores the earlier line counts, then the name; a text of a million words is read whole."""
+    rows = [("a", "MIT License\nISC License"), ("b", "ISC License\nMIT License"), ("c", "word " * 1_000_000 + "\nMIT License")]
+    got = {r["path"]: (r["license"], r["line_no"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a": ("MIT", 0), "b": ("ISC", 0), "c": ("MIT", 1)}
+
+
 def test_licenses_of_documents(spark, docs):
     got = {r["doc_id"]: r["license"] for r in queries.op2_licenses(spark, SF).where("origin = 'file'").collect()}
     lines_ = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT"}
@@ -241,9 +270,17 @@ def test_warc(spark, empty):
     for a, e in entries:
         r = warc.read_record(bytes(a), e["frame"], e["offset"])
         assert r["record_id"] == e["record_id"]
+    import zstandard
+
+    raw = b"".join(zstandard.ZstdDecompressor().decompress(bytes(r["archive"])[s : s + c], max_output_size=d) for r in b for s, c, d in warc.read_seek_table(bytes(r["archive"])))
+    names = re.findall(rb"WARC-Record-ID: <([^>]*)>", raw)
+    assert len(set(names)) == len(rows) and set(re.findall(rb"WARC-Refers-To: <([^>]*)>", raw)) <= set(names) and raw.count(b"application/http") == len(rows)
     with pytest.raises(ValueError):
         warc.read_seek_table(b"x" * 40)
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    twice = warc.archive(spark.createDataFrame([(7, "u", big), (7, "u", big), (None, "u", big), (3, "u", big), (None, "u", "a")], "page_id long, url string, html string").coalesce(1)).collect()
+    whole = b"".join(zstandard.ZstdDecompressor().decompress(bytes(r["archive"])[s : s + c], max_output_size=d) for r in twice for s, c, d in warc.read_seek_table(bytes(r["archive"])))
+    assert len(set(re.findall(rb"WARC-Record-ID: <([^>]*)>", whole))) == 5
     strange = spark.createDataFrame([(None, "u", big), (None, "u", "a"), (7, "u", big), (7, "v", big), (8, "w", "b"), (8, "w", "c")], "page_id long, url string, html string")
     got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(strange).collect()), key=str)
     assert got == sorted([(0, 1203, "response", None), (0, 1, "response", None), (7, 1203, "response", None), (7, 1203, "response", None), (8, 1, "response", None), (8, 1, "response", None)], key=str)
@@ -590,7 +627,8 @@ def test_word_hashes():
 
 def test_line_dedup_odd(spark, odd, empty):
     got = {r["doc_id"]: r for r in lines.dedup_lines(clash(odd)).collect()}
-    assert got[1]["text"] is None and got[1]["n_lines"] == 0 and got[3]["n_lines"] == 0 and got[4]["text"] == "one"
+    assert got[1]["text"] is None and got[1]["n_lines"] == 0 and got[3]["n_lines"] == 0 and got[4]["text"] == "one" and got[4]["__id"] == "x" and got[6]["n_lines"] == 1
+    assert lines.dedup_lines(clash(odd)).columns.count("n_lines") == 1
     assert lines.dedup_lines(odd).count() == len(ODD) and lines.dedup_lines(empty).count() == 0
 
 
@@ -627,6 +665,9 @@ def test_quality(spark, odd, empty):
     r = {x["doc_id"]: x for x in quality.report(clash(odd)).collect()}
     assert r[1]["n_words"] == 0 and r[1]["base_failed"] and r[6]["n_words"] == 60_000 and r[6]["n_repeat_words"] == 60_000
     assert quality.report(odd).count() == len(ODD) and quality.report(empty).count() == 0
+    long_own = spark.createDataFrame([(9, "\n".join(f"line {i} of so many words in it" for i in range(4000)), "en", "s", 1)], DOCS)
+    again = quality.apply(clash(long_own))
+    assert [r["text"] for r in again.collect()] == [r["text"] for r in long_own.collect()] and again.columns == clash(long_own).columns
     cleaned = {x["doc_id"]: x["text"] for x in quality.apply(docs).collect()}
     assert 5 not in cleaned and cleaned[205] == f"{w} 5\n5 {w2}"
 
@@ -641,6 +682,104 @@ def test_quality_takes_templates(spark):
     assert all(got[r[0]]["n_removed_words"] == 0 and got[r[0]]["kept"] for r in copies)
 
 
+def slow_pipeline(rows, items, encode):
+    """The rules of all stages, row by row and pair by pair: ``{doc_id: ids}`` of ``(doc_id, text, source)``."""
+    ws = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    norm = lambda line: " ".join(ws(low(line)))
+
+    def without(text, bad):
+        return "\n".join(x for x in text.split("\n") if norm(x) not in bad)
+
+    # quality rules
+    texts_of = collections.defaultdict(set)
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            if norm(x):
+                texts_of[s, norm(x)].add(t)
+    kept = []
+    for i, t, s in rows:
+        w = ws(t)
+        runs = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        twice = {k + d for k, r in enumerate(runs) if runs.count(r) > 1 for d in range(8)}
+        bad = {norm(x) for x in (t or "").split("\n") if len(texts_of[s, norm(x)]) > 100}
+        left = without(t or "", bad)
+        if len(w) >= 20 and 100 * len(twice) <= 30 * len(w) and len(ws(left)) >= 20:
+            kept.append((i, left, s))
+    # line dedup
+    sites, texts = collections.defaultdict(set), collections.defaultdict(set)
+    for _, t, s in kept:
+        for x in t.split("\n"):
+            sites[norm(x)].add(s)
+            texts[norm(x)].add(t)
+    bad = {x for x in sites if x and len(sites[x]) >= 5 and len(texts[x]) >= 5}
+    kept = [(i, without(t, bad), s) for i, t, s in kept]
+    # near dedup
+    sets = []
+    for _, t, _ in kept:
+        w = ws(low(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(kept)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(kept)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(kept):
+        least[find(k)] = min(least.get(find(k), i), i)
+    kept = [(i, t, s) for k, (i, t, s) in enumerate(kept) if least[find(k)] == i]
+    # decontamination
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    own_items = [(i, re.findall(word, low(t or ""))) for i, t in items]
+    out = {}
+    for i, t, _ in kept:
+        at = [m.span() for m in re.finditer(word, low(t))]
+        hit, _ = slow_hits([low(t)[a:b] for a, b in at], own_items, 10)
+        if 2 * sum(hit) > len(hit):
+            continue
+        left, last, k = "", 0, 0
+        while k < len(hit):
+            if hit[k]:
+                end = k
+                while end + 1 < len(hit) and hit[end + 1]:
+                    end += 1
+                left, last, k = left + t[last : at[k][0]], at[end][1], end
+            k += 1
+        out[i] = encode(left + t[last:])
+    return out
+
+
+def test_pipeline_is_its_rules(spark, tmp_path):
+    """All stages together against the rules: hosts' menus, footers, near copies with chains, benchmark passages, poor and odd rows."""
+    import corpus_pipeline
+    import sentencepiece as library
+
+    rnd = random.Random(20)
+    word = lambda: "".join(rnd.choice("abcdefgéß") for _ in range(rnd.randint(2, 7)))
+    run = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, run(rnd.choice([4, 9, 14, 30]))) for k in range(6)] + [(90, None), (91, "")]
+    rows = [(i, f"Menu of THIS host\n{run(25)}\nmore {i} {run(12)}", "h0") for i in range(110)]
+    rows += [(200 + i, f"{run(24)}\n\nFooter  on all sites\n{run(8)}", f"s{i % 6}") for i in range(24)]
+    for i in range(16):
+        base = run(60).split()
+        for k in range(3):
+            copy = list(base)
+            for _ in range(k * rnd.choice([1, 2, 3])):
+                copy[rnd.randrange(60)] = word()
+            rows.append((300 + 3 * i + k, " ".join(copy), f"s{k}"))
+    rows += [(400 + i, f"{run(18)} {items[i % 6][1].upper() if i % 2 else items[i % 6][1]}, {run(rnd.choice([3, 30]))}", "s1") for i in range(18)]
+    rows += [(500, None, "s"), (501, "", None), (502, run(19), "s"), (503, "the same words again and again " * 9, "s"), (504, rows[0][1], "h0"), (505, run(3000), None), (506, run(25), None)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    sp = library.SentencePieceProcessor(model_file=queries.tokenizer(corpus_pipeline.MODEL))
+    want = slow_pipeline(rows, items, sp.encode)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == want and all(r["round_trip"] for r in got) and len(got) == len(want)
+    assert 100 < len(want) <= len(rows) - 12
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

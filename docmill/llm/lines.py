@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import boxed, row_key, table, unboxed
 
 #: A line on so many distinct sites, in so many distinct texts, is boilerplate.
 MIN_SITES = 5
@@ -76,11 +76,14 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", doc_i
 
     All rows stay, in count and order of lines. Null texts stay null, with 0 lines;
     blank lines are neither counted nor removed; rows without a site share one; no
-    rows give none. Repeated rows (same id and text) are treated alike.
+    rows give none. Repeated rows (same id and text) are treated alike. Long texts are
+    worked on whole. Columns may have any names; ones named as the two that are added
+    are left out.
     """
     drop = drops(docs, site, text, doc_id, sites).withColumnsRenamed({"__id": "__id2", "__th": "__th2", "drop": "__drop"})
-    keyed = docs.select("*", *row_key(text, doc_id))
-    both = keyed.join(drop, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
+    both = boxed(docs, text, doc_id).join(drop, F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left")
     n = lambda t: F.coalesce(F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t\\x0B\\f\\r]"))), F.lit(0)).cast("long")
-    new = both.withColumn("__new", without_lines(F.col(text), F.col("__drop")))
-    return new.select(*[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], n(F.col(text)).alias("n_lines"), (n(F.col(text)) - n(F.col("__new"))).alias("n_removed_lines"))
+    old = F.col("__doc").getField(text)
+    new = both.withColumn("__new", without_lines(old, F.col("__drop")))
+    out = unboxed(docs, ("n_lines", "n_removed_lines")) | {text: F.col("__new").alias(text)}
+    return new.select(*out.values(), n(old).alias("n_lines"), (n(old) - n(F.col("__new"))).alias("n_removed_lines"))

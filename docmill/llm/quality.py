@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_texts, row_key, table
+from .common import LOWER, boxed, map_texts, row_key, table, unboxed
 from .lines import without_lines
 
 MIN_WORDS = 20
@@ -107,7 +107,8 @@ def verdicts(docs: DataFrame, host: str = "source", text: str = "text", doc_id:
 
     ``drop`` has the hashes of lines over the limit (null if none). Null texts have
     no words and fail. Rows without a host are one host. Repeated rows keep their
-    rows; no rows give none.
+    rows; no rows give none. Long texts are worked on whole; other columns aren't
+    read, so that their names can't clash.
     """
     rows = table(features(docs, host, text, doc_id), "quality")
     flat = rows.select("__row", F.col("__th").alias("th"), F.coalesce("host", F.lit("")).alias("host"), F.explode(F.arrays_zip("h", "w")).alias("x")).select("__row", "th", "host", "x.*")
@@ -128,11 +129,11 @@ def report(docs: DataFrame, host: str = "source", text: str = "text", doc_id: st
 
 
 def apply(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without rejected rows, and without lines over the limit; columns as they were."""
+    """``docs`` without rejected rows, and without lines over the limit; columns as they were, whatever their names."""
     got = verdicts(docs, host, text, doc_id).where("not kept or drop is not null")
     # equal rows have equal verdicts
     got = got.groupBy(F.col("__id").alias("__id2"), F.col("__th").alias("__th2"), F.col("host").alias("__host")).agg(F.first("kept").alias("__kept"), F.first("drop").alias("__drop"))
-    keyed = docs.select("*", *row_key(text, doc_id))
-    same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")) & F.col(f"`{host}`").eqNullSafe(F.col("__host"))
-    both = keyed.join(got, same, "left").where("coalesce(__kept, true)")
-    return both.select(*[without_lines(F.col(text), F.col("__drop")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")) & F.col("__doc").getField(host).eqNullSafe(F.col("__host"))
+    both = boxed(docs, text, doc_id).join(got, same, "left").where("coalesce(__kept, true)")
+    out = unboxed(docs) | {text: without_lines(F.col("__doc").getField(text), F.col("__drop")).alias(text)}
+    return both.select(*out.values())

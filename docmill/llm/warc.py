@@ -35,6 +35,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 BUNDLES = "bundle_id string, archive binary, entries array<struct<record_id:long,frame:int,offset:int>>"
 RECORDS = "record_id long, record_type string, uri string, digest string, refers_to long, payload binary"
+COLUMNS = ["record_id", "row", "uri", "payload", "digest", "refers_to", "refers_row"]
+#: What a payload is the body of.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -60,25 +63,27 @@ def read_seek_table(archive: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _urn(record_id: int | None) -> str:
-    return f"<urn:docmill:record:{'' if record_id is None else record_id}>"
+def _urn(record_id: int | None, row: int) -> str:
+    """The name of a record: its id, which may be null or there twice, and its row, which may not."""
+    return f"<urn:docmill:record:{'' if record_id is None else record_id}:{row}>"
 
 
-def record_bytes(record_id: int, uri: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record_bytes(record_id: int | None, row: int, uri: str, payload: bytes, digest: str, refers_to: int | None, refers_row: int | None, date: str) -> bytes:
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {_urn(record_id)}",
+        f"WARC-Type: {'response' if refers_row is None else 'revisit'}",
+        f"WARC-Record-ID: {_urn(record_id, row)}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
     ]
     if uri:
         head.append("WARC-Target-URI: " + " ".join(uri.split()))
-    if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
-        payload = b""
-    return ("\r\n".join([*head, f"Content-Length: {len(payload)}"]) + "\r\n\r\n").encode() + payload + b"\r\n\r\n"
+    block = HTTP_HEAD % len(payload) + payload
+    if refers_row is not None:
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_urn(refers_to, refers_row)}"]
+        block = b""
+    return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
 def parse_record(data: bytes, at: int) -> dict:
@@ -88,15 +93,15 @@ def parse_record(data: bytes, at: int) -> dict:
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"no record at offset {at}")
     h = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-    n = int(h["content-length"])
-    number = lambda urn: int(v) if (v := urn.rsplit(":", 1)[1].rstrip(">")) else None
+    block = data[end + 4 : end + 4 + int(h["content-length"])]
+    number = lambda urn: int(v) if (v := urn.rsplit(":", 2)[1]) else None
     return {
         "record_id": number(h["warc-record-id"]),
         "record_type": h["warc-type"],
         "uri": h.get("warc-target-uri"),
         "digest": h["warc-payload-digest"].removeprefix("sha1:"),
         "refers_to": number(h["warc-refers-to"]) if "warc-refers-to" in h else None,
-        "payload": data[end + 4 : end + 4 + n],
+        "payload": block.partition(b"\r\n\r\n")[2],
     }
 
 
@@ -134,7 +139,7 @@ class Bundle:
 
 
 def bundles(records: DataFrame, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> DataFrame:
-    """Bundles (schema ``BUNDLES``) of ``records`` (record_id, uri, payload, digest, refers_to), some for each partition."""
+    """Bundles (schema ``BUNDLES``) of ``records`` (record_id, row, uri, payload, digest, refers_to, refers_row), some for each partition."""
     small_batches(records.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -143,15 +148,15 @@ def bundles(records: DataFrame, date: str = "1970-01-01T00:00:00Z", level: int =
     def write(batches) -> Iterator[pa.RecordBatch]:
         bundle = Bundle(level)
         for batch in batches:
-            for rid, uri, payload, digest, refers in zip(*(batch.column(n).to_pylist() for n in ("record_id", "uri", "payload", "digest", "refers_to"))):
-                bundle.add(rid, record_bytes(rid, uri or "", payload or b"", digest, refers, date))
+            for rid, row, uri, payload, digest, refers, refers_row in zip(*(batch.column(n).to_pylist() for n in COLUMNS)):
+                bundle.add(rid, record_bytes(rid, row, uri or "", payload or b"", digest, refers, refers_row, date))
                 if bundle.total >= BUNDLE_BYTES:
                     yield pa.RecordBatch.from_pylist([bundle.row()], schema=arrow)
                     bundle = Bundle(level)
         if bundle.entries:
             yield pa.RecordBatch.from_pylist([bundle.row()], schema=arrow)
 
-    return records.select("record_id", "uri", "payload", "digest", "refers_to").mapInArrow(write, BUNDLES)
+    return records.select(*COLUMNS).mapInArrow(write, BUNDLES)
 
 
 def read_record(archive: bytes, frame: int, offset: int) -> dict:
@@ -186,7 +191,7 @@ def read_bundles(packed: DataFrame) -> DataFrame:
                         start, size, whole = table_[frame]
                         data = zstd.decompress(archive[start : start + size], max_output_size=whole)
                     r = parse_record(data, e["offset"])
-                    if r["record_id"] != e["record_id"] or r["refers_to"] is None and hashlib.sha1(r["payload"]).hexdigest() != r["digest"]:
+                    if r["record_id"] != e["record_id"] or r["record_type"] == "response" and hashlib.sha1(r["payload"]).hexdigest() != r["digest"]:
                         raise ValueError(f"record {e['record_id']} isn't what the index and digest say")
                     out.append(r)
                 if out:
@@ -198,16 +203,18 @@ def read_bundles(packed: DataFrame) -> DataFrame:
 def with_roles(pages: DataFrame, payload: str = "html", page_id: str = "page_id", uri: str | None = "url", least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Records of pages: of equal payloads of ``least`` bytes or more, that of the largest id is the response, the others refer to it.
 
-    Null payloads are empty. Only digests and ids are grouped; a digest that a third
-    of all pages share is one row on the grouped side, and Spark splits the other.
+    Of rows that share the largest id the last is the response. Null payloads are empty.
+    Only digests and ids are grouped, and those that are there once aren't joined to; a
+    digest that a third of all pages share is one row on the grouped side, and Spark splits
+    the other.
     """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     src = pages.select(F.col(page_id).alias("record_id"), (F.col(uri) if uri else F.lit(None).cast("string")).alias("uri"), body.alias("payload"))
-    src = src.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
-    best = src.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max("record_id").alias("response"))
+    src = src.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload"), "row": F.monotonically_increasing_id()})
+    best = src.where(F.col("n") >= least).groupBy("digest", "n").agg(F.max(F.struct("record_id", "row")).alias("b"), F.count("*").alias("k")).where("k > 1").select("digest", "n", F.col("b.record_id").alias("response"), F.col("b.row").alias("response_row"))
     both = src.join(best, ["digest", "n"], "left")
-    refers = F.when(F.col("response") != F.col("record_id"), F.col("response"))
-    return both.select("record_id", "uri", F.when(refers.isNull(), F.col("payload")).alias("payload"), "digest", refers.alias("refers_to"))
+    other = F.col("response") != F.col("record_id")  # rows of the same id, or without one, are responses too
+    return both.select("record_id", "row", "uri", F.when(F.coalesce(other, F.lit(False)), None).otherwise(F.col("payload")).alias("payload"), "digest", F.when(other, F.col("response")).alias("refers_to"), F.when(other, F.col("response_row")).alias("refers_row"))
 
 
 def archive(pages: DataFrame, **columns) -> DataFrame:

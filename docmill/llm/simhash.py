@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import LOWER, forget, map_texts, row_key, small_batches, table
+from .common import LOWER, boxed, forget, map_texts, row_key, small_batches, table, tidy, unboxed
 
 SHINGLE = 3
 SEED = 42
@@ -327,20 +327,42 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def whole_sets(reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``(sig, hs)``: the whole shingle sets of ``reps`` (sig, __th), made of their texts once more."""
+    """``(sig, hs)``, a table: the whole shingle sets of ``reps`` (sig, __th), made of their texts once more."""
     # texts of one set may differ in case and space, and any will do
     asked = table(reps.select("sig", "__th"), "texts-asked")
     texts = docs.select(row_key(text, text)[1], F.col(text).alias("t")).join(small(asked), "__th").select("sig", "t")
     sets = map_texts(texts, {"sig": "sig"}, "t", lambda: lambda ts: {"hs": [shingle_set(t) for t in ts]}, "hs array<bigint>")
-    return sets.dropDuplicates(["sig"])
+    sets = table(sets.dropDuplicates(["sig"]), "candidate-sets")
+    forget(asked)
+    return sets
 
 
 def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The ``(a, b)`` of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
-    mine = table(whole_sets(reps.join(ends_of(pairs), "sig", "left_semi"), docs, text), "candidate-sets")
+    """The ``(a, b)``, a table, of distinct ``pairs`` of set numbers whose Jaccard similarity is high enough, by their whole sets."""
+    mine = whole_sets(reps.join(ends_of(pairs), "sig", "left_semi"), docs, text)
     one, two = (mine.select(F.col("sig").alias(x), F.col("hs").alias(f"h{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
-    return both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b")
+    got = table(both.where(enough(F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb"))).select("a", "b"), "links")
+    forget(mine)
+    return got
+
+
+def comparable(apart: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of ``apart`` (sig, n, h, root) whose sets may be alike with another one of the same ``h``, by what they can have in common, with the ``size`` of each ``h``.
+
+    A set shares no more of its prefix with sets of other components than it has rows
+    here. With all that follows the prefix, that must be enough for the smallest set of
+    the same ``h``.
+    """
+    rows = apart.groupBy("sig").agg(F.count("*").alias("rows"))
+    after = reps.select("sig", (F.col("n") - F.size("prefix")).alias("after"))
+    least = apart.groupBy("h").agg(F.min("n").alias("least"))
+    able = apart.join(rows.join(after, "sig"), "sig").join(least, "h").where(enough(F.col("after") + F.col("rows"), F.col("n"), F.col("least")))
+    able = table(able.select("sig", "n", "h", "root"), "shared-able")
+    met = able.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("h", "size")
+    kept = table(able.join(met, "h"), "shared-comparable")
+    forget(able)
+    return kept
 
 
 Block = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]  # number, size, root and prefix of some sets
@@ -420,31 +442,37 @@ def copy_links(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     pair = lambda df: df.where((F.col("sig") != F.col("sig2")) & near).select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct()
     reps = table(rows.join(keys.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "prefix", "__th"), "candidates")
     links, apart = None, keys.withColumn("root", F.col("sig"))
+    tidy(rows.sparkSession)
     for k in range(ROUNDS):
         order = F.col("sig") if not k else F.xxhash64("sig", "h", F.lit(k))
         hub = apart.groupBy("h").agg(F.min(F.struct(order.alias("o"), "sig", "n", "root")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
         tried = table(pair(apart.join(hub, "h").where("root != root2")), "hub-pairs")
         near_ = table(close(tried, reps), "close-pairs")
         forget(tried)
-        more = table(alike(near_, reps, docs, text), "hub-links")
+        more = alike(near_, reps, docs, text)
         forget(near_)
+        tidy(rows.sparkSession)
         links = more if links is None else links.unionByName(more)
         roots = components(links)
         named = keys.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         count = named.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("h", "size")
         was, apart = apart, table(named.join(count, "h"), "shared-apart")
         forget(was)
+        tidy(rows.sparkSession)
     forget(keys)
+    was, apart = apart, comparable(apart, reps)
+    forget(was)
     few = apart.where(F.col("size") <= PAIRWISE).groupBy("h").agg(F.collect_list(F.struct("sig", "n", "root")).alias("x")).select(F.explode("x").alias("one"), "x").select("one", F.explode("x").alias("two"))
     few = few.where("one.sig > two.sig and one.root != two.root").select(F.col("one.sig").alias("sig"), F.col("one.n").alias("n"), F.col("two.sig").alias("sig2"), F.col("two.n").alias("n2"))
     tried = table(pair(few), "few-pairs")
-    near_ = close(tried, reps).unionByName(close_apart(apart.where(F.col("size") > PAIRWISE), reps))
-    near_ = table(near_.distinct(), "close-pairs")
-    forget(tried)
-    forget(apart)
-    more = table(alike(near_, reps, docs, text), "block-links")
+    near_ = table(close(tried, reps).unionByName(close_apart(apart.where(F.col("size") > PAIRWISE), reps)).distinct(), "close-pairs")
+    for t in (tried, apart):
+        forget(t)
+    tidy(rows.sparkSession)
+    more = alike(near_, reps, docs, text)
     for t in (near_, reps):
         forget(t)
+    tidy(rows.sparkSession)
     return components(links.unionByName(more))
 
 
@@ -453,7 +481,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Texts are near copies if their sets of five-word shingles have a Jaccard
     similarity of 0.8 or more, or a chain of such texts joins them. Texts without a
-    word are copies of each other; null ids stay only where there is no other.
+    word are copies of each other; null ids stay only where there is no other. Columns
+    may have any names.
     """
     often = often_shared(docs, text)
 
@@ -473,8 +502,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     count = rows.groupBy("__id", "__th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__id").alias("__id3"), F.col("__th").alias("__th3"))
     same = lambda k: F.col("__id").eqNullSafe(F.col(f"__id{k}")) & (F.col("__th") == F.col(f"__th{k}"))
     kept = table(best.join(count, F.col("__id2").eqNullSafe(F.col("__id3")) & (F.col("__th2") == F.col("__th3")), "left").select("__id2", "__th2", F.col("__th3").isNotNull().alias("many")), "kept")
-    keyed = docs.select("*", *row_key(text, doc_id))
+    keyed = boxed(docs, text, doc_id)
     # only rows that are there more than once are sought for repeats
     once = keyed.join(kept.where("not many"), same(2), "left_semi")
     many = keyed.join(kept.where("many"), same(2), "left_semi").dropDuplicates(["__id", "__th"])
-    return once.unionByName(many).select(*docs.columns)
+    return once.unionByName(many).select(*unboxed(docs).values())

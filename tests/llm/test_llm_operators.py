@@ -780,6 +780,25 @@ def test_pipeline_is_its_rules(spark, tmp_path):
     assert 100 < len(want) <= len(rows) - 12
 
 
+def test_stages_odd(spark, odd, empty):
+    """Null, empty, blank, long and repeated rows, null ids, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    kept = {
+        "quality rules": [], "line dedup": [r[0] for r in ODD], "near dedup": [1, 4, 6, None], "decontamination": [r[0] for r in ODD], "sentencepiece": [r[0] for r in ODD],
+    }
+    texts = {r[0]: r[1] for r in ODD}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, clash(odd), SF)
+        rows = got.collect()
+        assert sorted((r["doc_id"] for r in rows), key=str) == sorted(kept[name], key=str), name
+        assert stage(spark, empty, SF).count() == 0
+        if name == "sentencepiece":
+            assert all(r["round_trip"] for r in rows) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
+        else:
+            assert got.columns == corpus_pipeline.COLUMNS and all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"] or "") for r in rows)
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 

@@ -182,6 +182,14 @@ def test_includes(spark):
     assert sorted((r["path"], r["text"]) for r in adoc.resolve_includes(files_, roots).collect()) == sorted((n, want[n]) for n in ("f0.adoc", "a/f1.adoc"))
 
 
+def test_conversion_counts(spark, tmp_path):
+    """Files of the map with chunks and without, and chunks, as they are written."""
+    files_ = spark.createDataFrame([("a.adoc", "= A\none\n== B\ntwo"), ("b.adoc", "include::none.adoc[]"), ("c.adoc", "not in the map")], "path string, text string")
+    topics = spark.createDataFrame([("a", "https://s/a.html", "A"), ("b", "https://s/b.html", "B")], "stem string, page_url string, page_name string")
+    got = pipelines.convert(files_, topics, "1", str(tmp_path / "out"))
+    assert got == {"processed": 1, "skipped": 1, "chunks": 2} and spark.read.json(str(tmp_path / "out")).count() == 2
+
+
 def test_topic_maps(spark):
     doc = {"Dir": "top", "Distros": "other", "Topics": [{"File": "a", "Name": "A"}, {"Dir": "in", "Distros": "other", "Topics": [{"File": "no"}]}, {"Dir": "in", "Topics": [{"File": "b"}, {"File": "a"}]}]}
     got = {r["stem"]: (r["page_url"], r["page_name"]) for r in maps.topics(spark, [doc], "http://s", "mine").collect()}

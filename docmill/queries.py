@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import ids, split, tags, text, vectors
-from .operators import adoc, bloom, html, markdown, nearest, records, search
+from .operators import adoc, bloom, embed, html, markdown, nearest, records, search
 from .operators.headings import with_crumbs, with_crumbs_in_blocks
 from .plans import pipelines
 from .sources import files, history, maps, ordered, sitemaps, store
@@ -709,6 +709,53 @@ def html_section_records(spark, sf_dir):
     return got.withColumn("section_breadcrumbs", F.array_join("section_breadcrumbs", " > "))
 
 
+@query("""
+    SELECT lang, count(*) AS docs, sum(length(text) + 1)::BIGINT AS chars, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha
+    FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND lang <> 'de' GROUP BY lang""")
+def scan_files(spark, sf_dir):
+    """Files of a tree as whole texts, found by a pattern over their folders."""
+    d = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    path = fresh(spark, "tree")
+    d.select(F.concat(F.lit("lang-"), "lang").alias("folder"), F.col("text").alias("value"), "doc_id").repartition("folder").sortWithinPartitions("folder", "doc_id").select("value", "folder").write.partitionBy("folder").text(path)
+    found = files.whole_files(spark, path, "folder=lang-[!d]*/*.txt").withColumn("lang", F.regexp_extract("source", "folder=lang-([^/]*)/", 1))
+    return found.join(d.groupBy("lang").agg(F.count("*").alias("docs")), "lang").select("lang", "docs", F.length("text").cast("bigint").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("""
+    SELECT doc_id::VARCHAR AS chunk_id, lang AS source, 1::BIGINT AS ingested_at FROM documents
+    WHERE doc_id IN ((SELECT min(doc_id) FROM documents), (SELECT max(doc_id) FROM documents), (SELECT max(doc_id) // 2 FROM documents))""")
+def chunk_lookup(spark, sf_dir):
+    """Rows of a bucketed table by id, each from its bucket; an id that isn't there gives none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("source"), "doc_id")
+    chunks = store.ChunkTable(spark, fresh(spark, "chunks"), 0, 32)
+    chunks.upsert(docs.drop("doc_id"), 1)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    one, two, three, none = (chunks.get(str(i)) for i in (low, high, high // 2, -1))
+    return one.unionByName(two).unionByName(three).unionByName(none).select("chunk_id", "source", "ingested_at")
+
+
+@query("""
+    SELECT doc_id, len(embedding) AS size, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM documents JOIN embeddings ON doc_id = vec_id""")
+def chunk_vectors(spark, sf_dir):
+    """Chunks with vectors that were made before, by id; those without one are left out."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id")
+    made = embed.join_vectors(chunks, table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"))
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return made.select("doc_id", F.size("embedding").cast("bigint").alias("size"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
+
+
+@query("""
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-0' || (1 + page_id % 9) WHEN 1 THEN 'day ' || page_id ELSE '' END AS meta_modified, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN 'header' END, ''), CASE page_id % 4 WHEN 0 THEN '2024-0' || (1 + page_id % 9) WHEN 1 THEN 'day ' || page_id ELSE '' END) AS last_modified FROM pages""")
+def html_last_modified(spark, sf_dir):
+    """The date of a page: of its header, else of its meta element, in any order of attributes and with any quotes."""
+    i = F.col("page_id").cast("string")
+    meta = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("<meta content='2024-0"), (1 + F.col("page_id") % 9).cast("string"), F.lit("' name=dcterms.modified>")))
+    meta = meta.when(F.col("page_id") % 4 == 1, F.concat(F.lit('<META NAME="dcterms.modified" CONTENT="day '), i, F.lit('"/>'))).when(F.col("page_id") % 4 == 2, F.lit('<meta name="dcterms.created" content="x">')).otherwise(F.lit('<meta name="dcterms.modified" content="">'))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit("<html><head>"), meta, F.lit("</head>"), "html").alias("html"), F.when(F.col("page_id") % 3 == 0, F.lit("header")).alias("header"))
+    found = html.meta_modified(F.col("html"))
+    return pages.select("page_id", found.alias("meta_modified"), F.coalesce(F.nullif(F.col("header"), F.lit("")), found).alias("last_modified"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substring(text, 1, 400) || '...' ELSE text END AS shown FROM documents")
 def preview(spark, sf_dir):
     """Texts cut for display."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .stage import file_system
+from .stage import file_system, small_batches
 
 
 def path_order(path: str = "source") -> Column:
@@ -46,3 +49,39 @@ def numbered(spark: SparkSession, path: str, schema) -> DataFrame:
     files = rows.groupBy("__file").agg(F.count("*").alias("__n")).withColumn("__place", place)
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(files.select("__file", before.alias("__before")), "__file").withColumn("position", F.col("__before") + F.col("__at") - 1).drop("__file", "__block", "__row", "__at", "__before")
+
+
+def part_order(path: str = "source") -> Column:
+    """The order in which a job has written the file at ``path``: its task, and the file's number in it."""
+    number = lambda pattern: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.lit("9" * 18)), F.lit(0)).cast("long")
+    return F.struct(number(r"/part-(\d+)-[^/]*$").alias("task"), number(r"[-.]c(\d+)\.[^/]*$").alias("file"))
+
+
+def digests(rows: DataFrame, by: str, order: Column, value: str) -> DataFrame:
+    """``(by, chars, sha)``: characters and hexadecimal SHA-256 of the texts ``value`` of each ``by``, one after the other in ``order``.
+
+    A digest is one sequence: a task reads the texts of one ``by`` as they come from a
+    sort that spills, and holds a batch of them.
+    """
+    small_batches(rows.sparkSession)
+    src = rows.select(F.col(by).alias("by"), order.alias("__order"), F.length(value).cast("bigint").alias("n"), F.col(value).cast("binary").alias("value"))
+    src = src.repartition("by").sortWithinPartitions("by", "__order").select("by", "n", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple | None = None
+        chars, sha = 0, hashlib.sha256()
+        said = lambda: pa.RecordBatch.from_arrays([pa.array([own[0]], kind), pa.array([chars], pa.int64()), pa.array([sha.hexdigest()])], names=[by, "chars", "sha"])
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if own != (key,):
+                    if own:
+                        yield said()
+                    own, chars, sha = (key,), 0, hashlib.sha256()
+                if v.is_valid:
+                    chars += n
+                    sha.update(v.as_buffer())
+        if own:
+            yield said()
+
+    return src.mapInArrow(run, f"`{by}` {src.schema['by'].dataType.simpleString()}, chars bigint, sha string")

@@ -16,8 +16,8 @@ def rows(names, values):
     return sorted(tuple(plain(r[i]) for i in order) for r in values)
 
 
-def agree(spark, duck, query, sql):
-    df = query(spark, SF)
+def agree(spark, duck, query, sql, sf_dir=SF):
+    df = query(spark, sf_dir)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = duck.execute(sql)
     want = rows([c[0] for c in cur.description], cur.fetchall())

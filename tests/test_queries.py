@@ -1,6 +1,7 @@
 import pytest
 from conftest import SF
 from oracle import agree
+from pyspark.sql import functions as F
 
 from docmill.queries import ORACLE_SQL, QUERIES
 
@@ -20,3 +21,25 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_scan_files_holds_no_language_whole(spark, tmp_path, monkeypatch):
+    """Files of a bounded number of documents, digested in order as if they were one."""
+    import duckdb
+
+    from docmill.sources import files
+
+    docs = spark.range(9000).select("id", F.concat(F.lit("é "), F.col("id").cast("string")).alias("text"), F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (F.col("id") % 3 + 1).cast("int")).alias("lang"))
+    docs.withColumnRenamed("id", "doc_id").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    longest, whole_files = [], files.whole_files
+
+    def measured(*args):
+        found = whole_files(*args)
+        longest.append(found.agg(F.max(F.length("text"))).first()[0])
+        return found
+
+    monkeypatch.setattr(files, "whole_files", measured)
+    agree(spark, con, QUERIES["scan_files"], ORACLE_SQL["scan_files"], str(tmp_path))
+    assert longest[0] < 9000

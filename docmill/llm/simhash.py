@@ -8,8 +8,10 @@ one. Two fingerprints that differ in at most two bits agree wholly in one of the
 three segments (pigeonhole), so (that segment, an index of the next one) is a key
 they share: 3 to 18 keys a fingerprint. Fingerprints that share a key are verified.
 
-The pipeline's near dedup is :func:`keep_one`, by exact Jaccard similarity of
-five-word shingles: 0.8 is about ten bits of 64, too many for keys that miss none.
+The pipeline's near dedup is :func:`keep_one`, at a Jaccard similarity of 0.8 of
+five-word shingles. Fingerprints of these that link are verified by the sets. 0.8 is
+about ten bits of 64, too many for keys that miss none, so a join of the sets that are
+still apart, by their prefixes, finds the links that fingerprints miss.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ LEAST_TASKS = 6
 #: Near copies as wholes, for :func:`keep_one`: shingles of so many words, alike from this fraction on.
 COPY_SHINGLE = 5
 ALIKE = (4, 5)
-#: Sets of a block.
+#: Sets of a block, and hashes by which two blocks are compared at a time.
 BLOCK = 256
+COLUMNS = 4096
 BLOCK_ROWS = "array<struct<sig:bigint,n:bigint,root:bigint,prefix:array<bigint>>>"
 #: Rows of a small table, of 16 bytes each, that is sent to all tasks.
 SENT = 1 << 19
@@ -52,34 +55,33 @@ SAMPLE_OFTEN = 8
 MAX_OFTEN = 1 << 20
 
 
-def fingerprint_batch(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
-    """Signed 64-bit fingerprints of texts; zero where there is no word."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles, repeats included; a text with fewer words is one shingle, one without any has none."""
+    words = text.translate(LOWER).split() if text else []
+    joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        words = text.translate(LOWER).split() if text else []
-        if not words:
-            continue
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            hashes.append(digest(joined, SEED))
-            counts[k] = 1
-            continue
-        ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
-        starts = [0, *(e + 1 for e in ends)]
-        hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
-        counts[k] = len(words) - shingle + 1
-    out = np.zeros(len(texts), np.uint64)
-    if hashes:
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        full = counts > 0
-        ends = np.cumsum(counts[full])
-        ones = np.array([bits[b - n : b].sum(axis=0, dtype=np.int32) for b, n in zip(ends, counts[full])])
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
+    ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *(e + 1 for e in ends)]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64)
+
+
+def majority(hashes: list[np.ndarray]) -> np.ndarray:
+    """Signed 64-bit fingerprints of texts by the hashes of their shingles: bits set in over half of them; zero where there is none."""
+    out = np.zeros(len(hashes), np.uint64)
+    for k, own in enumerate(hashes):
+        if len(own):
+            ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            out[k] = np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]
     return out.view(np.int64)
 
 
+def fingerprint_batch(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
+    """Signed 64-bit fingerprints of texts; zero where there is no word."""
+    return majority([shingle_hashes(t, shingle) for t in texts])
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, fp)``: a signed long for each row; null text counts as no word."""
     return map_texts(docs, {doc_id: doc_id}, text, lambda: lambda texts: {"fp": fingerprint_batch(texts)}, "fp long")
@@ -164,7 +166,21 @@ def links(fps: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     large = both.where(F.col("n") > PAIRWISE).select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     star = large.groupBy("mid").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).where("a != b").select("a", "b")
-    return small.unionByName(star).distinct()
+    got = table(small.unionByName(star).distinct(), "fingerprint-links")
+    forget(keys)
+    return got
+
+
+def linked_sets(reps: DataFrame) -> DataFrame:
+    """``(a, b)``, a > b: numbers of sets ``reps`` (sig, fp) that join all whose fingerprints :func:`links` joins, equal ones among them."""
+    first = table(reps.groupBy("fp").agg(F.min("sig").alias("first")), "distinct-fingerprints")
+    near = links(first)
+    one, two = (first.select(F.col("fp").alias(x), F.col("first").alias(f"s{x}")) for x in "ab")
+    pairs = near.join(one, "a").join(two, "b").select("sa", "sb").unionByName(reps.join(first, "fp").where("sig != first").select(F.col("sig").alias("sa"), F.col("first").alias("sb")))
+    got = table(pairs.select(F.greatest("sa", "sb").alias("a"), F.least("sa", "sb").alias("b")).distinct(), "linked-sets")
+    for t in (near, first):
+        forget(t)
+    return got
 
 
 class Union:
@@ -255,18 +271,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The set of a text's shingles: sorted distinct 63-bit hashes; without a word it is that of the empty text."""
+    if not len(hashes):
+        hashes = np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)
+    return np.unique(hashes >> np.uint64(1)).view(np.int64)
+
+
 def shingle_set(text: bytes | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     """Sorted distinct 63-bit hashes of a text's shingles; a text with fewer words is one shingle, as is a text without any."""
-    words = text.translate(LOWER).split() if text else []
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = list(itertools.accumulate(map(len, words), lambda a, n: a + 1 + n))
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
-    return np.unique(np.array(hashes, np.uint64) >> np.uint64(1)).view(np.int64)
+    return distinct(shingle_hashes(text, shingle))
 
 
 def prefix(hashes: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -371,13 +385,25 @@ Block = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]  # number, s
 def close_in_blocks(h: int, x: Block, y: Block) -> tuple[np.ndarray, np.ndarray]:
     """What :func:`close` finds of two blocks of sets with ``h`` in their prefixes: pairs of different components, for which ``h`` is the first they share."""
     sizes = [list(map(len, b[3])) for b in (x, y)]
-    hashes, at = np.unique(np.concatenate([*x[3], *y[3]]), return_inverse=True)
-    grid = np.zeros((len(x[0]) + len(y[0]), len(hashes)), np.float32)
-    grid[np.repeat(np.arange(len(grid)), sizes[0] + sizes[1]), at] = 1
-    one, two = grid[: len(x[0])], grid[len(x[0]) :]
-    k = np.searchsorted(hashes, h)
-    common = (one @ two.T).astype(np.int64)
-    first = one[:, :k] @ two[:, :k].T == 0
+    hashes, at, held = np.unique(np.concatenate([*x[3], *y[3]]), return_inverse=True, return_counts=True)
+    # hashes that one set alone has are in no product; the others are multiplied so many at a time, those before h apart
+    shared = held > (2 if x is y else 1)
+    at = np.where(shared, np.cumsum(shared) - 1, -1)[at]
+    row = np.repeat(np.arange(len(x[0]) + len(y[0])), sizes[0] + sizes[1])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    n, k = int(shared.sum()), int(np.searchsorted(hashes[shared], h))
+    edges = [*range(0, k, COLUMNS), *range(k, n, COLUMNS), n]
+    common, before = (np.zeros((len(x[0]), len(y[0])), np.float32) for _ in range(2))
+    for left, right in zip(edges, edges[1:]):
+        a, b = np.searchsorted(at, (left, right))
+        grid = np.zeros((len(x[0]) + len(y[0]), right - left), np.float32)
+        grid[row[a:b], at[a:b] - left] = 1
+        part = grid[: len(x[0])] @ grid[len(x[0]) :].T
+        common += part
+        if right <= k:
+            before += part
+    common, first = common.astype(np.int64), before == 0
     last = [np.array([p[-1] for p in b[3]]) for b in (x, y)]
     # so many of a prefix are up to the end of the other one
     of_x = np.array([np.searchsorted(p, last[1], "right") for p in x[3]])
@@ -429,9 +455,11 @@ def close_apart(apart: DataFrame, reps: DataFrame) -> DataFrame:
 def copy_links(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """``(a, root)`` of sets that links at the similarity join, for each that is not the smallest of its component.
 
-    Of the sets that have a shingle in their prefixes, each is first compared with
-    one hub: a set that the shingle's hash picks, so that a set meets another hub by
-    each of its shingles. What that joins need not be compared again. After so many
+    Sets whose SimHash fingerprints link by Golay keys are candidates first, verified by
+    the sets. Fingerprints of sets alike at 0.8 may differ in more bits than keys bear,
+    so the exact join completes that. Of the sets that have a shingle in their prefixes,
+    each is compared with one hub: a set that the shingle's hash picks, so that a set
+    meets another hub by each of its shingles. What that joins need not be compared again. After so many
     rounds, linear in the number of sets, all sets of different components that still
     share a shingle are compared, block by block.
     """
@@ -440,13 +468,16 @@ def copy_links(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     keys = table(keys.join(small(table(shared, "hashes-shared")), "h", "left_semi").distinct(), "shared-shingles")
     near = F.least("n", "n2") * ALIKE[1] >= F.greatest("n", "n2") * ALIKE[0]
     pair = lambda df: df.where((F.col("sig") != F.col("sig2")) & near).select(F.greatest("sig", "sig2").alias("a"), F.least("sig", "sig2").alias("b")).distinct()
-    reps = table(rows.join(keys.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "prefix", "__th"), "candidates")
+    reps = table(rows.join(keys.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "n", "fp", "prefix", "__th"), "candidates")
     links, apart = None, keys.withColumn("root", F.col("sig"))
     tidy(rows.sparkSession)
-    for k in range(ROUNDS):
-        order = F.col("sig") if not k else F.xxhash64("sig", "h", F.lit(k))
-        hub = apart.groupBy("h").agg(F.min(F.struct(order.alias("o"), "sig", "n", "root")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
-        tried = table(pair(apart.join(hub, "h").where("root != root2")), "hub-pairs")
+    for k in range(ROUNDS + 1):
+        if k:
+            order = F.col("sig") if k == 1 else F.xxhash64("sig", "h", F.lit(k))
+            hub = apart.groupBy("h").agg(F.min(F.struct(order.alias("o"), "sig", "n", "root")).alias("m")).select("h", F.col("m.sig").alias("sig2"), F.col("m.n").alias("n2"), F.col("m.root").alias("root2"))
+            tried = table(pair(apart.join(hub, "h").where("root != root2")), "hub-pairs")
+        else:
+            tried = linked_sets(reps)
         near_ = table(close(tried, reps), "close-pairs")
         forget(tried)
         more = alike(near_, reps, docs, text)
@@ -488,14 +519,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     def start():
         def work(texts):
-            sets = [shingle_set(t) for t in texts]
+            hashes = [shingle_hashes(t, COPY_SHINGLE) for t in texts]
+            sets = [distinct(h) for h in hashes]
             sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            return {"sig": sig, "n": [len(s) for s in sets], "prefix": [prefix(s, often) for s in sets]}
+            return {"sig": sig, "fp": majority(hashes), "n": [len(s) for s in sets], "prefix": [prefix(s, often) for s in sets]}
 
         return work
 
     ident, th = row_key(text, doc_id)
-    rows = table(map_texts(docs, {"__id": ident, "__th": th}, text, start, "sig long, n long, prefix array<bigint>"), "shingles")
+    rows = table(map_texts(docs, {"__id": ident, "__th": th}, text, start, "sig long, fp long, n long, prefix array<bigint>"), "shingles")
     roots = copy_links(rows, docs, text)
     named = rows.join(roots.withColumnRenamed("a", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th")).alias("k")).select(F.col("k.__id").alias("__id2"), F.col("k.__th").alias("__th2"))

@@ -167,6 +167,61 @@ def test_keep_one_finds_near_copies(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted({find(k) for k in range(len(texts))})
 
 
+def test_keep_one_by_fingerprints(spark, monkeypatch):
+    """Copies whose fingerprints link by Golay keys are candidates of the first round, and verified by their sets."""
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    fp = lambda ws: int(simhash.fingerprint_batch([" ".join(ws).encode()], 5)[0])
+    edited = ([*words[:k], "other", *words[k + 1 :]] for k in range(0, 3000, 7))
+    near = next(ws for ws in edited if 1 <= ((fp(ws) ^ fp(words)) & (2**64 - 1)).bit_count() <= 2)
+    texts = [" ".join(words), " ".join(near), " ".join(f"v{k}" for k in range(50))]
+    found, linked_sets = [], simhash.linked_sets
+
+    def seen(reps):
+        got = linked_sets(reps)
+        found.extend((r["a"], r["b"]) for r in got.collect())
+        return got
+
+    monkeypatch.setattr(simhash, "linked_sets", seen)
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate([*texts, texts[2]])], DOCS)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 2]
+    assert len(found) == 1
+
+
+def test_blocks_are_compared_by_parts(monkeypatch):
+    """No table of all sets by all hashes of two blocks: so many hashes at a time, with the same pairs."""
+    rnd = random.Random(7)
+    widest, zeros = [], np.zeros
+
+    def made(shape, *args):
+        widest.append(shape[1] if isinstance(shape, tuple) else 0)
+        return zeros(shape, *args)
+
+    def block(start):
+        sets = [np.array(sorted({50, *rnd.sample(range(1, 50), 3), *rnd.sample(range(51, 100), rnd.randrange(5, 40)), *rnd.sample(range(1000, 90000), 60)})) for _ in range(20)]
+        return np.arange(start, start + 20), np.array([len(p) + 3 for p in sets]), np.arange(start, start + 20) // 3, sets
+
+    one, two = block(0), block(20)
+    monkeypatch.setattr(simhash, "ALIKE", (1, 12))
+    want = {}
+    for y in (one, two):
+        want[y is one] = simhash.close_in_blocks(50, one, y)
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    monkeypatch.setattr(simhash.np, "zeros", made)
+    for y in (one, two):
+        for a, b in zip(simhash.close_in_blocks(50, one, y), want[y is one]):
+            assert a.tolist() == b.tolist()
+        assert len(want[y is one][0])
+    for i in range(20):
+        for j in range(20):
+            p, q = one[3][i], two[3][j]
+            common, end = len(set(p) & set(q)), min(p[-1], q[-1])
+            most = min(common + min(one[1][i] - sum(p <= end), two[1][j] - sum(q <= end)), one[1][i], two[1][j])
+            ok = min(set(p) & set(q)) == 50 and one[2][i] != two[2][j] and most * 13 >= (one[1][i] + two[1][j])
+            assert ok == ((i, j) in set(zip(*(v.tolist() for v in want[False]))))
+    assert max(widest) == 20  # the products; the tables are narrower
+
+
 # 2
 
 

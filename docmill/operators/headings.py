@@ -44,9 +44,10 @@ def with_crumbs(df: DataFrame, by: list[str], order: str, level: str = "level",
 def with_crumbs_in_blocks(df: DataFrame, by: list[str], order: str, level: str = "level", heading: str = "heading", root: Column | None = None, block: int = BLOCK) -> DataFrame:
     """The same as :func:`with_crumbs` for documents of any length: no task holds more than ``block`` rows of one.
 
-    ``order`` counts the rows of a document. Rows are shuffled once, by document and
-    block; what the blocks before do to the stack comes from two scans over a row for
-    each block, and is joined by block.
+    ``order`` counts the rows of a document. Rows are shuffled by document and block,
+    and once more as they are joined with what the blocks before do to the stack, which
+    comes from two scans over a row for each block. All columns go along: leave out long
+    texts that aren't needed.
     """
     start, real = (0 if root is None else 1), F.col(level) > 0
     own = df.withColumn("__b", F.floor(F.col(order) / block))
@@ -59,14 +60,13 @@ def with_crumbs_in_blocks(df: DataFrame, by: list[str], order: str, level: str =
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("__count").over(earlier), F.lit(0)))
     blocks = staged(blocks.withColumn("__lower", F.min(F.col("__least") - F.col("__before")).over(earlier)).drop("__count", "__least"), "blocks")
 
-    rows = own.join(blocks, [*by, "__b"])
-    depth = F.col("__n") + F.col("__before") + F.least(F.lit(start), F.col("__low") - F.col("__before"), F.col("__lower"))
-    rows = rows.withColumn("__d", F.when(real, depth))
+    depth = F.when(real, F.col("__n") + F.col("__before") + F.least(F.lit(start), F.col("__low") - F.col("__before"), F.col("__lower")))
     range_ = range(1, MAX_DEPTH + 2)
-    tops = rows.where("__d is not null").groupBy(*by, "__b").agg(*[F.max_by(F.struct(F.col(heading).alias("h")), F.when(F.col("__d") == p, F.col(order))).alias(f"__e{p}") for p in range_])
-    carried = blocks.join(tops, [*by, "__b"], "left").select(*by, "__b", *[F.last(f"__e{p}", ignorenulls=True).over(earlier).alias(f"__e{p}") for p in range_])
+    marks = own.where(real).select(*by, "__b", F.col(order).alias("__o"), F.col(level), F.col(heading).alias("__h"), "__n", "__low").join(blocks, [*by, "__b"]).withColumn("__d", depth)
+    tops = marks.groupBy(*by, "__b").agg(*[F.max_by(F.struct(F.col("__h").alias("h")), F.when(F.col("__d") == p, F.col("__o"))).alias(f"__e{p}") for p in range_])
+    carried = blocks.join(tops, [*by, "__b"], "left").select(*by, "__b", "__before", "__lower", *[F.last(f"__e{p}", ignorenulls=True).over(earlier).alias(f"__e{p}") for p in range_])
 
-    rows = rows.join(carried, [*by, "__b"])
+    rows = own.join(carried, [*by, "__b"]).withColumn("__d", depth)
     coming = F.when(F.col("__before") > 0, F.col("__before") + F.least(F.lit(start), F.col("__lower"))).otherwise(start)
     at = F.coalesce(F.last("__d", ignorenulls=True).over(w), coming)
     entry = lambda p: F.coalesce(F.last(F.when(F.col("__d") == p, F.struct(F.col(heading).alias("h"))), ignorenulls=True).over(w), F.col(f"__e{p}"))["h"]

@@ -56,3 +56,13 @@ def test_scan_files_holds_no_language_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "whole_files", measured)
     agree(spark, con, QUERIES["scan_files"], ORACLE_SQL["scan_files"], str(tmp_path))
     assert longest[0] < 9000
+
+
+def test_no_text_goes_through_heading_stacks(spark, monkeypatch):
+    """What is staged for the stacks has no column of texts, which each section would repeat."""
+    from docmill.operators import headings
+
+    seen, staged = [], headings.staged
+    monkeypatch.setattr(headings, "staged", lambda df, label: (seen.append(df.columns), staged(df, label))[1])
+    assert QUERIES["md_sections_blocks"](spark, SF).columns
+    assert seen and not {"text", "body", "content", "metadata"} & {c for columns in seen for c in columns}

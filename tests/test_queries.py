@@ -66,3 +66,9 @@ def test_no_text_goes_through_heading_stacks(spark, monkeypatch):
     monkeypatch.setattr(headings, "staged", lambda df, label: (seen.append(df.columns), staged(df, label))[1])
     assert QUERIES["md_sections_blocks"](spark, SF).columns
     assert seen and not {"text", "body", "content", "metadata"} & {c for columns in seen for c in columns}
+
+
+def test_html_events_are_dealt_once(spark):
+    """Pages are dealt out to be read, and their events once; nothing is shuffled between the groups of a page."""
+    plan = QUERIES["html_sections"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

@@ -128,6 +128,43 @@ def test_html(spark):
     }
 
 
+def test_html_cut_as_the_library_reads_it():
+    """Plain pages are cut without the library, to the same events; the others go to it."""
+    odd = ["", "x", "<p>a<P class='x'>b</p>", '<div id="i" ID="j"><a data-x="1">e &amp; f &copy</a>', "<title><b></title><p>a < b</p>", "<script><p></script><br/><!-- c --><p>x", '<a t="a>b">x</a>', "<p>&", "<p", "</p x></>", '<option selected id="k">o', "<!doctype html><h1>T"]
+    for page in [PAGE, PAGE.replace('<meta name="dcterms.modified" content="2024">', ""), *odd]:
+        by_library, cut = html.Events(), html.Events()
+        by_library.feed(page)
+        by_library.close()
+        plain = lambda rows: [(kind, data, e and (e.n, e.tag, e.cls, e.id, e.noise, e.up and e.up.n)) for kind, data, e in rows]
+        assert plain(cut.read(page)) == plain(by_library.rows)
+
+
+def test_html_rows_are_pieces(spark):
+    """What is dealt out has a row for each piece, not each event, and no path of elements with it."""
+    inside = "".join(f'<section id="s{k}"><div class="titlepage"><h2>H{k}</h2></div><ul><li>a <b>b</b></li></ul><p>c</p></section>' for k in range(50))
+    pages = spark.createDataFrame([(1, f"<article>{inside}</article>")], "page int, html string")
+    rows = html.read_pieces(pages, [], "page").collect()
+    assert len(rows) == 50 * 3 + 1
+    assert sorted(r["texts"][0] for r in rows if r["reads"] == "item") == [["a ", "b"]] * 50
+
+
+def test_html_table_wrappers(spark):
+    page = """<article><section><div class="titlepage"><h2>H</h2></div><rh-table><p>no</p><div><table><tr><td>a</td><td>b <b>c</b></td></tr><tr><td><rh-table><table><tr><td>in</td></tr></table></rh-table></td></tr></table></div>
+<table><tr><td>second</td></tr></table><ul><li>no</li></ul></rh-table><ul></ul><pre> x
+ y </pre><p></p>tail</section></article>"""
+    rows = html.sections(spark.createDataFrame([("https://h/a", page)], "url string, html string")).collect()
+    assert [(r["heading"], r["body"]) for r in rows] == [("H", "a\tb c\nin\tin\n\n x\n y \n\ntail".replace("\t", " "))]
+
+
+def test_strips_all_white_space(spark):
+    spaces = [chr(k) for k in range(0x3100) if chr(k).isspace()]
+    df = spark.createDataFrame([(f"{c}a{c}b{c}{c}", f"a{c}b", f"a{c}b{c}{c}") for c in [*spaces, "\u200b", "\x1b", "q"]] + [("", "", ""), (None, None, None)], "x string, y string, z string")
+    got = df.select("y", "z", text.strip(F.col("x")).alias("s"), text.lstrip(F.col("x")).alias("l"), text.word_count(F.col("x")).alias("n"), text.clean_text(F.concat("x", F.lit("c \t \td\n\n\n\n"))).alias("c")).collect()
+    assert all((r["s"], r["l"], r["n"]) == (r["y"], r["z"], 2) for r in got[: len(spaces)])
+    assert [r["s"] for r in got[len(spaces) :]] == ["\u200ba\u200bb\u200b\u200b", "\x1ba\x1bb\x1b\x1b", "qaqbqq", "", None]
+    assert [r["n"] for r in got[len(spaces) :]] == [1, 1, 1, 0, None] and got[-2]["c"] == "c d"
+
+
 def test_html_records(spark):
     pages = spark.createDataFrame([("https://h/a/b", None, PAGE)], "url string, last_modified string, html string")
     rows = pipelines.html_records(pages, "4").orderBy("chunk_index").collect()

@@ -72,3 +72,10 @@ def test_html_events_are_dealt_once(spark):
     """Pages are dealt out to be read, and their events once; nothing is shuffled between the groups of a page."""
     plan = QUERIES["html_sections"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("name", ["html_section_records", "html_sections"])
+def test_html_is_read_once(spark, name):
+    """No filter that Spark infers from what is read may read all pages a second time, before they are spread."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1

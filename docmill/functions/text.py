@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 #: White space as text tools understand it: Unicode's, and the four separators U+001C to U+001F.
 WS = r"[\s\x1c-\x1f]"
+#: The characters that ``(?U)`` and ``WS`` match.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, rf"(?U){WS}+"), lambda w: w != ""))
+    bare = strip(c)
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, rf"(?U){WS}+")))
 
 
 def char_count(c: Column) -> Column:
@@ -38,7 +41,9 @@ def split_lines(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Runs of blanks and tabs to one blank, three or more line ends to two, stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    # few texts have such runs, and looking for one is much faster than a pattern
+    c = F.when(F.contains(c, F.lit("  ")) | F.contains(c, F.lit("\t")), F.regexp_replace(c, "[ \t]+", " ")).otherwise(c)
+    return strip(F.when(F.contains(c, F.lit("\n\n\n")), F.regexp_replace(c, "\n{3,}", "\n\n")).otherwise(c))
 
 
 def clean_heading(c: Column) -> Column:
